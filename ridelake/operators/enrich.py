@@ -38,5 +38,12 @@ def with_coordinates(df: DataFrame) -> DataFrame:
 
 
 def enrich_trips(df: DataFrame, min_km: float = MIN_DISTANCE_KM) -> DataFrame:
-    # The coordinate test comes first so that its null checks reach the scan.
-    return min_distance(add_geo_columns(with_coordinates(df)), min_km)
+    """Trips with coordinates that are longer than ``min_km``, with geo columns.
+
+    A distance that is a number has four coordinates that are; the null checks
+    are stated as well because they reach the scan.
+    """
+    located = df
+    for name in COORDINATES:
+        located = located.filter(F.col(name).isNotNull())
+    return min_distance(add_geo_columns(located), min_km)

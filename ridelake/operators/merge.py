@@ -44,18 +44,26 @@ def last_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str] = ())
     return _one_per_key(df, keys, order, F.max)
 
 
-def new_rows(target: DataFrame, batch: DataFrame, keys: Sequence[str], order: Sequence[str] = ()) -> DataFrame:
+def new_rows(
+    target: DataFrame,
+    batch: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str] = (),
+    broadcast_keys: bool = False,
+) -> DataFrame:
     """Rows of ``batch``, one per key, whose key ``target`` does not hold.
 
     The target is first cut down to the keys the batch mentions. That step may
     broadcast the batch's keys, so a small batch never shuffles a large target;
-    an anti join alone could only broadcast the target.
+    an anti join alone could only broadcast the target. Spark decides by the
+    size it estimates; ``broadcast_keys`` is for callers that counted the batch.
     """
     keys = list(keys)
     mentioned = batch.filter(_keys_present(keys)).select(*keys).distinct()
+    if broadcast_keys:
+        mentioned = F.broadcast(mentioned)
     held = target.select(*keys).join(mentioned, keys, "left_semi")
-    columns = batch.columns
-    return first_per_key(batch, keys, order).join(held, keys, "left_anti").select(*columns)
+    return first_per_key(batch, keys, order).join(held, keys, "left_anti").select(*batch.columns)
 
 
 def insert_if_absent(

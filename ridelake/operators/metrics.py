@@ -54,15 +54,19 @@ def increase(df: DataFrame, window: dt.timedelta, ts: str = "ts", label: str = "
     same instant are counted first, which bounds a minute of one label by the
     clock's resolution however many events it has.
     """
-    instants = df.groupBy(label, ts).agg(F.count(F.lit(1)).alias("n"))
+    known = df.filter(F.col(label).isNotNull() & F.col(ts).isNotNull())
     leave = F.col(ts) + F.lit(window + dt.timedelta(microseconds=1))
-    changes = instants.select(label, ts, F.col("n").alias("delta"), F.lit(True).alias("arrives")).unionByName(
-        instants.select(label, leave.alias(ts), (-F.col("n")).alias("delta"), F.lit(False).alias("arrives"))
+    steps = F.array(
+        F.struct(F.col(ts).alias("at"), F.col("n").alias("delta"), F.lit(True).alias("arrives")),
+        F.struct(leave.alias("at"), (-F.col("n")).alias("delta"), F.lit(False).alias("arrives")),
     )
+    changes = known.groupBy(label, ts).agg(F.count(F.lit(1)).alias("n")).select(label, F.inline(steps))
     totals = (
-        _running_total(changes, label, ts, "delta", "increase").filter("arrives").select(label, ts, "increase")
+        _running_total(changes, label, "at", "delta", "increase")
+        .filter("arrives")
+        .select(label, F.col("at").alias(ts), "increase")
     )
-    return df.join(totals, [label, ts])
+    return known.join(totals, [label, ts])
 
 
 def counter_increase(df: DataFrame, window: str = "5 minutes", ts: str = "ts", label: str = "label") -> DataFrame:

@@ -19,7 +19,7 @@ from ridelake.operators.audit import row_count
 from ridelake.operators.firstn import first_by_time, hash_sample
 from ridelake.operators.zones import assign_zone, zone_table
 from ridelake.schemas import EVENTS, MODEL_REGISTRY, TRIPS_ENRICHED
-from ridelake.session import shared_dir
+from ridelake.session import shared_dir, tune
 from ridelake.sources import tables
 from ridelake.sources import trips as src
 
@@ -32,7 +32,7 @@ TRAIN_ITERATIONS = 5
 
 
 def query(fn: Query) -> Query:
-    REGISTRY[fn.__name__] = fn
+    REGISTRY[fn.__name__] = lambda spark, sf: fn(tune(spark), sf)
     return fn
 
 

@@ -12,10 +12,19 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # The JVM never compiles a method of more than 8000 bytes of bytecode, so a
+    # larger fused stage would be interpreted; unfused operators are faster.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
     "spark.ui.enabled": "false",
 }
 
 
+def tune(spark: SparkSession) -> SparkSession:
+    """Apply the runtime settings queries rely on to a session built elsewhere."""
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", SETTINGS["spark.sql.codegen.hugeMethodLimit"])
+    return spark
+
+
 def get_session(app: str = "ridelake", master: str | None = None, **conf: str) -> SparkSession:
     """Build a session; keyword names use ``__`` for the dots of a setting."""
     builder = SparkSession.builder.appName(app)

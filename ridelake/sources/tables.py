@@ -13,6 +13,9 @@ from ridelake.operators.audit import counted
 from ridelake.operators.merge import new_rows, upsert
 from ridelake.session import ensure_checkpoint_dir
 
+# Keys of a batch that may be broadcast: a few tens of megabytes.
+BROADCAST_KEYS = 500_000
+
 
 def read_parquet(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
     """Scan with a declared schema, so that no file is opened to infer one."""
@@ -86,13 +89,15 @@ def merge_absent(
 
     ``prune`` names a partition column that a key's rows always share (the day
     of an immutable trip). The table is then read only for the days the batch
-    holds; without it the keys of the whole table are compared.
+    holds; without it the keys of the whole table are compared. Either way the
+    table is read, not shuffled, when a count finds the batch small.
     """
     spark = batch.sparkSession
+    small = batch.select(*keys).count() <= BROADCAST_KEYS
     target = table_or_empty(spark, path, schema)
     if prune:
         target = target.join(batch.select(prune).distinct(), prune, "left_semi")
-    fresh = new_rows(target, batch, keys, order).select(*schema.fieldNames())
+    fresh = new_rows(target, batch, keys, order, broadcast_keys=small).select(*schema.fieldNames())
     return append(fresh, path, by)
 
 

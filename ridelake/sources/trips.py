@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ridelake.functions.fares import round_to, tariff
-from ridelake.operators.enrich import add_geo_columns, min_distance, with_coordinates
+from ridelake.operators.enrich import add_geo_columns, enrich_trips
 from ridelake.schemas import EVENTS
 
 AS_OF = dt.date(2024, 1, 15)
@@ -28,10 +28,10 @@ TRIP_COLUMNS = {
     "origin_lat": "CASE WHEN event_id % 97 = 5 THEN NULL "
     "ELSE CAST(-6370000 + (event_id * 7919 + 13) % 300001 AS DOUBLE) / 1e6 END",
     "origin_lng": "CAST(106680000 + (event_id * 104729 + 7) % 320001 AS DOUBLE) / 1e6",
-    "dest_lat": "CASE WHEN event_id % 89 = 3 THEN CAST(-6370000 + (event_id * 7919 + 13) % 300001 AS DOUBLE) / 1e6 "
-    "ELSE CAST(-6370000 + (event_id * 15485863 + 101) % 300001 AS DOUBLE) / 1e6 END",
-    "dest_lng": "CASE WHEN event_id % 89 = 3 THEN CAST(106680000 + (event_id * 104729 + 7) % 320001 AS DOUBLE) / 1e6 "
-    "ELSE CAST(106680000 + (event_id * 32452843 + 17) % 320001 AS DOUBLE) / 1e6 END",
+    "dest_lat": "CAST(-6370000 + (CASE WHEN event_id % 89 = 3 THEN event_id * 7919 + 13 "
+    "ELSE event_id * 15485863 + 101 END) % 300001 AS DOUBLE) / 1e6",
+    "dest_lng": "CAST(106680000 + (CASE WHEN event_id % 89 = 3 THEN event_id * 104729 + 7 "
+    "ELSE event_id * 32452843 + 17 END) % 320001 AS DOUBLE) / 1e6",
     "request_time": "ts",
     "vehicle_type": "CASE (event_id + user_id) % 3 WHEN 0 THEN 'motor' WHEN 1 THEN 'car' ELSE 'premium' END",
     "surge_multiplier": "CASE WHEN event_id % 6 < 3 THEN 1.0e0 WHEN event_id % 6 = 3 THEN 1.2e0 "
@@ -69,7 +69,7 @@ def located(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def enriched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return min_distance(with_coordinates(located(spark, sf_dir)))
+    return add_fare(enrich_trips(trips(spark, sf_dir)))
 
 
 def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
