@@ -68,7 +68,7 @@ def evaluate(test: DataFrame, model: GBTRegressionModel, version: str, run_ts: d
         "rmse",
         "mae",
         "r2",
-        F.col("n").cast("int").alias("num_samples"),
+        F.col("n").alias("num_samples"),
         F.lit("GBT Regressor").alias("notes"),
     )
 

@@ -2,8 +2,10 @@
 
 A sort with a limit keeps n rows per input task and merges all of them in one
 task: with n in the thousands and many thousands of tasks that merge is too
-large. Here a two-level histogram of the leading sort key finds the bucket in
-which the n-th row falls; only rows up to that bucket are sorted.
+large. Here the leading sort key is counted in coarse buckets, then the one
+bucket that holds the n-th row is counted in fine ones; only rows up to that
+fine bucket are sorted. Each count has a bounded number of groups, so tasks
+send on far fewer rows than they read.
 """
 
 from __future__ import annotations
@@ -16,41 +18,34 @@ from pyspark.sql import functions as F
 from ridelake.functions.times import milli_of_minute, minute_index
 
 
-def _bucket_of_nth(histogram: DataFrame, n: int) -> DataFrame:
-    """One row at most: the (coarse, fine) bucket that holds row number ``n``.
+def _reached(df: DataFrame, bucket: Column, n: Column, before: Column) -> DataFrame:
+    """The bucket that holds row number ``n`` and the rows before it; empty if there are fewer rows.
 
-    ``histogram`` has one row per (coarse, fine). The coarse totals are few
-    (minutes of the data's span, or 65,536 hash values), and so are the fine
-    buckets of the one coarse bucket that is left.
+    The window runs over the buckets' counts, not over rows.
     """
-    running = F.sum("n").over(Window.orderBy("coarse").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    totals = histogram.groupBy("coarse").agg(F.sum("n").alias("n")).withColumn("upto", running)
-    reached = totals.filter((F.col("upto") >= n) & (F.col("upto") - F.col("n") < n)).select(
-        F.col("coarse").alias("hit"), (F.col("upto") - F.col("n")).alias("before")
-    )
-    inside = Window.orderBy("fine").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = df.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    order = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = before + F.sum("n").over(order)
     return (
-        histogram.join(reached, F.col("coarse").eqNullSafe(F.col("hit")))
-        .withColumn("upto", F.sum("n").over(inside) + F.col("before"))
+        counts.withColumn("upto", upto)
         .filter((F.col("upto") >= n) & (F.col("upto") - F.col("n") < n))
-        .select(F.struct("coarse", "fine").alias("cut"))
+        .select(F.struct("bucket", (F.col("upto") - F.col("n")).alias("before")).alias("cut"))
     )
 
 
 def first_n(df: DataFrame, n: int, coarse: Column, fine: Column, order: Sequence[str | Column]) -> DataFrame:
     """First ``n`` rows by ``order``.
 
-    ``(coarse, fine)`` must never decrease along ``order``. All rows are
-    returned when there are fewer than ``n``.
+    ``(coarse, fine)`` must never decrease along ``order``, and both must have
+    a bounded number of values. All rows are returned when there are fewer
+    than ``n``.
     """
-    bucket = F.struct(coarse.alias("coarse"), fine.alias("fine"))
-    histogram = (
-        df.select(bucket.alias("b"))
-        .groupBy(F.col("b.coarse").alias("coarse"), F.col("b.fine").alias("fine"))
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
-    cut = _bucket_of_nth(histogram, n).scalar()
-    return df.filter(F.coalesce(bucket <= cut, F.lit(True))).orderBy(*order).limit(n)
+    first = _reached(df, coarse, F.lit(n), F.lit(0)).scalar()
+    inside = df.filter(coarse.eqNullSafe(first.getField("bucket")))
+    second = _reached(inside, fine, F.lit(n), first.getField("before")).scalar()
+    cut = F.struct(first.getField("bucket").alias("coarse"), second.getField("bucket").alias("fine"))
+    kept = F.struct(coarse.alias("coarse"), fine.alias("fine")) <= cut
+    return df.filter(first.isNull() | kept).orderBy(*order).limit(n)
 
 
 def first_by_time(df: DataFrame, n: int, ts: str, key: str) -> DataFrame:
@@ -70,4 +65,5 @@ def hash_sample(df: DataFrame, n: int, key: str) -> DataFrame:
     partitioning matters and hash buckets are even by construction.
     """
     rank = hash_rank(key)
-    return first_n(df, n, F.shiftright(rank, 16), rank.bitwiseAND(F.lit(0xFFFF)), [rank, F.col(key)])
+    coarse, fine = F.shiftright(rank, 20), F.shiftright(rank, 8).bitwiseAND(F.lit(0xFFF))
+    return first_n(df, n, coarse, fine, [rank, F.col(key)])

@@ -14,11 +14,11 @@ def zone_measures() -> list[Column]:
     """The daily measures of a zone. Averages of nothing stay null, counts become zero."""
     rainy = F.col("weather").isin(*RAIN)
     return [
-        F.count("trip_id").cast("int").alias("trip_count"),
+        F.count("trip_id").alias("trip_count"),
         F.avg("actual_fare").alias("avg_fare"),
         F.avg("distance_km").alias("avg_distance_km"),
         F.avg("surge_multiplier").alias("avg_surge"),
-        F.coalesce(F.sum(rainy.cast("int")), F.lit(0)).cast("int").alias("rain_trip_count"),
+        F.coalesce(F.sum(rainy.cast("int")), F.lit(0)).alias("rain_trip_count"),
     ]
 
 

@@ -34,12 +34,22 @@ UNSCORABLE = StructType([StructField("trip_id", StringType(), True)])
 
 
 def daily_etl(
-    spark: SparkSession, wh: Warehouse, as_of: dt.date, run_ts: dt.datetime, until: dt.date | None = None
+    spark: SparkSession,
+    wh: Warehouse,
+    as_of: dt.date,
+    run_ts: dt.datetime,
+    until: dt.date | None = None,
+    prune_by_day: bool = False,
 ) -> dict[str, int]:
     """Raw trips created in [as_of, until) to raw zone, enriched table and zone statistics.
 
     The enriched rows are written once, to the raw zone; both later steps read
     them back from there. No task recomputes them and none are held in memory.
+
+    By default a trip is looked for in the whole enriched table before it is
+    inserted. ``prune_by_day`` looks on ``as_of`` only: enough when raw trips
+    are unique and the slices of different runs do not overlap, because a
+    repeat can then only come from the same day run again.
     """
     end = until or as_of + dt.timedelta(days=1)
     raw = between_days(tables.read_parquet(spark, wh.raw_trips, RAW_STORED), "created_at", as_of, end)
@@ -47,7 +57,7 @@ def daily_etl(
     dated = rows.withColumn("dt", F.lit(as_of))
     written = tables.overwrite_partitions(dated, wh.raw_zone, "dt")
     batch = tables.read_parquet(spark, wh.raw_zone, ENRICHED_STORED).filter(F.col("dt") == F.lit(as_of))
-    inserted = tables.merge_absent(batch, wh.trips_enriched, ENRICHED_STORED, ["trip_id"], by=["dt"])
+    inserted = tables.merge_absent(batch, wh.trips_enriched, ENRICHED_STORED, ["trip_id"], by=["dt"], prune="dt" if prune_by_day else None)
     stats = align(zone_daily_stats(batch, as_of).withColumn("updated_at", moment(run_ts)), ZONE_DAILY_STATS)
     zones = tables.merge_upsert(stats, wh.zone_daily_stats, ZONE_DAILY_STATS, ["stat_date", "zone"], by="stat_date")
     return {"enriched": written, "inserted": inserted, "zones": zones}
@@ -65,9 +75,11 @@ def train_fares(
     trips = trailing(tables.read_parquet(spark, wh.trips_enriched, ENRICHED_STORED), "processed_at", run_ts, days)
     rows = ft.labelled(training_slice(trips))
     fitted = ft.fit_features(rows, fit_on)
-    train, test = ft.hash_split(fitted.transform(rows).select("features", "label", "trip_id"))
-    model = ml.train(train, max_iter)
     version = f"gbt_fare_{run_ts:%Y%m%d}"
+    # Written out, so that training and evaluation do not derive it again.
+    tables.overwrite(fitted.transform(rows).select("features", "label", "trip_id"), wh.prepared(version))
+    train, test = ft.hash_split(tables.read_parquet(spark, wh.prepared(version)))
+    model = ml.train(train, max_iter)
     fitted.write().overwrite().save(wh.features(version))
     model.write().overwrite().save(wh.model(version))
     metrics = ml.evaluate(test, model, version, run_ts).checkpoint()
@@ -105,10 +117,8 @@ def score_batch(spark: SparkSession, wh: Warehouse, run_ts: dt.datetime, cap: in
     _, features, model = _need_model(spark, wh)
     trips = tables.read_parquet(spark, wh.trips_enriched, ENRICHED_STORED)
     done = tables.table_or_empty(spark, wh.predictions, TRIP_PREDICTIONS)
-    tables.merge_absent(
-        ft.unscorable(trips).select("trip_id"), wh.unscorable, UNSCORABLE, ["trip_id"]
-    )
-    left = unscored(trips, done, tables.table_or_empty(spark, wh.unscorable, UNSCORABLE))
+    tables.overwrite(ft.unscorable(trips).select("trip_id"), wh.unscorable)
+    left = unscored(trips, done, tables.read_parquet(spark, wh.unscorable, UNSCORABLE))
     if cap is not None:
         left = first_by_time(left, cap, "request_time", "trip_id")
     rows = ml.score_trips(left, features, model).withColumn("predicted_at", moment(run_ts))

@@ -63,9 +63,9 @@ REQUESTS = (
 )
 VALID = "predicted_fare > 0 AND actual_fare > 0 AND abs(predicted_fare - actual_fare) / actual_fare <= 0.20e0"
 MEASURES = (
-    "CAST(count(trip_id) AS INTEGER) AS trip_count, round(avg(actual_fare), 4) AS avg_fare, "
-    "round(avg(distance_km), 4) AS avg_distance_km, round(avg(surge_multiplier), 4) AS avg_surge, "
-    "CAST(coalesce(sum(CASE WHEN weather IN ('rain', 'heavy_rain') THEN 1 ELSE 0 END), 0) AS INTEGER) AS rain_trip_count"
+    "count(trip_id) AS trip_count, round(avg(actual_fare) + 1e-9, 4) AS avg_fare, "
+    "round(avg(distance_km) + 1e-9, 4) AS avg_distance_km, round(avg(surge_multiplier) + 1e-9, 4) AS avg_surge, "
+    "CAST(coalesce(sum(CASE WHEN weather IN ('rain', 'heavy_rain') THEN 1 ELSE 0 END), 0) AS BIGINT) AS rain_trip_count"
 )
 FEEDBACK = (
     "SELECT trip_id, CAST(NULL AS VARCHAR) AS driver_id, CAST(NULL AS VARCHAR) AS passenger_id, origin_lat, origin_lng, "
@@ -123,8 +123,8 @@ ORACLE: dict[str, str] = {
         "enriched",
         "SELECT * FROM batch UNION ALL SELECT t.* FROM target t "
         "WHERE NOT EXISTS (SELECT 1 FROM batch b WHERE b.stat_date = t.stat_date AND b.zone = t.zone)",
-        "s AS (SELECT CAST(created_at AS DATE) AS stat_date, origin_zone AS zone, CAST(count(trip_id) AS INTEGER) AS trip_count, "
-        "round(avg(actual_fare), 4) AS avg_fare FROM enriched GROUP BY 1, 2)",
+        "s AS (SELECT CAST(created_at AS DATE) AS stat_date, origin_zone AS zone, count(trip_id) AS trip_count, "
+        "round(avg(actual_fare) + 1e-9, 4) AS avg_fare FROM enriched GROUP BY 1, 2)",
         "target AS (SELECT stat_date, zone, trip_count - 1 AS trip_count, avg_fare FROM s WHERE stat_date < DATE '2024-01-20')",
         "batch AS (SELECT * FROM s WHERE stat_date >= DATE '2024-01-15')",
     ),
@@ -343,7 +343,7 @@ ORACLE: dict[str, str] = {
         "'models/gbt_fare_' || strftime(created_at, '%Y%m%d') AS path, max(created_at) AS created_at, "
         "sqrt(avg(pow(predicted_fare - p.actual_fare, 2))) AS rmse, avg(abs(predicted_fare - p.actual_fare)) AS mae, "
         "coalesce(1 - sum(pow(predicted_fare - p.actual_fare, 2)) / nullif(var_pop(p.actual_fare) * count(*), 0e0), 0e0) AS r2, "
-        "CAST(count(*) AS INTEGER) AS num_samples FROM predictions p JOIN trips t USING (trip_id) "
+        "count(*) AS num_samples FROM predictions p JOIN trips t USING (trip_id) "
         "WHERE p.actual_fare IS NOT NULL GROUP BY 1, 2)",
     ),
 }

@@ -54,6 +54,9 @@ class Warehouse:
     def registry(self) -> str:
         return self._at("model_registry")
 
+    def prepared(self, version: str) -> str:
+        return self._at(f"prepared/{version}")
+
     def model(self, version: str) -> str:
         return self._at(f"models/{version}/model")
 

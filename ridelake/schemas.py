@@ -1,4 +1,8 @@
-"""Table schemas and keys. Timestamps carry no zone; the session runs in UTC."""
+"""Table schemas and keys.
+
+Timestamps carry no zone; the session runs in UTC. Counts are 64-bit: a zone
+of a large table has more trips than 32 bits hold.
+"""
 
 from __future__ import annotations
 
@@ -43,7 +47,7 @@ TRIPS_ENRICHED = _schema(
 )
 
 MODEL_METRICS = _schema(
-    "model_version string, train_date ts, rmse double, mae double, r2 double, num_samples int, notes string"
+    "model_version string, train_date ts, rmse double, mae double, r2 double, num_samples long, notes string"
 )
 
 TRIP_PREDICTIONS = _schema(
@@ -53,8 +57,8 @@ TRIP_PREDICTIONS = _schema(
 )
 
 ZONE_DAILY_STATS = _schema(
-    "stat_date date, zone string, trip_count int, avg_fare double, avg_distance_km double, "
-    "avg_surge double, rain_trip_count int, updated_at ts"
+    "stat_date date, zone string, trip_count long, avg_fare double, avg_distance_km double, "
+    "avg_surge double, rain_trip_count long, updated_at ts"
 )
 
 SCORING_REQUEST = _schema(
@@ -63,7 +67,7 @@ SCORING_REQUEST = _schema(
     "origin_zone string, dest_zone string"
 )
 
-MODEL_REGISTRY = _schema("model_version string, path string, created_at ts, rmse double, mae double, r2 double, num_samples int")
+MODEL_REGISTRY = _schema("model_version string, path string, created_at ts, rmse double, mae double, r2 double, num_samples long")
 
 # One stream event; the zones and time parts an event also carries are
 # recomputed later, so they are not part of the stored fields.

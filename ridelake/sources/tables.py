@@ -76,6 +76,15 @@ def table_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFr
     return read_parquet(spark, path, schema) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
+def on_days_of(target: DataFrame, batch: DataFrame, day: str) -> DataFrame:
+    """Partitions of ``target`` that ``batch`` has rows for.
+
+    There are no more of them than calendar days, so they are broadcast, which
+    lets the scan skip the other partitions.
+    """
+    return target.join(F.broadcast(batch.select(day).distinct()), day, "left_semi")
+
+
 def merge_absent(
     batch: DataFrame,
     path: str,
@@ -96,7 +105,7 @@ def merge_absent(
     small = batch.select(*keys).count() <= BROADCAST_KEYS
     target = table_or_empty(spark, path, schema)
     if prune:
-        target = target.join(batch.select(prune).distinct(), prune, "left_semi")
+        target = on_days_of(target, batch, prune)
     fresh = new_rows(target, batch, keys, order, broadcast_keys=small).select(*schema.fieldNames())
     return append(fresh, path, by)
 
@@ -113,7 +122,7 @@ def merge_upsert(
         raise ValueError("the partition column must be part of the key")
     spark = batch.sparkSession
     ensure_checkpoint_dir(spark)
-    touched = table_or_empty(spark, path, schema).join(batch.select(by).distinct(), by, "left_semi")
+    touched = on_days_of(table_or_empty(spark, path, schema), batch, by)
     batch = batch.select(*schema.fieldNames())
     merged = upsert(touched.select(*schema.fieldNames()), batch, keys, order).checkpoint()
     return overwrite_partitions(merged, path, by)
