@@ -8,6 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def zone_free(moment: dt.datetime) -> Column:
+    """A time literal without a zone, whatever the zones of the session and of this machine."""
+    return F.lit(moment.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def hour_of_day(ts: Column) -> Column:
     return F.hour(ts)
 

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ridelake.functions.fares import relative_error
-from ridelake.schemas import SCORING_REQUEST, TRAINING_COLUMNS
+from ridelake.functions.times import zone_free
+from ridelake.schemas import DEFAULT_NOW, SCORING_REQUEST, TRAINING_COLUMNS
 
 # Defaults for the optional fields of a scoring request.
 REQUEST_DEFAULTS = {
@@ -21,7 +22,7 @@ REQUEST_DEFAULTS = {
 
 
 def _midnight(day: dt.date) -> Column:
-    return F.lit(dt.datetime(day.year, day.month, day.day)).cast("timestamp_ntz")
+    return zone_free(dt.datetime(day.year, day.month, day.day))
 
 
 def between_days(df: DataFrame, ts: str, start: dt.date, end: dt.date) -> DataFrame:
@@ -36,7 +37,7 @@ def day_slice(df: DataFrame, ts: str, as_of: dt.date) -> DataFrame:
 def trailing(df: DataFrame, ts: str, as_of: dt.date | dt.datetime, days: int = 90) -> DataFrame:
     """Rows from the ``days`` days before ``as_of``, and later ones."""
     moment = as_of if isinstance(as_of, dt.datetime) else dt.datetime(as_of.year, as_of.month, as_of.day)
-    return df.filter(F.col(ts) >= F.lit(moment - dt.timedelta(days=days)).cast("timestamp_ntz"))
+    return df.filter(F.col(ts) >= zone_free(moment - dt.timedelta(days=days)))
 
 
 def label_valid(df: DataFrame, label: str = "actual_fare") -> DataFrame:
@@ -89,6 +90,11 @@ def add_if_absent(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df if name in df.columns else df.withColumn(name, value)
 
 
+def with_default_time(df: DataFrame, table: str, run_ts: dt.datetime) -> DataFrame:
+    """Fill in the time column a table's rows get when a writer leaves it out."""
+    return add_if_absent(df, DEFAULT_NOW[table], moment(run_ts))
+
+
 def moment(run_ts: dt.datetime) -> Column:
     """A run's own time as a column; operators never read the clock."""
-    return F.lit(run_ts).cast("timestamp_ntz")
+    return zone_free(run_ts)

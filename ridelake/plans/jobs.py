@@ -18,12 +18,15 @@ from ridelake.ml import model as ml
 from ridelake.operators.enrich import enrich_trips
 from ridelake.operators.firstn import first_by_time
 from ridelake.operators.merge import unscored
-from ridelake.operators.slices import align, between_days, moment, request_defaults, trailing, training_slice
+from ridelake.operators.slices import align, between_days, request_defaults, trailing, training_slice, with_default_time
 from ridelake.operators.stats import zone_daily_stats
-from ridelake.plans.warehouse import ENRICHED_STORED, RAW_STORED, Warehouse
+from ridelake.plans.warehouse import Warehouse
 from ridelake.schemas import (
+    ENRICHED_STORED,
+    KEYS,
     MODEL_METRICS,
     MODEL_REGISTRY,
+    RAW_STORED,
     TRIP_PREDICTIONS,
     TRIPS_ENRICHED,
     ZONE_DAILY_STATS,
@@ -52,14 +55,20 @@ def daily_etl(
     repeat can then only come from the same day run again.
     """
     end = until or as_of + dt.timedelta(days=1)
-    raw = between_days(tables.read_parquet(spark, wh.raw_trips, RAW_STORED), "created_at", as_of, end)
-    rows = align(enrich_trips(raw).withColumn("processed_at", moment(run_ts)), TRIPS_ENRICHED)
+    landed = tables.read_parquet(spark, wh.raw_trips, RAW_STORED).filter(
+        (F.col("dt") >= F.lit(as_of)) & (F.col("dt") < F.lit(end))
+    )
+    raw = between_days(landed, "created_at", as_of, end)
+    rows = align(with_default_time(enrich_trips(raw), "trips_enriched", run_ts), TRIPS_ENRICHED)
     dated = rows.withColumn("dt", F.lit(as_of))
     written = tables.overwrite_partitions(dated, wh.raw_zone, "dt")
     batch = tables.read_parquet(spark, wh.raw_zone, ENRICHED_STORED).filter(F.col("dt") == F.lit(as_of))
-    inserted = tables.merge_absent(batch, wh.trips_enriched, ENRICHED_STORED, ["trip_id"], by=["dt"], prune="dt" if prune_by_day else None)
-    stats = align(zone_daily_stats(batch, as_of).withColumn("updated_at", moment(run_ts)), ZONE_DAILY_STATS)
-    zones = tables.merge_upsert(stats, wh.zone_daily_stats, ZONE_DAILY_STATS, ["stat_date", "zone"], by="stat_date")
+    inserted = tables.merge_absent(
+        batch, wh.trips_enriched, ENRICHED_STORED, KEYS["trips_enriched"], by=["dt"],
+        among=F.col("dt") == F.lit(as_of) if prune_by_day else None,
+    )
+    stats = align(with_default_time(zone_daily_stats(batch, as_of), "zone_daily_stats", run_ts), ZONE_DAILY_STATS)
+    zones = tables.merge_upsert(stats, wh.zone_daily_stats, ZONE_DAILY_STATS, KEYS["zone_daily_stats"], by="stat_date")
     return {"enriched": written, "inserted": inserted, "zones": zones}
 
 
@@ -82,10 +91,10 @@ def train_fares(
     model = ml.train(train, max_iter)
     fitted.write().overwrite().save(wh.features(version))
     model.write().overwrite().save(wh.model(version))
-    metrics = ml.evaluate(test, model, version, run_ts).checkpoint()
-    tables.append(align(metrics, MODEL_METRICS), wh.metrics)
-    entry = metrics.withColumns({"path": F.lit(wh.model(version)), "created_at": F.col("train_date")})
-    tables.append(align(entry, MODEL_REGISTRY), wh.registry)
+    with tables.staged(ml.evaluate(test, model, version, run_ts), "metrics") as metrics:
+        tables.append(align(metrics, MODEL_METRICS), wh.metrics)
+        entry = metrics.withColumns({"path": F.lit(wh.model(version)), "created_at": F.col("train_date")})
+        tables.append(align(entry, MODEL_REGISTRY), wh.registry)
     return version
 
 
@@ -121,7 +130,7 @@ def score_batch(spark: SparkSession, wh: Warehouse, run_ts: dt.datetime, cap: in
     left = unscored(trips, done, tables.read_parquet(spark, wh.unscorable, UNSCORABLE))
     if cap is not None:
         left = first_by_time(left, cap, "request_time", "trip_id")
-    rows = ml.score_trips(left, features, model).withColumn("predicted_at", moment(run_ts))
+    rows = with_default_time(ml.score_trips(left, features, model), "trip_predictions", run_ts)
     # The anti join above left only trips without a prediction, also when a
     # broken run is repeated, so an append keeps one row per trip.
     return tables.append(align(rows, TRIP_PREDICTIONS), wh.predictions)
@@ -131,7 +140,7 @@ def add_feedback(spark: SparkSession, wh: Warehouse, run_ts: dt.datetime, tol: f
     """Insert well-predicted trips the enriched table lacks; returns their number."""
     predictions = tables.read_parquet(spark, wh.predictions, TRIP_PREDICTIONS)
     rows = ml.feedback_rows(predictions, run_ts, tol).withColumn("dt", F.lit(run_ts.date()))
-    return tables.merge_absent(rows, wh.trips_enriched, ENRICHED_STORED, ["trip_id"], by=["dt"])
+    return tables.merge_absent(rows, wh.trips_enriched, ENRICHED_STORED, KEYS["trips_enriched"], by=["dt"])
 
 
 def score_requests(spark: SparkSession, wh: Warehouse, requests: DataFrame, key: str | None = None) -> tuple[DataFrame, DataFrame]:

@@ -284,6 +284,13 @@ ORACLE: dict[str, str] = {
         "SELECT event_id, event_type AS label, count(*) OVER (PARTITION BY event_type ORDER BY ts "
         "RANGE BETWEEN INTERVAL 5 MINUTES PRECEDING AND CURRENT ROW) AS increase_5m FROM events"
     ),
+    "metric_counter_increase": (
+        "WITH s AS (SELECT event_type AS label, ts, max(value) AS value FROM events WHERE value IS NOT NULL GROUP BY 1, 2), "
+        "p AS (SELECT *, lag(value) OVER (PARTITION BY label ORDER BY ts) AS previous FROM s) "
+        "SELECT time_bucket(INTERVAL 5 MINUTES, ts) AS window_start, label, "
+        "round(coalesce(sum(CASE WHEN value < previous THEN value ELSE value - previous END), 0e0), 4) AS increase "
+        "FROM p GROUP BY 1, 2"
+    ),
     "request_rate_per_min": (
         "SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS minute_start, event_type AS status, count(*) AS per_minute "
         "FROM events GROUP BY 1, 2"

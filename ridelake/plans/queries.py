@@ -78,8 +78,8 @@ def raw_zone_copy(spark, sf):
 @query
 def merge_insert_if_absent(spark, sf):
     trips = src.enriched(spark, sf).select("trip_id", "actual_fare", "event_id", "created_at")
-    target = trips.filter(F.col("created_at") < F.lit(dt.datetime(2024, 1, 16)).cast("timestamp_ntz"))
-    batch = trips.filter(F.col("created_at") >= F.lit(dt.datetime(2024, 1, 11)).cast("timestamp_ntz"))
+    target = trips.filter(F.col("created_at") < times.zone_free(dt.datetime(2024, 1, 16)))
+    batch = trips.filter(F.col("created_at") >= times.zone_free(dt.datetime(2024, 1, 11)))
     sent = batch.withColumn("delivery", F.lit(1)).unionByName(
         batch.withColumns({"delivery": F.lit(2), "actual_fare": F.col("actual_fare") + 500})
     )
@@ -352,6 +352,12 @@ def metric_increase_5m(spark, sf):
     )
 
 
+@query
+def metric_counter_increase(spark, sf):
+    samples = src.events(spark, sf).select("ts", F.col("event_type").alias("label"), "value")
+    return _rounded(metrics.counter_increase(samples.filter(F.col("value").isNotNull())), 4, "increase")
+
+
 @query
 def request_rate_per_min(spark, sf):
     return metrics.rate_per_min(src.latency_log(spark, sf))
@@ -448,7 +454,7 @@ def score_requests(spark, sf):
 
 @query
 def feedback_merge(spark, sf):
-    known = src.enriched(spark, sf).filter(F.col("created_at") < F.lit(dt.datetime(2024, 1, 15)).cast("timestamp_ntz"))
+    known = src.enriched(spark, sf).filter(F.col("created_at") < times.zone_free(dt.datetime(2024, 1, 15)))
     target = slices.align(known.withColumn("processed_at", F.col("created_at")), TRIPS_ENRICHED)
     return ml.feedback(src.predictions(spark, sf), target, RUN_TS)
 

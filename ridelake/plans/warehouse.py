@@ -4,14 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql.types import DateType, StructField, StructType
-
-from ridelake.schemas import RAW_TRIPS, TRIPS_ENRICHED
-
-DAY = StructField("dt", DateType(), True)
-RAW_STORED = StructType([*RAW_TRIPS.fields, DAY])
-ENRICHED_STORED = StructType([*TRIPS_ENRICHED.fields, DAY])
-
 
 @dataclass(frozen=True)
 class Warehouse:

@@ -80,6 +80,11 @@ TRAINING_COLUMNS = [
     "surge_multiplier", "weather", "hour_of_day", "day_of_week", "origin_zone", "dest_zone", "actual_fare",
 ]
 
+# Stored trips carry the day they are partitioned by.
+_DAY = StructField("dt", DateType(), True)
+RAW_STORED = StructType([*RAW_TRIPS.fields, _DAY])
+ENRICHED_STORED = StructType([*TRIPS_ENRICHED.fields, _DAY])
+
 KEYS = {
     "raw_trips": ["trip_id"],
     "trips_enriched": ["trip_id"],

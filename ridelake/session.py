@@ -12,6 +12,10 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    # Stream state larger than an executor's memory lives on its disk.
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
     # The JVM never compiles a method of more than 8000 bytes of bytecode, so a
     # larger fused stage would be interpreted; unfused operators are faster.
     "spark.sql.codegen.hugeMethodLimit": "8000",
@@ -45,7 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
     with its machine.
     """
     context = spark.sparkContext
-    named = context.getConf().get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     current = context.getCheckpointDir()

@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from ridelake.operators.audit import counted
 from ridelake.operators.merge import new_rows, upsert
-from ridelake.session import ensure_checkpoint_dir
+from ridelake.session import shared_dir
 
 # Keys of a batch that may be broadcast: a few tens of megabytes.
 BROADCAST_KEYS = 500_000
@@ -76,13 +77,26 @@ def table_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFr
     return read_parquet(spark, path, schema) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
-def on_days_of(target: DataFrame, batch: DataFrame, day: str) -> DataFrame:
-    """Partitions of ``target`` that ``batch`` has rows for.
+def drop(spark: SparkSession, path: str) -> bool:
+    """Delete a table's files; False if there was nothing."""
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
 
-    There are no more of them than calendar days, so they are broadcast, which
-    lets the scan skip the other partitions.
+@contextmanager
+def staged(df: DataFrame, name: str) -> Iterator[DataFrame]:
+    """A written copy of ``df`` in the shared folder, dropped at the end of the block.
+
+    What reads the copy does not depend on how ``df`` was derived, nor on the
+    machines that derived it.
     """
-    return target.join(F.broadcast(batch.select(day).distinct()), day, "left_semi")
+    spark = df.sparkSession
+    path = run_path(shared_dir(spark), f"staging-{name}")
+    df.write.parquet(path)
+    try:
+        yield read_parquet(spark, path, df.schema)
+    finally:
+        drop(spark, path)
 
 
 def merge_absent(
@@ -92,20 +106,20 @@ def merge_absent(
     keys: Sequence[str],
     order: Sequence[str] = (),
     by: Sequence[str] = (),
-    prune: str | None = None,
+    among: Column | None = None,
 ) -> int:
     """Append the rows of ``batch`` whose key the table lacks; returns their number.
 
-    ``prune`` names a partition column that a key's rows always share (the day
-    of an immutable trip). The table is then read only for the days the batch
-    holds; without it the keys of the whole table are compared. Either way the
-    table is read, not shuffled, when a count finds the batch small.
+    ``among`` limits where a key is looked for, by a condition on the table's
+    partition column; without it the keys of the whole table are compared.
+    Either way the table is read, not shuffled, when a count finds the batch
+    small.
     """
     spark = batch.sparkSession
     small = batch.select(*keys).count() <= BROADCAST_KEYS
     target = table_or_empty(spark, path, schema)
-    if prune:
-        target = on_days_of(target, batch, prune)
+    if among is not None:
+        target = target.filter(among)
     fresh = new_rows(target, batch, keys, order, broadcast_keys=small).select(*schema.fieldNames())
     return append(fresh, path, by)
 
@@ -115,17 +129,17 @@ def merge_upsert(
 ) -> int:
     """Upsert ``batch`` into the table partitioned by ``by``, rewriting only the partitions it touches.
 
-    ``by`` must be one of the keys. The merged partitions are checkpointed
-    before they replace the files they were read from.
+    ``by`` must be one of the keys. The merged partitions are staged before
+    they replace the files they were read from.
     """
     if by not in keys:
         raise ValueError("the partition column must be part of the key")
-    spark = batch.sparkSession
-    ensure_checkpoint_dir(spark)
-    touched = on_days_of(table_or_empty(spark, path, schema), batch, by)
+    target = table_or_empty(batch.sparkSession, path, schema).select(*schema.fieldNames())
     batch = batch.select(*schema.fieldNames())
-    merged = upsert(touched.select(*schema.fieldNames()), batch, keys, order).checkpoint()
-    return overwrite_partitions(merged, path, by)
+    # No more values than calendar days: broadcast, they let the scan skip the rest.
+    touched = target.join(F.broadcast(batch.select(by).distinct()), by, "left_semi")
+    with staged(upsert(touched, batch, keys, order), "upsert") as merged:
+        return overwrite_partitions(merged, path, by)
 
 
 def save_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> None:

@@ -6,14 +6,14 @@ import datetime as dt
 from collections.abc import Callable
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ridelake.operators.enrich import enrich_trips
-from ridelake.operators.slices import add_if_absent, align, moment
+from ridelake.operators.slices import align, with_default_time
 from ridelake.operators.stats import zone_measures
-from ridelake.schemas import RAW_TRIPS, ZONE_DAILY_STATS
+from ridelake.schemas import KEYS, RAW_STORED, RAW_TRIPS, ZONE_DAILY_STATS
 from ridelake.sources import tables
 from ridelake.streaming.events import decode
 
@@ -39,22 +39,21 @@ def ingest(
     failure changes nothing: its trips are already there, and its dead letters
     replace the partition that carries its number.
 
-    The landing table is partitioned by the day of the trip's request. With
-    ``prune_by_day`` repeats are looked for on the days of the batch only,
-    which holds when a repeated trip repeats its request time as well.
+    The table is partitioned by the day a trip landed. With ``prune_by_day``
+    an id is looked for from the earliest request day of the batch on: enough
+    when a repeated trip repeats its request time, as no trip lands before it
+    is requested.
     """
-    stored = tables.stamped(raw.sparkSession.createDataFrame([], RAW_TRIPS), "request_time").schema
 
     def land(batch: DataFrame, batch_id: int) -> None:
         decoded = decode(batch).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             good = decoded.filter(F.col("error").isNull())
-            trips = tables.stamped(
-                align(add_if_absent(good, "created_at", moment(clock())), RAW_TRIPS), "request_time"
-            )
+            trips = align(with_default_time(good, "raw_trips", clock()), RAW_TRIPS)
             tables.merge_absent(
-                trips, target, stored, ["trip_id"], by=["dt"], prune="dt" if prune_by_day else None
-            )
+                tables.stamped(trips, "created_at"), target, RAW_STORED, KEYS["raw_trips"], by=["dt"],
+                among=_since_first_request(trips) if prune_by_day else None,
+            )
             bad = decoded.filter(F.col("error").isNotNull()).select(
                 "value", "error", F.lit(batch_id).cast("bigint").alias("batch_id")
             )
@@ -65,6 +64,14 @@ def ingest(
     return _start(raw, land, checkpoint, "append", available_now, interval)
 
 
+def _since_first_request(trips: DataFrame) -> Column | None:
+    """Landing days on which a repeat of these trips can be; all days if a request time is missing."""
+    known = trips.agg(
+        F.min("request_time").cast("date").alias("first"), F.count_if(F.col("request_time").isNull()).alias("missing")
+    ).first()
+    return None if known["missing"] or known["first"] is None else F.col("dt") >= F.lit(known["first"])
+
+
 def live_zone_stats(trips: DataFrame, ts: str = "request_time", delay: str = "1 day") -> DataFrame:
     """Zone statistics per day of a stream of enriched trips; days older than ``delay`` are closed."""
     return (
@@ -92,8 +99,8 @@ def keep_zone_stats(
     """Enrich a stream of raw trips and upsert its zone statistics as they change."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        rows = align(batch.withColumn("updated_at", moment(clock())), ZONE_DAILY_STATS)
-        tables.merge_upsert(rows, table, ZONE_DAILY_STATS, ["stat_date", "zone"], by="stat_date")
+        rows = align(with_default_time(batch, "zone_daily_stats", clock()), ZONE_DAILY_STATS)
+        tables.merge_upsert(rows, table, ZONE_DAILY_STATS, KEYS["zone_daily_stats"], by="stat_date")
 
     stats = live_zone_stats(enrich_trips(raw_trips), delay=delay)
     return _start(stats, merge, checkpoint, "update", available_now, interval)

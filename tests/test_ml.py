@@ -9,8 +9,8 @@ from ridelake.ml import features as ft
 from ridelake.ml import model as ml
 from ridelake.operators.slices import align, training_slice
 from ridelake.plans import jobs
-from ridelake.plans.warehouse import RAW_STORED, Warehouse
-from ridelake.schemas import MODEL_REGISTRY, RAW_TRIPS, ZONE_DAILY_STATS
+from ridelake.plans.warehouse import Warehouse
+from ridelake.schemas import MODEL_REGISTRY, RAW_STORED, RAW_TRIPS, ZONE_DAILY_STATS
 from ridelake.sources import tables
 from ridelake.sources import trips as src
 
@@ -81,7 +81,7 @@ def test_training_weight(spark, sf):
 
 def test_jobs_end_to_end(spark, sf, tmp_path):
     wh = Warehouse(str(tmp_path / "wh"))
-    raw = tables.stamped(align(src.located(spark, sf), RAW_TRIPS), "request_time")
+    raw = tables.stamped(align(src.located(spark, sf), RAW_TRIPS), "created_at")
     tables.overwrite_partitions(raw, wh.raw_trips, "dt")
     assert spark.read.schema(RAW_STORED).parquet(wh.raw_trips).count() == 1000
 

@@ -115,6 +115,29 @@ def test_live_zone_stats_equal_batch(spark, sf, tmp_path):
     assert got.first().updated_at == RUN
 
 
+def test_requests_are_scored_as_a_stream(spark, sf, tmp_path):
+    from ridelake.ml import features as ft
+    from ridelake.ml import model as ml
+    from ridelake.operators.slices import request_defaults, training_slice
+
+    rows = ft.labelled(training_slice(src.enriched(spark, sf)))
+    fitted = ft.fit_features(rows)
+    model = ml.train(fitted.transform(rows), 2)
+    requests = src.requests(spark, sf)
+    requests.repartition(3).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    accepted, _ = request_defaults(stream)
+    query = (
+        ml.score_requests(accepted, fitted, model, "v1", "trip_id").writeStream.format("memory").queryName("fares")
+        .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    )
+    query.awaitTermination(120)
+    batch = ml.score_requests(request_defaults(requests)[0], fitted, model, "v1", "trip_id")
+    got = spark.table("fares")
+    assert got.count() == batch.count() > 900
+    assert got.exceptAll(batch).count() == 0
+
+
 def test_kafka_options():
     options = events.kafka_options("broker:9092", max_per_batch=1000)
     assert options == {

@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from ridelake.schemas import ZONE_DAILY_STATS
 from ridelake.sources import tables
@@ -33,13 +34,13 @@ def test_copy_zone(spark, tmp_path):
 
 
 @pytest.mark.parametrize("limit", [0, tables.BROADCAST_KEYS])
-@pytest.mark.parametrize("prune", [None, "dt"])
-def test_merge_absent(spark, tmp_path, monkeypatch, limit, prune):
+@pytest.mark.parametrize("among", [None, "dt >= DATE'2024-01-01'"])
+def test_merge_absent(spark, tmp_path, monkeypatch, limit, among):
     monkeypatch.setattr(tables, "BROADCAST_KEYS", limit)
     path, schema = str(tmp_path / "t"), frame(spark).schema
     first = frame(spark, ("a", 1, D1), ("b", 2, D2), ("b", 3, D2))
     again = frame(spark, ("b", 9, D2), ("c", 4, D2), (None, 5, D2))
-    args = (path, schema, ["k"], ["v"], ["dt"], prune)
+    args = (path, schema, ["k"], ["v"], ["dt"], among and F.expr(among))
     assert tables.merge_absent(first, *args) == 2
     assert tables.merge_absent(again, *args) == 1
     assert tables.merge_absent(again, *args) == 0
@@ -66,5 +67,19 @@ def test_merge_upsert_rewrites_only_its_days(spark, tmp_path):
         tables.merge_upsert(got, path, ZONE_DAILY_STATS, ["zone"], "stat_date")
 
 
+def test_merge_absent_looks_only_where_told(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), frame(spark).schema
+    tables.merge_absent(frame(spark, ("a", 1, D1), ("b", 2, D2)), path, schema, ["k"], by=["dt"])
+    args = (path, schema, ["k"], (), ["dt"], F.col("dt") == F.lit(D2))
+    assert tables.merge_absent(frame(spark, ("a", 9, D2), ("b", 9, D2)), *args) == 1
+
+
+def test_staged_copy_is_dropped(spark):
+    with tables.staged(spark.range(5).toDF("n"), "t") as copy:
+        path = copy.inputFiles()[0].rsplit("/", 1)[0]
+        assert copy.count() == 5 and tables.exists(spark, path)
+    assert not tables.exists(spark, path) and not tables.drop(spark, path)
+
+
 def test_runs_never_share_a_path():
     assert tables.run_path("/x/", "staging") != tables.run_path("/x", "staging")
