@@ -80,12 +80,11 @@ def merge_insert_if_absent(spark, sf):
     trips = src.enriched(spark, sf).select("trip_id", "actual_fare", "event_id", "created_at")
     target = trips.filter(F.col("created_at") < times.zone_free(dt.datetime(2024, 1, 16)))
     batch = trips.filter(F.col("created_at") >= times.zone_free(dt.datetime(2024, 1, 11)))
-    sent = batch.withColumn("delivery", F.lit(1)).unionByName(
-        batch.withColumns({"delivery": F.lit(2), "actual_fare": F.col("actual_fare") + 500})
-    )
-    return merge.insert_if_absent(
-        target.select("trip_id", "actual_fare"), sent.select("trip_id", "delivery", "actual_fare"), ["trip_id"], ["delivery"]
-    )
+    deliveries = F.array(*[F.struct(F.lit(i).alias("delivery"), fare.alias("actual_fare")) for i, fare in (
+        (1, F.col("actual_fare")), (2, F.col("actual_fare") + 500),
+    )])
+    sent = batch.select("trip_id", F.inline(deliveries))
+    return merge.insert_if_absent(target.select("trip_id", "actual_fare"), sent, ["trip_id"], ["delivery"])
 
 
 @query
@@ -336,9 +335,11 @@ def model_version_label(spark, sf):
 
 @query
 def dedupe_events(spark, sf):
-    trips = src.trips(spark, sf).select("trip_id", "driver_id", "request_time")
-    again = trips.withColumns({"delivery": F.lit(2), "driver_id": F.concat(F.lit("again-"), F.col("driver_id"))})
-    return merge.first_per_key(trips.withColumn("delivery", F.lit(1)).unionByName(again), ["trip_id"], ["delivery"])
+    deliveries = F.array(*[F.struct(F.lit(i).alias("delivery"), driver.alias("driver_id")) for i, driver in (
+        (1, F.col("driver_id")), (2, F.concat(F.lit("again-"), F.col("driver_id"))),
+    )])
+    sent = src.trips(spark, sf).select("trip_id", "request_time", F.inline(deliveries))
+    return merge.first_per_key(sent, ["trip_id"], ["delivery"])
 
 
 # Metric series

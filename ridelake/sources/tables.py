@@ -31,19 +31,28 @@ def overwrite(df: DataFrame, path: str) -> int:
     return seen.get["rows"]
 
 
-def overwrite_partitions(df: DataFrame, path: str, by: str) -> int:
+def _few_files(df: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Bring the rows of a partition together before they are written.
+
+    A rebalance rather than a repartition: adaptive execution splits a large
+    day over many tasks and puts small ones into one.
+    """
+    return df.hint("rebalance", *by) if by else df
+
+
+def overwrite_partitions(df: DataFrame, path: str, by: str, few_files: bool = False) -> int:
     """Replace only the partitions of ``by`` that ``df`` has rows for.
 
-    Rows are not gathered per partition value first: a day may be far larger
-    than a task. Each task writes the days it meets.
+    By default each task writes the partitions it meets, without a shuffle:
+    right for rows of one day. ``few_files`` is for small batches over many.
     """
-    df, seen = counted(df)
+    df, seen = counted(_few_files(df, [by]) if few_files else df)
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
     return seen.get["rows"]
 
 
-def append(df: DataFrame, path: str, by: Sequence[str] = ()) -> int:
-    df, seen = counted(df)
+def append(df: DataFrame, path: str, by: Sequence[str] = (), few_files: bool = False) -> int:
+    df, seen = counted(_few_files(df, by) if few_files else df)
     df.write.mode("append").partitionBy(*by).parquet(path)
     return seen.get["rows"]
 
@@ -107,6 +116,7 @@ def merge_absent(
     order: Sequence[str] = (),
     by: Sequence[str] = (),
     among: Column | None = None,
+    few_files: bool = False,
 ) -> int:
     """Append the rows of ``batch`` whose key the table lacks; returns their number.
 
@@ -121,7 +131,7 @@ def merge_absent(
     if among is not None:
         target = target.filter(among)
     fresh = new_rows(target, batch, keys, order, broadcast_keys=small).select(*schema.fieldNames())
-    return append(fresh, path, by)
+    return append(fresh, path, by, few_files)
 
 
 def merge_upsert(
@@ -139,7 +149,7 @@ def merge_upsert(
     # No more values than calendar days: broadcast, they let the scan skip the rest.
     touched = target.join(F.broadcast(batch.select(by).distinct()), by, "left_semi")
     with staged(upsert(touched, batch, keys, order), "upsert") as merged:
-        return overwrite_partitions(merged, path, by)
+        return overwrite_partitions(merged, path, by, few_files=True)
 
 
 def save_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> None:

@@ -52,12 +52,12 @@ def ingest(
             trips = align(with_default_time(good, "raw_trips", clock()), RAW_TRIPS)
             tables.merge_absent(
                 tables.stamped(trips, "created_at"), target, RAW_STORED, KEYS["raw_trips"], by=["dt"],
-                among=_since_first_request(trips) if prune_by_day else None,
+                among=_since_first_request(trips) if prune_by_day else None, few_files=True,
             )
             bad = decoded.filter(F.col("error").isNotNull()).select(
                 "value", "error", F.lit(batch_id).cast("bigint").alias("batch_id")
             )
-            tables.overwrite_partitions(bad, dead_letter, "batch_id")
+            tables.overwrite_partitions(bad, dead_letter, "batch_id", few_files=True)
         finally:
             decoded.unpersist()
 
