@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ridelake.functions.fares import to_label
 from ridelake.operators.firstn import hash_rank
 
+# The model's inputs.
 CATEGORIES = ["vehicle_type", "weather", "origin_zone", "dest_zone"]
 NUMBERS = [
     "distance_km", "surge_multiplier", "hour_of_day", "day_of_week",

@@ -12,13 +12,10 @@ from pyspark.sql import functions as F
 from ridelake.functions.fares import from_label, round_to
 from ridelake.operators.merge import insert_if_absent
 from ridelake.operators.slices import align, moment, valid_predictions
-from ridelake.schemas import TRIPS_ENRICHED
+from ridelake.schemas import DEFAULT_NOW, TRIP_PREDICTIONS, TRIPS_ENRICHED
 from ridelake.session import ensure_checkpoint_dir
 
-SCORED_COLUMNS = [
-    "trip_id", "origin_lat", "origin_lng", "dest_lat", "dest_lng", "distance_km", "vehicle_type",
-    "surge_multiplier", "weather", "hour_of_day", "day_of_week", "origin_zone", "predicted_fare", "actual_fare",
-]
+SCORED_COLUMNS = [name for name in TRIP_PREDICTIONS.fieldNames() if name != DEFAULT_NOW["trip_predictions"]]
 
 
 def train(

@@ -10,12 +10,13 @@ send on far fewer rows than they read.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import datetime as dt
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridelake.functions.times import milli_of_minute, minute_index
+from ridelake.functions.times import milli_of_minute, minute_index, zone_free
 
 
 def _reached(df: DataFrame, bucket: Column, n: Column, before: Column) -> DataFrame:
@@ -33,24 +34,45 @@ def _reached(df: DataFrame, bucket: Column, n: Column, before: Column) -> DataFr
     )
 
 
-def first_n(df: DataFrame, n: int, coarse: Column, fine: Column, order: Sequence[str | Column]) -> DataFrame:
+def first_n(
+    df: DataFrame,
+    n: int,
+    coarse: Column,
+    fine: Column,
+    order: Sequence[str | Column],
+    limit_of: Callable[[DataFrame], DataFrame] | None = None,
+    limited: str | None = None,
+) -> DataFrame:
     """First ``n`` rows by ``order``.
 
     ``(coarse, fine)`` must never decrease along ``order``, and both must have
     a bounded number of values. All rows are returned when there are fewer
-    than ``n``.
+    than ``n``. ``limit_of`` may turn the coarse bucket into a value that the
+    column ``limited`` stays below; a plain comparison with it reaches the scan.
     """
-    first = _reached(df, coarse, F.lit(n), F.lit(0)).scalar()
-    inside = df.filter(coarse.eqNullSafe(first.getField("bucket")))
+    reached = _reached(df, coarse, F.lit(n), F.lit(0))
+    near = df
+    if limit_of is not None and limited is not None:
+        near = df.filter(F.col(limited).isNull() | (F.col(limited) < limit_of(reached.select("cut.bucket")).scalar()))
+    first = reached.scalar()
+    inside = near.filter(coarse.eqNullSafe(first.getField("bucket")))
     second = _reached(inside, fine, F.lit(n), first.getField("before")).scalar()
     cut = F.struct(first.getField("bucket").alias("coarse"), second.getField("bucket").alias("fine"))
     kept = F.struct(coarse.alias("coarse"), fine.alias("fine")) <= cut
-    return df.filter(first.isNull() | kept).orderBy(*order).limit(n)
+    return near.filter(first.isNull() | kept).orderBy(*order).limit(n)
+
+
+def _end_of_minute(minutes: DataFrame) -> DataFrame:
+    """End of the one minute given, or the end of time if there is none."""
+    day, minute = F.floor(F.col("bucket") / 1440).cast("int"), F.pmod("bucket", F.lit(1440)).cast("int")
+    end = zone_free(dt.datetime(1970, 1, 1)) + F.make_dt_interval(days=day, mins=minute + 1)
+    return minutes.agg(F.coalesce(F.max(end), zone_free(dt.datetime.max)))
 
 
 def first_by_time(df: DataFrame, n: int, ts: str, key: str) -> DataFrame:
     """First ``n`` rows by time, then key: buckets are the minute and the millisecond."""
-    return first_n(df, n, minute_index(F.col(ts)), milli_of_minute(F.col(ts)), [ts, key])
+    t = F.col(ts)
+    return first_n(df, n, minute_index(t), milli_of_minute(t), [ts, key], _end_of_minute, ts)
 
 
 def hash_rank(key: str) -> Column:

@@ -22,28 +22,20 @@ _FROM_START = (Window.unboundedPreceding, Window.currentRow)
 def _running_total(points: DataFrame, label: str, ts: str, delta: str, out: str) -> DataFrame:
     """Running total of ``delta`` per label in time order, equal times included.
 
-    Every minute of a label is summed by itself and starts from the total of
-    the minutes before it, so no task sees a whole label.
+    Every minute of a label is summed by itself, after one extra row that
+    carries the total of the minutes before it and sorts first, having no
+    time. No task sees a whole label. The extra rows are part of the result.
     """
     points = points.withColumn("minute", minute_index(F.col(ts)))
-    starts = (
+    minutes = Window.partitionBy(label).orderBy("minute").rowsBetween(*_FROM_START)
+    carried = (
         points.groupBy(label, "minute")
         .agg(F.sum(delta).alias("sum"))
-        .select(
-            label,
-            "minute",
-            (
-                F.sum("sum").over(Window.partitionBy(label).orderBy("minute").rowsBetween(*_FROM_START))
-                - F.col("sum")
-            ).alias("start"),
-        )
+        .select(label, "minute", (F.sum("sum").over(minutes) - F.col("sum")).alias(delta))
     )
     inside = Window.partitionBy(label, "minute").orderBy(ts).rangeBetween(*_FROM_START)
-    return (
-        points.join(starts, [label, "minute"])
-        .withColumn(out, F.col("start") + F.sum(delta).over(inside))
-        .drop("minute", "start")
-    )
+    rows = points.unionByName(carried, allowMissingColumns=True)
+    return rows.withColumn(out, F.sum(delta).over(inside)).drop("minute")
 
 
 def increase(df: DataFrame, window: dt.timedelta, ts: str = "ts", label: str = "label") -> DataFrame:
@@ -112,7 +104,9 @@ def _cumulative(value: Column, bounds: Sequence[float]) -> list[Column]:
     return [F.count(F.when(value <= b, F.lit(1))).alias(f"le{i}") for i, b in enumerate(bounds)]
 
 
-def buckets(df: DataFrame, bounds: Sequence[float] = LATENCY_BOUNDS, value: str = "value", label: str = "label") -> DataFrame:
+def buckets(
+    df: DataFrame, bounds: Sequence[float] = LATENCY_BOUNDS, value: str = "value", label: str = "label"
+) -> DataFrame:
     """Cumulative histogram per label: one row per bound with the values at or below it."""
     counted = df.groupBy(label).agg(*_cumulative(F.col(value), bounds), F.count(value).alias("n"))
     rows = F.array(

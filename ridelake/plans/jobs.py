@@ -27,6 +27,7 @@ from ridelake.schemas import (
     MODEL_METRICS,
     MODEL_REGISTRY,
     RAW_STORED,
+    RAW_TRIPS,
     TRIP_PREDICTIONS,
     TRIPS_ENRICHED,
     ZONE_DAILY_STATS,
@@ -36,6 +37,17 @@ from ridelake.sources import tables
 UNSCORABLE = StructType([StructField("trip_id", StringType(), True)])
 
 
+def land_trips(spark: SparkSession, wh: Warehouse, source: DataFrame, start: dt.date, end: dt.date) -> int:
+    """Copy trips created in [start, end) from another store into raw trips; returns the new ones.
+
+    ``source`` may be a database table: the range becomes part of its scan, and
+    the rows are staged so that it is scanned once.
+    """
+    rows = tables.stamped(align(between_days(source, "created_at", start, end), RAW_TRIPS), "created_at")
+    with tables.staged(rows, "raw") as batch:
+        return tables.merge_absent(batch, wh.raw_trips, RAW_STORED, KEYS["raw_trips"], by=["dt"], few_files=True)
+
+
 def daily_etl(
     spark: SparkSession,
     wh: Warehouse,
@@ -143,7 +155,9 @@ def add_feedback(spark: SparkSession, wh: Warehouse, run_ts: dt.datetime, tol: f
     return tables.merge_absent(rows, wh.trips_enriched, ENRICHED_STORED, KEYS["trips_enriched"], by=["dt"])
 
 
-def score_requests(spark: SparkSession, wh: Warehouse, requests: DataFrame, key: str | None = None) -> tuple[DataFrame, DataFrame]:
+def score_requests(
+    spark: SparkSession, wh: Warehouse, requests: DataFrame, key: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Fares for a table or stream of requests, and the requests that were rejected."""
     version, features, model = _need_model(spark, wh)
     accepted, rejected = request_defaults(requests)

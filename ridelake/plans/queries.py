@@ -55,7 +55,8 @@ _ZONE_AVERAGES = ("avg_fare", "avg_distance_km", "avg_surge")
 
 @query
 def scan_parquet(spark, sf):
-    return tables.read_parquet(spark, f"{sf}/events.parquet", EVENTS).select("event_id", "user_id", "event_type", "value")
+    events = tables.read_parquet(spark, f"{sf}/events.parquet", EVENTS)
+    return events.select("event_id", "user_id", "event_type", "value")
 
 
 @query
@@ -70,7 +71,8 @@ def scan_project_limit(spark, sf):
 @query
 def raw_zone_copy(spark, sf):
     base = tables.run_path(shared_dir(spark), "zones")
-    trips = tables.stamped(src.enriched(spark, sf).select("trip_id", "distance_km", "origin_zone", "created_at"), "created_at")
+    trips = src.enriched(spark, sf).select("trip_id", "distance_km", "origin_zone", "created_at")
+    trips = tables.stamped(trips, "created_at")
     tables.overwrite_partitions(trips, f"{base}/staging", "dt")
     return tables.copy_zone(spark, f"{base}/staging", f"{base}/raw", trips.schema).drop("created_at")
 
@@ -178,7 +180,8 @@ def prediction_audit_bounds(spark, sf):
 
 @query
 def unscored_trips(spark, sf):
-    return merge.unscored(src.enriched(spark, sf), src.predictions(spark, sf)).select("trip_id", "request_time", "actual_fare")
+    left = merge.unscored(src.enriched(spark, sf), src.predictions(spark, sf))
+    return left.select("trip_id", "request_time", "actual_fare")
 
 
 @query
@@ -233,7 +236,8 @@ def regression_metrics(spark, sf):
 
 @query
 def median_fare_by_vehicle(spark, sf):
-    return _rounded(quantiles.median_by(src.enriched(spark, sf), "vehicle_type", "actual_fare"), 4, "median_actual_fare")
+    medians = quantiles.median_by(src.enriched(spark, sf), "vehicle_type", "actual_fare")
+    return _rounded(medians, 4, "median_actual_fare")
 
 
 @query

@@ -33,6 +33,7 @@ def _schema(text: str) -> StructType:
     return StructType([StructField(name, _TYPES[kind], True) for name, kind in pairs])
 
 
+# The tables' columns, in their stored order.
 RAW_TRIPS = _schema(
     "trip_id string, driver_id string, passenger_id string, origin_lat double, origin_lng double, "
     "dest_lat double, dest_lng double, request_time ts, distance_km double, vehicle_type string, "
@@ -67,7 +68,9 @@ SCORING_REQUEST = _schema(
     "origin_zone string, dest_zone string"
 )
 
-MODEL_REGISTRY = _schema("model_version string, path string, created_at ts, rmse double, mae double, r2 double, num_samples long")
+MODEL_REGISTRY = _schema(
+    "model_version string, path string, created_at ts, rmse double, mae double, r2 double, num_samples long"
+)
 
 # One stream event; the zones and time parts an event also carries are
 # recomputed later, so they are not part of the stored fields.
@@ -75,6 +78,7 @@ TRIP_EVENT = StructType([f for f in RAW_TRIPS if f.name != "created_at"])
 
 EVENTS = _schema("event_id long, ts ts, user_id long, event_type string, value double, props string")
 
+# What the model is trained on.
 TRAINING_COLUMNS = [
     "trip_id", "origin_lat", "origin_lng", "dest_lat", "dest_lng", "distance_km", "vehicle_type",
     "surge_multiplier", "weather", "hour_of_day", "day_of_week", "origin_zone", "dest_zone", "actual_fare",

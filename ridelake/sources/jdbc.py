@@ -56,7 +56,9 @@ def write_options(url: str, table: str, properties: dict[str, str], batch: int =
     return {"url": url, "dbtable": table, "batchsize": str(batch), **properties}
 
 
-def write_table(df: DataFrame, mode: str, url: str, table: str, properties: dict[str, str], batch: int = WRITE_BATCH) -> None:
+def write_table(
+    df: DataFrame, mode: str, url: str, table: str, properties: dict[str, str], batch: int = WRITE_BATCH
+) -> None:
     df.write.format("jdbc").mode(mode).options(**write_options(url, table, properties, batch)).save()
 
 

@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -76,14 +77,14 @@ def run_path(base: str, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath)
-
-
 def table_or_empty(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     """The table at ``path``, or an empty one if nothing was written yet."""
-    return read_parquet(spark, path, schema) if exists(spark, path) else spark.createDataFrame([], schema)
+    try:
+        return read_parquet(spark, path, schema)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def drop(spark: SparkSession, path: str) -> bool:

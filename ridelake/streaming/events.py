@@ -12,7 +12,9 @@ TOPIC = "trip_events"
 CORRUPT = "_corrupt"
 
 
-def kafka_options(brokers: str, topic: str = TOPIC, starting: str = "earliest", max_per_batch: int | None = None) -> dict[str, str]:
+def kafka_options(
+    brokers: str, topic: str = TOPIC, starting: str = "earliest", max_per_batch: int | None = None
+) -> dict[str, str]:
     """Options of the Kafka source. The checkpoint, not a consumer group, keeps the position."""
     options = {"kafka.bootstrap.servers": brokers, "subscribe": topic, "startingOffsets": starting}
     if max_per_batch is not None:

@@ -81,15 +81,20 @@ def test_training_weight(spark, sf):
 
 def test_jobs_end_to_end(spark, sf, tmp_path):
     wh = Warehouse(str(tmp_path / "wh"))
-    raw = tables.stamped(align(src.located(spark, sf), RAW_TRIPS), "created_at")
-    tables.overwrite_partitions(raw, wh.raw_trips, "dt")
+    source = align(src.located(spark, sf), RAW_TRIPS)
+    half, end = dt.date(2024, 1, 16), dt.date(2024, 2, 1)
+    first = jobs.land_trips(spark, wh, source, dt.date(2024, 1, 1), half)
+    assert first + jobs.land_trips(spark, wh, source, dt.date(2024, 1, 10), end) == 1000
     assert spark.read.schema(RAW_STORED).parquet(wh.raw_trips).count() == 1000
 
-    first, rest, end = dt.date(2024, 1, 1), dt.date(2024, 1, 20), dt.date(2024, 2, 1)
+    none = jobs.daily_etl(spark, wh, dt.date(2023, 12, 1), RUN)
+    assert none == {"enriched": 0, "inserted": 0, "zones": 0}
+
+    first, rest = dt.date(2024, 1, 1), dt.date(2024, 1, 20)
     one = jobs.daily_etl(spark, wh, first, RUN, until=rest)
     two = jobs.daily_etl(spark, wh, rest, RUN, until=end)
     assert one["inserted"] + two["inserted"] == 976
-    again = jobs.daily_etl(spark, wh, rest, RUN, until=end)
+    again = jobs.daily_etl(spark, wh, rest, RUN, until=end, prune_by_day=True)
     assert again["inserted"] == 0 and again["enriched"] == two["enriched"]
     stats = spark.read.schema(ZONE_DAILY_STATS).parquet(wh.zone_daily_stats)
     assert stats.count() == 12 and stats.agg(F.sum("trip_count")).first()[0] == 976

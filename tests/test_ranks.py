@@ -90,6 +90,12 @@ def test_hash_sample(spark, n):
     assert [r.k for r in firstn.hash_sample(df, n, "k").collect()] == want
 
 
+def test_the_time_limit_reaches_the_scan(spark, sf):
+    df = spark.read.parquet(f"{sf}/events.parquet").select("event_id", "ts")
+    plan = firstn.first_by_time(df, 10, "ts", "event_id")._jdf.queryExecution().executedPlan().toString()
+    assert "LessThan(ts,ScalarSubquery" in plan
+
+
 def test_only_rows_up_to_the_cut_are_sorted(spark):
     df = spark.range(100_000).select(F.concat(F.lit("k"), "id").alias("k"))
     taken = firstn.hash_sample(df, 100, "k")
