@@ -19,6 +19,8 @@ SETTINGS = {
     # The JVM never compiles a method of more than 8000 bytes of bytecode, so a
     # larger fused stage would be interpreted; unfused operators are faster.
     "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Recording the caller of every column call doubles the time to build a query.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.ui.enabled": "false",
 }
 

@@ -64,8 +64,10 @@ def parse_events(raw: DataFrame, schema: StructType = TRIP_EVENT, key: str = "tr
 def dedupe(df: DataFrame, key: str = "trip_id", ts: str = "request_time", delay: str = "1 day") -> DataFrame:
     """Drop repeats of a key that arrive within ``delay`` of it in event time.
 
-    The watermark bounds what is remembered. It needs a zoned time, so the
-    column is converted for it and restored.
+    The watermark bounds what is remembered. Events that come later than it are
+    dropped, so this is for live views; the landing table takes every event and
+    compares ids itself. The watermark needs a zoned time, so the column is
+    converted for it.
     """
     return (
         df.withColumn("_event_time", F.col(ts).cast("timestamp"))

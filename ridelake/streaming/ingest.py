@@ -73,7 +73,11 @@ def _since_first_request(trips: DataFrame) -> Column | None:
 
 
 def live_zone_stats(trips: DataFrame, ts: str = "request_time", delay: str = "1 day") -> DataFrame:
-    """Zone statistics per day of a stream of enriched trips; days older than ``delay`` are closed."""
+    """Zone statistics per day of a stream of enriched trips.
+
+    Days older than ``delay`` are closed: a later trip no longer changes the
+    live figures. It is landed all the same, and the daily job counts it.
+    """
     return (
         trips.withColumn("_event_time", F.col(ts).cast("timestamp"))
         .withWatermark("_event_time", delay)
