@@ -86,7 +86,7 @@ def score_requests(
     """Fare in steps of 500 for every accepted request, with its distance and the model version."""
     return predict(accepted, features, model).select(
         *([key] if key else []),
-        round_to(F.col("predicted_fare")).alias("predicted_fare_idr"),
+        round_to(F.col("predicted_fare")).cast("bigint").alias("predicted_fare_idr"),
         F.lit(version).alias("model_version"),
         "distance_km",
     )

@@ -89,6 +89,19 @@ _DAY = StructField("dt", DateType(), True)
 RAW_STORED = StructType([*RAW_TRIPS.fields, _DAY])
 ENRICHED_STORED = StructType([*TRIPS_ENRICHED.fields, _DAY])
 
+# Longest text each stored column takes.
+MAX_LENGTH = {
+    "trip_id": 50,
+    "driver_id": 50,
+    "passenger_id": 50,
+    "vehicle_type": 20,
+    "weather": 20,
+    "origin_zone": 30,
+    "dest_zone": 30,
+    "zone": 30,
+    "model_version": 50,
+}
+
 KEYS = {
     "raw_trips": ["trip_id"],
     "trips_enriched": ["trip_id"],

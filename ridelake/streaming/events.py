@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from ridelake.schemas import TRIP_EVENT
+from ridelake.schemas import MAX_LENGTH, TRIP_EVENT
 
 TOPIC = "trip_events"
 CORRUPT = "_corrupt"
@@ -36,6 +36,24 @@ def read_lines(spark: SparkSession, path: str, files_per_batch: int | None = Non
     return reader.load(path).select("value")
 
 
+def _problem(event: Column, schema: StructType, key: str) -> Column:
+    """Why a record cannot be stored, or null.
+
+    Every stored field must be there, though all but the key may be null, and
+    no text may be longer than its column.
+    """
+    absent = F.array_except(F.array(*[F.lit(f.name) for f in schema]), F.json_object_keys("value"))
+    problem = (
+        F.when(event.isNull() | event[CORRUPT].isNotNull(), F.lit("not a trip event"))
+        .when(event[key].isNull(), F.lit(f"no {key}"))
+        .when(F.size(absent) > 0, F.concat(F.lit("no "), F.array_join(absent, ", ")))
+    )
+    for field in schema:
+        if field.name in MAX_LENGTH:
+            problem = problem.when(F.length(event[field.name]) > MAX_LENGTH[field.name], F.lit(f"{field.name} too long"))
+    return problem.otherwise(F.lit(None).cast("string"))
+
+
 def decode(raw: DataFrame, schema: StructType = TRIP_EVENT, key: str = "trip_id") -> DataFrame:
     """Add the event's fields and ``error``: null, or why the record cannot be stored.
 
@@ -44,13 +62,10 @@ def decode(raw: DataFrame, schema: StructType = TRIP_EVENT, key: str = "trip_id"
     wide = StructType([*schema.fields, StructField(CORRUPT, StringType(), True)])
     parsed = F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
     event = F.col("_event")
-    error = (
-        F.when(event.isNull() | event[CORRUPT].isNotNull(), F.lit("not a trip event"))
-        .when(event[key].isNull(), F.lit(f"no {key}"))
-        .otherwise(F.lit(None).cast("string"))
-    )
     return raw.withColumn("_event", parsed).select(
-        "value", error.alias("error"), *[event[f.name].alias(f.name) for f in schema]
+        "value",
+        _problem(event, schema, key).alias("error"),
+        *[event[f.name].alias(f.name) for f in schema],
     )
 
 

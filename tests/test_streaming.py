@@ -19,7 +19,7 @@ def event_lines(spark, sf):
     """Sent events as JSON text; the first forty of a stable order."""
     rows = align(src.located(spark, sf), TRIP_EVENT).orderBy("trip_id").limit(40)
     wide = rows.withColumns({"origin_zone": F.lit("sender's"), "hour_of_day": F.lit(99)})
-    return [r[0] for r in wide.select(F.to_json(F.struct("*"))).collect()]
+    return [r[0] for r in wide.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"})).collect()]
 
 
 def write(folder, name, lines):
@@ -43,6 +43,22 @@ def test_parse_splits_good_from_bad(spark, event_lines):
     assert first.trip_id == sent["trip_id"] and first.request_time.isoformat()[:19] == sent["request_time"][:19]
 
 
+def test_records_the_table_cannot_take(spark, event_lines):
+    sent = json.loads(event_lines[0])
+    cases = {
+        "null fields are fine": (sent | {"weather": None, "actual_fare": None, "request_time": None}, None),
+        "null key": (sent | {"trip_id": None}, "no trip_id"),
+        "field left out": ({k: v for k, v in sent.items() if k not in ("weather", "dest_lat")}, "no dest_lat, weather"),
+        "long text": (sent | {"weather": "x" * 21}, "weather too long"),
+        "longest text": (sent | {"weather": "x" * 20}, None),
+        "bad number": (sent | {"distance_km": "far"}, "not a trip event"),
+    }
+    raw = spark.createDataFrame([(json.dumps(v),) for v, _ in cases.values()], "value string")
+    errors = {r.value: r.error for r in events.decode(raw).collect()}
+    for name, (value, error) in cases.items():
+        assert errors[json.dumps(value)] == error, name
+
+
 def run(spark, tmp_path, **kwargs):
     raw = events.read_lines(spark, str(tmp_path / "in"), files_per_batch=1)
     query = ingest.ingest(
