@@ -18,11 +18,15 @@ BUCKETS = 65_536
 
 
 def value_counts(df: DataFrame, by: str, x: str) -> DataFrame:
-    """(group, x, n): how often each value occurs; null and NaN are left out."""
-    value = F.col(x).cast("double")
+    """(group, x, n): how often each value occurs; null and NaN are left out.
+
+    NaN becomes null first: a filter is pushed down to where ``x`` is derived
+    and derives it again for each time it names it.
+    """
+    value = F.nanvl(F.col(x).cast("double"), F.lit(None).cast("double"))
     return (
         df.select(F.col(by).alias("grp"), value.alias("x"))
-        .filter(F.col("x").isNotNull() & ~F.isnan("x"))
+        .filter(F.col("x").isNotNull())
         .groupBy("grp", "x")
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -122,20 +122,24 @@ def load_latest(
     return version, PipelineModel.load(wh.features(version)), GBTRegressionModel.load(wh.model(version))
 
 
-def _need_model(spark: SparkSession, wh: Warehouse) -> tuple[str, PipelineModel, GBTRegressionModel]:
-    loaded = load_latest(spark, wh)
+def _need_model(
+    spark: SparkSession, wh: Warehouse, min_r2: float | None
+) -> tuple[str, PipelineModel, GBTRegressionModel]:
+    loaded = load_latest(spark, wh, min_r2)
     if loaded is None:
-        raise LookupError("no model is registered yet; run train_fares first")
+        raise LookupError("no good model is registered yet; run train_fares first")
     return loaded
 
 
-def score_batch(spark: SparkSession, wh: Warehouse, run_ts: dt.datetime, cap: int | None = None) -> int:
+def score_batch(
+    spark: SparkSession, wh: Warehouse, run_ts: dt.datetime, cap: int | None = None, min_r2: float | None = None
+) -> int:
     """Score the trips that have no prediction; returns the number of predictions written.
 
     Trips the model cannot use are listed once and then left out, so that with
     a cap they do not fill every batch.
     """
-    _, features, model = _need_model(spark, wh)
+    _, features, model = _need_model(spark, wh, min_r2)
     trips = tables.read_parquet(spark, wh.trips_enriched, ENRICHED_STORED)
     done = tables.table_or_empty(spark, wh.predictions, TRIP_PREDICTIONS)
     tables.overwrite(ft.unscorable(trips).select("trip_id"), wh.unscorable)
@@ -156,9 +160,9 @@ def add_feedback(spark: SparkSession, wh: Warehouse, run_ts: dt.datetime, tol: f
 
 
 def score_requests(
-    spark: SparkSession, wh: Warehouse, requests: DataFrame, key: str | None = None
+    spark: SparkSession, wh: Warehouse, requests: DataFrame, key: str | None = None, min_r2: float | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """Fares for a table or stream of requests, and the requests that were rejected."""
-    version, features, model = _need_model(spark, wh)
+    version, features, model = _need_model(spark, wh, min_r2)
     accepted, rejected = request_defaults(requests)
     return ml.score_requests(accepted, features, model, version, key), rejected

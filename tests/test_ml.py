@@ -106,6 +106,8 @@ def test_jobs_end_to_end(spark, sf, tmp_path):
     metrics = spark.read.parquet(wh.metrics).first()
     assert metrics["model_version"] == version and metrics["r2"] > 0.8
 
+    with pytest.raises(LookupError):
+        jobs.score_batch(spark, wh, RUN, min_r2=1.01)
     assert jobs.score_batch(spark, wh, RUN, cap=100) == 100
     assert jobs.score_batch(spark, wh, RUN) == 876
     assert jobs.score_batch(spark, wh, RUN) == 0
