@@ -2,17 +2,28 @@
 
 from __future__ import annotations
 
+import public_tokenizers
+
 from pyspark.sql import DataFrame, SparkSession
 
-from ridelake.llm import warc
+from ridelake.llm import bpe, warc
 from ridelake.llm.common import table
 
 
+#: The vocabulary file and the pattern of its pre-tokens.
+VOCABULARY = "byte_bpe_50k.tiktoken"
+
+
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
 def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages")).drop("url")
 
 
 QUERIES = {
+    "op3_byte_bpe": op3_byte_bpe,
     "op9_warc_round_trip": op9_warc_round_trip,
 }
 
