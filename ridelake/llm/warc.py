@@ -253,7 +253,7 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(zip(*rows), kinds)], names)
 
-    return files.repartition(F.col("file")).mapInArrow(run, READ)
+    return files.repartition(max(1, files.count())).mapInArrow(run, READ)
 
 
 def archived(pages: DataFrame, folder: str | None = None, **sizes: int) -> DataFrame:
