@@ -1,10 +1,11 @@
 """Byte-level BPE over a whole corpus: each distinct word is encoded once.
 
 Texts are cut into pre-tokens chunk by chunk. A chunk keeps where in its texts
-each of its words stands, and sends its distinct words on. Words meet by a
-shuffle, every distinct word is encoded once, and the token ids are joined back
-to the chunks, which put them together by position. Decoding looks ids up in
-the table of token bytes, whose size the vocabulary bounds.
+each of its words stands, and sends its distinct words on, dealt by hash into
+buckets and packed: a row per word would cost several times the disk. Words meet
+by a shuffle of the buckets, every distinct word is encoded once, and the token
+ids are joined back to the chunks, which put them together by position. Decoding
+looks ids up in the table of token bytes, whose size the vocabulary bounds.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 
@@ -27,9 +29,11 @@ from pyspark.sql import functions as F
 from ridelake.llm.common import short_batches
 
 #: Characters of text in a chunk; a longer text is a chunk of its own.
-CHUNK_CHARS = 16 << 20
+CHUNK_CHARS = 32 << 20
+#: Buckets of words for each shuffle partition.
+BUCKETS = 4
 
-CHUNK = "chunk long, doc_ids array<long>, sizes array<int>, spots binary, words array<string>"
+CHUNK = "chunk long, doc_ids array<long>, sizes array<int>, spots binary, words binary"
 ENCODED = "doc_id long, n_tokens long, ids binary"
 
 
@@ -73,17 +77,38 @@ def encode_word(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return ids
 
 
-def _pack(spots: np.ndarray) -> bytes:
+def _pack(numbers: np.ndarray) -> bytes:
     """Byte planes, compressed: the upper ones are nearly empty."""
-    planes = spots.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T
     return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
 
 
-def _unpack(data: bytes, n: int) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(4, n)
+def _unpack(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
+def _pack_words(words: list[bytes]) -> bytes:
+    lengths = np.array([len(w) for w in words], dtype="<u4").tobytes()
+    head = len(words).to_bytes(8, "little")
+    return zstandard.ZstdCompressor(level=3).compress(b"".join((head, lengths, *words)))
+
+
+def _unpack_words(data: bytes) -> list[bytes]:
+    data = zstandard.ZstdDecompressor().decompress(data)
+    n = int.from_bytes(data[:8], "little")
+    ends = 8 + 4 * n + np.cumsum(np.frombuffer(data, "<u4", n, 8), dtype=np.int64)
+    return [data[a:b] for a, b in zip([8 + 4 * n, *ends[:-1].tolist()], ends.tolist())]
+
+
+def _dealt(words: list[bytes], buckets: int) -> list[list[int]]:
+    """The places of the words of each bucket."""
+    places: list[list[int]] = [[] for _ in range(buckets)]
+    for i, word in enumerate(words):
+        places[zlib.crc32(word) % buckets].append(i)
+    return places
+
+
 def _chunks(docs: DataFrame, pattern: str, chunk_chars: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, seq, base = regex.compile(pattern).findall, 0, TaskContext.get().partitionId() << 32
@@ -100,8 +125,8 @@ def _chunks(docs: DataFrame, pattern: str, chunk_chars: int) -> DataFrame:
             rank = np.empty(len(words), np.uint32)
             rank[order] = np.arange(len(words), dtype=np.uint32)
             names = list(words)
-            row = [[base + seq], [ids], [sizes], [_pack(rank[flat])], [[names[i] for i in order]]]
-            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.list_(pa.string())]
+            row = [[base + seq], [ids], [sizes], [_pack(rank[flat])], [_pack_words([names[i].encode() for i in order])]]
+            kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(row, kinds)], ["chunk", "doc_ids", "sizes", "spots", "words"])
 
         words, ids, sizes, spots, held = fresh()
@@ -135,26 +160,43 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk_chars:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     chunks = _chunks(docs, pattern, chunk_chars)
 
+    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
     def distinct_words(chunk: pa.Table) -> pa.Table:
-        words = pa.concat_arrays([part.flatten() for part in chunk.column("words").chunks])
+        words = _unpack_words(chunk.column("words")[0].as_py())
+        packed = [(b, _pack_words([words[i] for i in places])) for b, places in enumerate(_dealt(words, buckets)) if places]
         return pa.table({
-            "chunk": pa.array(np.full(len(words), chunk.column("chunk")[0].as_py(), dtype=np.int64)),
-            "at": pa.array(np.arange(len(words), dtype=np.int32)),
-            "word": words,
+            "chunk": pa.array([chunk.column("chunk")[0].as_py()] * len(packed), pa.int64()),
+            "bucket": pa.array([b for b, _ in packed], pa.int32()),
+            "words": pa.array([w for _, w in packed], pa.binary()),
         })
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, known = None, {}
         for batch in batches:
-            codes = [np.array(encode_word(w.encode(), table.value), dtype="<i4").tobytes() for w in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(codes, pa.binary())], ["word", "codes"])
+            sizes, codes = [], []
+            for bucket, packed in zip(batch.column("bucket").to_pylist(), batch.column("words").to_pylist()):
+                if bucket != current:
+                    current, known = bucket, {}
+                words = _unpack_words(packed)
+                for word in words:
+                    if word not in known:
+                        known[word] = encode_word(word, table.value)
+                ids = [known[word] for word in words]
+                sizes.append(_pack(np.array([len(x) for x in ids], dtype="<u4")))
+                codes.append(_pack(np.array([i for x in ids for i in x], dtype="<u4")))
+            columns = [batch.column("chunk"), batch.column("bucket"), pa.array(sizes, pa.binary()), pa.array(codes, pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["chunk", "bucket", "lengths", "codes"])
 
     def assembled(chunk: pa.Table, found: pa.Table) -> pa.Table:
         """The chunk's texts, position by position."""
         ids, sizes = chunk.column("doc_ids")[0].as_py(), np.array(chunk.column("sizes")[0].as_py(), dtype=np.int64)
-        spots = _unpack(chunk.column("spots")[0].as_py(), int(sizes.sum()))
-        codes = [b""] * len(found)
-        for at, code in zip(found.column("at").to_pylist(), found.column("codes").to_pylist()):
-            codes[at] = code
+        spots, words = _unpack(chunk.column("spots")[0].as_py()), _unpack_words(chunk.column("words")[0].as_py())
+        codes, places = [b""] * len(words), _dealt(words, buckets)
+        for bucket, lengths, packed in zip(*(found.column(c).to_pylist() for c in ("bucket", "lengths", "codes"))):
+            flat, ends = _unpack(packed).tobytes(), np.cumsum(_unpack(lengths), dtype=np.int64) * 4
+            for i, a, b in zip(places[bucket], [0, *ends[:-1].tolist()], ends.tolist()):
+                codes[i] = flat[a:b]
         ends = np.cumsum(sizes)
         out = [b"".join(map(codes.__getitem__, spots[e - n : e].tolist())) for e, n in zip(ends, sizes)]
         return pa.table({
@@ -163,9 +205,9 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk_chars:
             "ids": pa.array(out, pa.binary()),
         })
 
-    words = chunks.groupBy("chunk").applyInArrow(distinct_words, "chunk long, at int, word string")
-    vocabulary = words.select("word").distinct().mapInArrow(encoded, "word string, codes binary")
-    found = words.join(vocabulary, "word").select("chunk", "at", "codes")
+    words = chunks.groupBy("chunk").applyInArrow(distinct_words, "chunk long, bucket int, words binary")
+    words = words.repartition("bucket").sortWithinPartitions("bucket")
+    found = words.mapInArrow(encoded, "chunk long, bucket int, lengths binary, codes binary")
     return chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(assembled, ENCODED)
 
 
