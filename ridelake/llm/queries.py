@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridelake.llm import bpe, warc
+from ridelake.llm import bpe, simhash, warc
 from ridelake.llm.common import table
 
 
@@ -22,9 +22,14 @@ def op9_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(table(spark, sf_dir, "pages")).drop("url")
 
 
+def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op9_warc_round_trip": op9_warc_round_trip,
+    "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
 SQL = {
