@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridelake.llm import bpe, simhash, warc
+from ridelake.llm import bpe, quality, simhash, toxicity, warc
 from ridelake.llm.common import table
 
 
@@ -14,6 +14,14 @@ from ridelake.llm.common import table
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
 
@@ -27,7 +35,9 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op3_byte_bpe": op3_byte_bpe,
+    "op5_quality": op5_quality,
     "op9_warc_round_trip": op9_warc_round_trip,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
