@@ -18,6 +18,7 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -59,7 +60,7 @@ SIZE = 1 << 17
 #: Deviation from the mean that a feature of the classifier shows at least.
 LEAST_Z = 5.0
 #: Steps of the logistic fit, their length, and the pull of weights to zero.
-STEPS, PACE, SHRINK = 500, 0.3, 1e-4
+STEPS, PACE, SHRINK = 400, 0.3, 2e-4
 FOLDS, HELD = 3, 1
 THRESHOLD = 0.7
 
@@ -246,18 +247,23 @@ def fit_label_model(votes: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> L
     return model
 
 
-def features(text: str | None) -> list[int]:
-    return [zlib.crc32(t.encode()) & (SIZE - 1) for t in terms(text)]
+def features(text: str | None, voters: Voters) -> list[int]:
+    """Hashed places of the text's terms, of the voters that fire, and of whether any does."""
+    votes, found = voters.vote(text), terms(text)
+    if votes != voters.silence:
+        found.update(f" {i}" for i in range(voters.count) if votes >> i & 1)
+        found.add(" any")
+    return [zlib.crc32(t.encode()) & (SIZE - 1) for t in found]
 
 
-def fit(places: np.ndarray, starts: np.ndarray, target: np.ndarray, odds: float = 1.0) -> bytes:
-    """Logistic weights on soft labels; features that do not tell the classes apart are left out."""
+def fit(places: np.ndarray, starts: np.ndarray, target: np.ndarray, odds: float, patterns: list[str]) -> bytes:
+    """Logistic weights on soft labels; features that do not point to toxic texts are left out."""
     n, row = len(target), np.repeat(np.arange(len(target)), np.diff(starts))
     seen = np.bincount(places, minlength=SIZE)
     toxic = np.bincount(places, weights=target[row], minlength=SIZE)
     share = float(np.clip(target.mean(), 1e-6, 1 - 1e-6))
     z = (toxic - seen * share) / np.sqrt(np.maximum(seen * share * (1 - share), 1e-9))
-    kept = (seen >= 3) & (np.abs(z) >= LEAST_Z)
+    kept = (seen >= 3) & (z >= LEAST_Z)
     use = kept[places]
     places, row = places[use], row[use]
     weights, bias = np.zeros(SIZE), np.log(share / (1 - share))
@@ -270,12 +276,12 @@ def fit(places: np.ndarray, starts: np.ndarray, target: np.ndarray, odds: float
         bias_speed += gap.sum() ** 2
         pace = np.where(kept, PACE / np.sqrt(speed), 0)
         weights -= pace * slope
-        weights = np.sign(weights) * np.maximum(np.abs(weights) - pace * SHRINK, 0)  # what explains little goes
+        weights = np.maximum(weights - pace * SHRINK, 0)  # what explains little goes; no word makes a text clean
         bias -= PACE * gap.sum() / np.sqrt(bias_speed)
     margins = np.bincount(row, weights=weights[places], minlength=n) + bias
     scale, shift = sigmoid_fit(margins, (target >= 0.5).astype(float))
     out = io.BytesIO()
-    np.savez(out, weights=weights * scale, bias=np.array([bias * scale + shift - np.log(odds)]))
+    np.savez(out, weights=weights * scale, bias=np.array([bias * scale + shift - np.log(odds)]), patterns=np.array(patterns, dtype=str))
     return out.getvalue()
 
 
@@ -283,7 +289,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, fit_rows:
     """The classifier; ``labels`` (doc_id, toxic) is read outside the held-out fold, to find patterns and start the label model."""
     spark = docs.sparkSession
     short_batches(spark)
-    voters = Voters(_patterns(docs, labels, rows))
+    patterns = _patterns(docs, labels, rows)
+    voters = Voters(patterns)
     sent = spark.sparkContext.broadcast(voters)
 
     @F.pandas_udf(LongType())
@@ -314,7 +321,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, fit_rows:
     odds = 1.0
     if all(sizes):
         odds = min(sizes[1], fit_rows) / min(sizes[0], fit_rows) * sizes[0] / sizes[1]
-    return gathered(bits_of(sample, features, SIZE, "target"), lambda p, s, t: fit(p, s, t, odds), "target")
+    bits = bits_of(sample, partial(features, voters=voters), SIZE, "target")
+    return gathered(bits, partial(fit, odds=odds, patterns=patterns), "target")
 
 
 def scorer(docs: DataFrame, model: bytes | None):
@@ -323,18 +331,18 @@ def scorer(docs: DataFrame, model: bytes | None):
     line = None
     if parts is not None:
         at = np.flatnonzero(parts["weights"])
-        line = dict(zip(at.tolist(), parts["weights"][at].tolist())), float(parts["bias"][0])
+        line = dict(zip(at.tolist(), parts["weights"][at].tolist())), float(parts["bias"][0]), Voters(parts["patterns"].tolist())
     sent = docs.sparkSession.sparkContext.broadcast(line)
 
     @F.pandas_udf("double")
     def score(texts):
         if sent.value is None:
             return texts.map(lambda _: 0.0, na_action=None).astype(float)
-        weights, bias = sent.value
+        weights, bias, voters = sent.value
         get = weights.get
 
         def one(text) -> float:
-            margin = bias + sum(get(i, 0.0) for i in set(features(text)))
+            margin = bias + sum(get(i, 0.0) for i in set(features(text, voters)))
             return float(1 / (1 + np.exp(-min(max(margin, -35.0), 35.0))))
 
         return texts.map(one, na_action=None).astype(float)
