@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridelake.llm import bpe, quality, simhash, toxicity, warc
+from ridelake.llm import bpe, contamination, embeddings, lines, quality, secrets, simhash, suffixes, toxicity, warc
 from ridelake.llm.common import table
 
 
@@ -18,6 +18,26 @@ def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents"))
+
+
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_dedup(table(spark, sf_dir, "documents"))
+
+
+def op6_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.dedup(table(spark, sf_dir, "documents"))
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -37,12 +57,53 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_byte_bpe": op3_byte_bpe,
+    "op2_secret_scan": op2_secret_scan,
+    "op4_line_dedup": op4_line_dedup,
     "op5_quality": op5_quality,
+    "op6_embedding_near_dedup": op6_embedding_near_dedup,
+    "op7_suffix_dedup": op7_suffix_dedup,
+    "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_warc_round_trip": op9_warc_round_trip,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
 }
 
 SQL = {
+    "op6_embedding_near_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND list_sum(list_transform(embedding, lambda x: abs(x))) > 0
+        ), l AS (
+            SELECT a.vec_id AS i, b.vec_id AS j FROM v a JOIN v b
+            ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93
+        ), r AS (
+            SELECT vec_id AS i, vec_id AS j FROM embeddings
+            UNION
+            SELECT r.i, l.j FROM r JOIN l ON r.j = l.i
+        ), c AS (
+            SELECT i, min(j) AS component_id FROM r GROUP BY i
+        )
+        SELECT c.i AS vec_id, CAST((SELECT count(*) FROM l WHERE l.i = c.i) AS BIGINT) AS n_links,
+               component_id, c.i = component_id AS kept
+        FROM c
+    """,
+    "op4_line_dedup": """
+        WITH d AS (
+            SELECT doc_id, source, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
+        ), l AS (
+            SELECT source, unnest(ls) AS line FROM d
+        ), b AS (
+            SELECT trim(line) AS line FROM l
+            WHERE source IS NOT NULL AND trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT source) >= 10
+        ), k AS (
+            SELECT doc_id, ls, list_filter(ls, lambda x: NOT list_contains(bad, trim(x))) AS kept
+            FROM d CROSS JOIN (SELECT coalesce(list(line), []) AS bad FROM b)
+        )
+        SELECT doc_id, CAST(len(list_filter(ls, lambda x: trim(x) <> '')) AS BIGINT) AS n_lines,
+               CAST(len(ls) - len(kept) AS BIGINT) AS n_removed, sha256(array_to_string(kept, chr(10))) AS kept_sha256
+        FROM k
+    """,
     "op9_warc_round_trip": """
         WITH p AS (
             SELECT page_id, sha256(coalesce(html, '')) AS payload_digest,
