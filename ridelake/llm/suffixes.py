@@ -7,7 +7,8 @@ any order that depends on the window alone, and the order here keeps rows few:
 
 1. Every window has an anchor, the run of 128 bytes in it with the smallest hash.
    Neighbouring windows share one, so a pass over anchors has a row per run of
-   windows, and anchors that occur once are dropped.
+   windows, and anchors that occur once are dropped. Equal runs of one text, many
+   where a text repeats itself, are one row with their starts.
 2. Runs under one anchor that are equal throughout are repeated as a whole.
 3. Where runs under one anchor differ, their windows are cut into blocks of 32. A
    pass over the bytes that all windows of a block have in common, the core, drops
@@ -39,7 +40,7 @@ BLOCK = 32
 #: Windows looked at together; longer texts are cut into overlapping slices.
 SLICE = 1 << 19
 
-RUNS = "key binary, start long, n int, ahead int, anchor long, digest long"
+RUNS = "key binary, starts array<long>, n int, ahead int, anchor long, digest long"
 BLOCKS = "key binary, start long, n int, weight long, open boolean, core binary, before binary, after binary"
 
 _VALUES = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
@@ -86,9 +87,9 @@ def _slices(data: bytes, length: int, size: int) -> Iterator[tuple[int, np.ndarr
         yield start, np.frombuffer(data, dtype=np.uint8)[start : start + size + length - 1]
 
 
-def _runs(data: bytes, hasher: _Hasher, size: int) -> list[tuple[int, int, int, int, int]]:
-    """(start, n, ahead, anchor, digest) of the runs of windows with one anchor; the anchor is ``ahead`` bytes from the start."""
-    out = []
+def _runs(data: bytes, hasher: _Hasher, size: int) -> list[tuple]:
+    """(starts, n, ahead, anchor, digest) of the runs of windows with one anchor; the anchor is ``ahead`` bytes from the start."""
+    out: dict[tuple, list[int]] = {}
     for first, part in _slices(data, hasher.length, size):
         places, hashes = hasher.anchors(part)
         edges = np.flatnonzero(np.diff(places)) + 1
@@ -99,8 +100,8 @@ def _runs(data: bytes, hasher: _Hasher, size: int) -> list[tuple[int, int, int,
         for s, n, a, name in zip(starts.tolist(), counts.tolist(), at.tolist(), names):
             begin = first + s
             digest = xxhash.xxh3_64_intdigest(data[begin : begin + n + hasher.length - 1], seed=a - s)
-            out.append((begin, n, a - s, name, digest - (1 << 64) if digest >> 63 else digest))
-    return out
+            out.setdefault((n, a - s, name, digest - (1 << 64) if digest >> 63 else digest), []).append(begin)
+    return [(starts, *run) for run, starts in out.items()]
 
 
 def _key(text: Column) -> Column:
@@ -114,7 +115,7 @@ def _text() -> Column:
 def _all_runs(docs: DataFrame, length: int, gram: int, size: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher = _Hasher(length, gram)
-        kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        kinds = [pa.binary(), pa.list_(pa.int64()), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
         for batch in batches:
             keys, rows = [], []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1)):
@@ -174,40 +175,53 @@ def _windows(blocks: DataFrame, length: int, block: int) -> DataFrame:
 def repeated(
     docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, size: int = SLICE
 ) -> DataFrame:
-    """(key, start, n): runs of window starts that are repeated, by the key of the text; may touch, never overlap.
+    """(key, starts, n): runs of ``n`` repeated windows from each of ``starts``, by the key of the text.
 
     ``docs`` has key and text; every row counts, so equal texts repeat all their windows.
     """
     runs = stage(_all_runs(docs, length, gram, size), "runs")
     # Pass over anchors.
-    anchors = runs.groupBy("anchor").agg(F.count("*").alias("rows")).filter("rows > 1").select("anchor")
+    anchors = runs.groupBy("anchor").agg(F.sum(F.size("starts")).alias("rows")).filter("rows > 1").select("anchor")
     runs = runs.join(anchors, "anchor")
     # Pass over whole runs.
-    same = runs.groupBy("anchor", "digest").agg(F.count("*").alias("weight"), F.min(F.xxhash64("key")).alias("head"))
+    same = runs.groupBy("anchor", "digest").agg(F.sum(F.size("starts")).alias("weight"), F.min(F.xxhash64("key")).alias("head"))
     kinds = same.groupBy("anchor").agg(F.min("weight").alias("least"), F.count("*").alias("kinds"))
     same = same.join(kinds, "anchor").select("anchor", "digest", "weight", "head", (F.expr("kinds > 1 and least = 1")).alias("mixed"))
     runs = runs.join(same, ["anchor", "digest"])
-    runs = runs.select("key", "start", "n", "ahead", "weight", (F.xxhash64("key") == F.col("head")).alias("head"), "mixed")
+    runs = runs.select("key", "starts", "n", "ahead", "weight", (F.xxhash64("key") == F.col("head")).alias("head"), "mixed")
     runs = stage(runs, "anchored")
-    whole = runs.filter("weight > 1").select("key", "start", "n")
+    whole = runs.filter("weight > 1").select("key", "starts", "n")
     # Pass over cores: single runs, and one text of each repeated run they may share windows with.
     wanted = runs.filter("mixed and (weight = 1 or head)")
-    wanted = wanted.groupBy("key").agg(F.collect_list(F.struct("start", "n", "ahead", "weight", (F.col("weight") == 1).alias("open"))).alias("runs"))
+    wanted = wanted.groupBy("key").agg(F.collect_list(F.struct(F.get("starts", F.lit(0)).alias("start"), "n", "ahead", "weight", (F.col("weight") == 1).alias("open"))).alias("runs"))
     blocks = stage(_blocks(docs.join(wanted, "key").select("key", "text", "runs"), length, block), "blocks")
     side = ["core", "before", "after"]
     same = blocks.groupBy(*side).agg(F.sum("weight").alias("sum"))
     kinds = same.groupBy("core").agg(F.min("sum").alias("least"), F.count("*").alias("kinds"))
     same = same.join(kinds, "core").select(*side, "sum", F.expr("kinds > 1 and least = 1").alias("mixed"))
     open_blocks = blocks.filter("open").join(same.filter("sum > 1 or mixed"), side)
-    equal = open_blocks.filter("sum > 1").select("key", "start", "n")
+    equal = open_blocks.filter("sum > 1").select("key", F.array("start").alias("starts"), "n")
     # Pass over single windows, by their margins.
     window = ["core", "t", "left", "right"]
     shared = _windows(same.filter("mixed"), length, block).groupBy(*window).agg(F.sum("sum").alias("w")).filter("w > 1").select(*window)
     single = _windows(open_blocks.filter("sum = 1 and mixed"), length, block).join(shared, window)
-    single = single.select("key", (F.col("start") + F.length("before") - F.col("t")).alias("start"), F.lit(1).alias("n"))
+    single = single.select("key", F.array(F.col("start") + F.length("before") - F.col("t")).alias("starts"), F.lit(1).alias("n"))
     return whole.unionByName(equal).unionByName(single)
 
 
+def _union(spans: pa.Scalar, length: int) -> list[tuple[int, int]]:
+    """The maximal runs of bytes that the windows cover."""
+    if not spans.is_valid:
+        return []
+    lists, counts = spans.values.field("starts"), spans.values.field("n").to_numpy()
+    starts = lists.flatten().to_numpy()
+    stops = starts + np.repeat(counts, lists.value_lengths().to_numpy()) + length - 1
+    order = np.argsort(starts, kind="stable")
+    starts, stops = starts[order], np.maximum.accumulate(stops[order])
+    new = np.flatnonzero(np.concatenate([[True], starts[1:] > stops[:-1]]))
+    return list(zip(starts[new].tolist(), stops[np.concatenate([new[1:] - 1, [len(stops) - 1]])].tolist()))
+
+
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int = BLOCK, size: int = SLICE) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of each row once its repeated bytes are removed.
 
@@ -221,7 +235,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int =
     short_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text().alias("text")).withColumn("key", _key(F.col("text")))
     docs = docs.select("key", "text", "doc_id")
-    found = repeated(docs, length, gram, block, size).groupBy("key").agg(F.collect_list(F.struct("start", "n")).alias("spans"))
+    found = repeated(docs, length, gram, block, size).groupBy("key").agg(F.collect_list(F.struct("starts", "n")).alias("spans"))
     rows = docs.join(found, "key", "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,17 +244,12 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int =
             out = []
             for text, spans in zip(batch.column("text"), batch.column("spans")):
                 data = text.as_py().encode()
-                kept, at, removed, n = hashlib.sha256(), 0, 0, 0
-                end = 0
-                for start, count in sorted((s["start"], s["n"]) for s in spans.as_py() or ()):
-                    stop = start + count + length - 1
-                    if start > end or not n:
-                        kept.update(data[at:start])
-                        n, end = n + 1, start
-                    if stop > end:
-                        removed += stop - end
-                        end = at = stop
+                kept, at, edges = hashlib.sha256(), 0, _union(spans, length)
+                for start, stop in edges:
+                    kept.update(data[at:start])
+                    at = stop
                 kept.update(data[at:])
+                removed, n = sum(b - a for a, b in edges), len(edges)
                 out.append((len(data), removed, n, kept.hexdigest()))
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *[pa.array(v, k) for v, k in zip(zip(*out), kinds)]], names)
