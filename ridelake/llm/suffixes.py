@@ -5,18 +5,18 @@ read a further part of them and drop what has become unique; suffixes that are
 still together at the end are exactly the repeated windows. Parts may be read in
 any order that depends on the window alone, and the order here keeps rows few:
 
-1. Every window has an anchor, the run of 128 bytes in it with the smallest hash.
+1. Every window has an anchor, the run of 64 bytes in it with the smallest hash.
    Neighbouring windows share one, so a pass over anchors has a row per run of
    windows, and anchors that occur once are dropped. Equal runs of one text, many
    where a text repeats itself, are one row with their starts.
 2. Runs under one anchor that are equal throughout are repeated as a whole.
-3. Where runs under one anchor differ, their windows are cut into blocks of 32. A
+3. Where runs under one anchor differ, their windows are cut into blocks of 48. A
    pass over the bytes that all windows of a block have in common, the core, drops
    blocks without a partner; blocks equal throughout are repeated as a whole.
 4. Only windows of blocks that share a core but differ at its margins are told
    apart one by one, by the margins.
 
-Rows carry 64-bit anchors with 64-bit digests, and 128-bit digests of cores. No
+Rows carry 64-bit anchors with 64-bit digests, and 64-bit digests of cores with margins. No
 group is gathered: every pass is an aggregation and a join on its keys.
 """
 
@@ -35,13 +35,13 @@ from pyspark.sql import functions as F
 from ridelake.llm.common import short_batches, stage
 
 LENGTH = 400
-GRAM = 128
-BLOCK = 32
+GRAM = 64
+BLOCK = 48
 #: Windows looked at together; longer texts are cut into overlapping slices.
 SLICE = 1 << 19
 
 RUNS = "key binary, starts array<long>, n int, ahead int, anchor long, digest long"
-BLOCKS = "key binary, start long, n int, weight long, open boolean, core binary, before binary, after binary"
+BLOCKS = "key binary, start long, n int, weight long, open boolean, core long, before binary, after binary"
 
 _VALUES = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -138,7 +138,8 @@ def _cut(data: bytes, start: int, n: int, ahead: int, length: int, block: int) -
         least, most = max(low, j * block), min(ahead, (j + 1) * block - 1)
         core, stop = anchor - j * block, anchor - (j + 1) * block + 1 + length
         begin, end = anchor - most, anchor - least + length
-        yield begin, most - least + 1, xxhash.xxh3_128_digest(data[core:stop], seed=j), data[begin:core], data[stop:end]
+        digest = xxhash.xxh3_64_intdigest(data[core:stop], seed=j)
+        yield begin, most - least + 1, digest - (1 << 64) if digest >> 63 else digest, data[begin:core], data[stop:end]
 
 
 def _blocks(wanted: DataFrame, length: int, block: int) -> DataFrame:
@@ -146,7 +147,7 @@ def _blocks(wanted: DataFrame, length: int, block: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = BLOCKS.replace(",", "").split()[::2]
-        kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
+        kinds = [pa.binary(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.int64(), pa.binary(), pa.binary()]
         for batch in batches:
             rows = []
             for key, text, runs in zip(batch.column("key").to_pylist(), batch.column("text"), batch.column("runs")):
