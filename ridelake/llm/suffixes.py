@@ -5,12 +5,12 @@ read a further part of them and drop what has become unique; suffixes that are
 still together at the end are exactly the repeated windows. Parts may be read in
 any order that depends on the window alone, and the order here keeps rows few:
 
-1. Every window has an anchor, the run of 64 bytes in it with the smallest hash.
+1. Every window has an anchor, the run of 128 bytes in it with the smallest hash.
    Neighbouring windows share one, so a pass over anchors has a row per run of
    windows, and anchors that occur once are dropped. Equal runs of one text, many
    where a text repeats itself, are one row with their starts.
 2. Runs under one anchor that are equal throughout are repeated as a whole.
-3. Where runs under one anchor differ, their windows are cut into blocks of 48. A
+3. Where runs under one anchor differ, their windows are cut into blocks of 32. A
    pass over the bytes that all windows of a block have in common, the core, drops
    blocks without a partner; blocks equal throughout are repeated as a whole.
 4. Only windows of blocks that share a core but differ at its margins are told
@@ -35,8 +35,8 @@ from pyspark.sql import functions as F
 from ridelake.llm.common import short_batches, stage
 
 LENGTH = 400
-GRAM = 64
-BLOCK = 48
+GRAM = 128
+BLOCK = 32
 #: Windows looked at together; longer texts are cut into overlapping slices.
 SLICE = 1 << 19
 
