@@ -163,9 +163,9 @@ def latest_level(
     label: str = "label",
     calm: str = CALM,
 ) -> DataFrame:
-    """Newest value of every label and its warning level (thresholds from high to low)."""
+    """Newest value of every label and its warning level (thresholds from high to low); of values at one instant the largest."""
     newest = (
-        df.filter(F.col(value).isNotNull()).groupBy(label).agg(F.max_by(value, ts).alias("last_value"))
+        df.filter(F.col(value).isNotNull()).groupBy(label).agg(F.max_by(value, F.struct(ts, value)).alias("last_value"))
     )
     level = None
     for bound, name in levels:

@@ -41,15 +41,16 @@ def _fallback(lat: Column, lng: Column) -> Column:
 
 
 def assign_zone(
-    df: DataFrame, zones: DataFrame, lat: str, lng: str, key: str, out: str, cell: float = 0.05
+    df: DataFrame, zones: DataFrame, lat: str, lng: str, out: str, cell: float = 0.05
 ) -> DataFrame:
     """Add ``out``: the zone of lowest priority number that holds the point.
 
     Points meet zones by an equality join on their grid cell, never by testing
     every pair. Whether the zone side is broadcast follows from a count of it:
     a few zones reaching into a bounded number of cells are; else zones and
-    points are shuffled by cell, where adaptive execution splits hot cells, and
-    the first zone of a point is found by aggregating over ``key``.
+    distinct points are shuffled by cell, where adaptive execution splits hot
+    cells, and the first zone of a point joins back to the rows at that point.
+    Rows are told apart by their point alone, so both ways give one answer.
     """
     y, x = F.col(lat), F.col(lng)
     size = zones.agg(
@@ -71,16 +72,18 @@ def assign_zone(
             *[df[c] for c in df.columns if c != out],
             F.coalesce(F.get(hits, F.lit(0)).getField("zone"), _fallback(y, x)).alias(out),
         )
+    at = [F.col("_lat"), F.col("_lng")]
     matches = (
-        points.select(key, lat, lng, *cells)
+        points.select(y.alias("_lat"), x.alias("_lng"), *cells)
+        .distinct()
         .join(covered, cells)
-        .filter(_holds(y, x, F.col))
-        .groupBy(key)
+        .filter(_holds(*at, F.col))
+        .groupBy(*at)
         .agg(F.min(F.struct("priority", "zone")).alias("best"))
-        .select(key, F.col("best.zone").alias("_zone"))
+        .select(*at, F.col("best.zone").alias("_zone"))
     )
-    columns = [c for c in df.columns if c != out]
-    return df.join(matches, key, "left").select(
-        *columns, F.coalesce(F.col("_zone"), _fallback(y, x)).alias(out)
+    columns = [df[c] for c in df.columns if c != out]
+    return df.join(matches, (df[lat] == F.col("_lat")) & (df[lng] == F.col("_lng")), "left").select(
+        *columns, F.coalesce(F.col("_zone"), _fallback(df[lat], df[lng])).alias(out)
     )
 

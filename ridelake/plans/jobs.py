@@ -74,6 +74,10 @@ def daily_etl(
     rows = align(with_default_time(enrich_trips(raw), "trips_enriched", run_ts), TRIPS_ENRICHED)
     dated = rows.withColumn("dt", F.lit(as_of))
     written = tables.overwrite_partitions(dated, wh.raw_zone, "dt")
+    if not written:
+        # An overwrite by partitions leaves those alone that no row belongs to.
+        tables.drop(spark, f"{wh.raw_zone}/dt={as_of}")
+        tables.drop(spark, f"{wh.zone_daily_stats}/stat_date={as_of}")
     batch = tables.read_parquet(spark, wh.raw_zone, ENRICHED_STORED).filter(F.col("dt") == F.lit(as_of))
     inserted = tables.merge_absent(
         batch, wh.trips_enriched, ENRICHED_STORED, KEYS["trips_enriched"], by=["dt"],
@@ -104,9 +108,9 @@ def train_fares(
     fitted.write().overwrite().save(wh.features(version))
     model.write().overwrite().save(wh.model(version))
     with tables.staged(ml.evaluate(test, model, version, run_ts), "metrics") as metrics:
-        tables.append(align(metrics, MODEL_METRICS), wh.metrics)
+        tables.merge_absent(align(metrics, MODEL_METRICS), wh.metrics, MODEL_METRICS, KEYS["model_metrics"])
         entry = metrics.withColumns({"path": F.lit(wh.model(version)), "created_at": F.col("train_date")})
-        tables.append(align(entry, MODEL_REGISTRY), wh.registry)
+        tables.merge_absent(align(entry, MODEL_REGISTRY), wh.registry, MODEL_REGISTRY, ["model_version", "created_at"])
     return version
 
 

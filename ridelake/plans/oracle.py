@@ -312,8 +312,8 @@ ORACLE: dict[str, str] = {
     ),
     "requests_by_status": "SELECT event_type AS status, count(*) AS n FROM events GROUP BY 1",
     "metric_latest_threshold": (
-        "SELECT event_type AS label, max_by(value, ts) / 100e0 AS last_value, "
-        "CASE WHEN max_by(value, ts) / 100e0 >= 1e0 THEN 'red' WHEN max_by(value, ts) / 100e0 >= 0.5e0 THEN 'yellow' "
+        "SELECT event_type AS label, max_by(value, row(ts, value)) / 100e0 AS last_value, "
+        "CASE WHEN max_by(value, row(ts, value)) / 100e0 >= 1e0 THEN 'red' WHEN max_by(value, row(ts, value)) / 100e0 >= 0.5e0 THEN 'yellow' "
         "ELSE 'green' END AS level FROM events WHERE value IS NOT NULL GROUP BY 1"
     ),
     "category_index": _on(

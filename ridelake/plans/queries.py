@@ -28,7 +28,7 @@ REGISTRY: dict[str, Query] = {}
 
 RUN_TS = dt.datetime(2024, 1, 31)
 CAP = 1_000
-TRAIN_ITERATIONS = 5
+TRAIN_ITERATIONS = 100
 
 
 def query(fn: Query) -> Query:
@@ -202,7 +202,7 @@ def zone_assign_case(spark, sf):
 @query
 def zone_assign_range_join(spark, sf):
     points = src.trips(spark, sf).select("trip_id", "origin_lat", "origin_lng")
-    zoned = assign_zone(points, zone_table(spark), "origin_lat", "origin_lng", "trip_id", "origin_zone")
+    zoned = assign_zone(points, zone_table(spark), "origin_lat", "origin_lng", "origin_zone")
     return zoned.select("trip_id", "origin_zone")
 
 

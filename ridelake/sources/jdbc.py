@@ -12,7 +12,7 @@ DRIVER = "org.postgresql.Driver"
 WRITE_BATCH = 1000
 
 
-def address(host: str, port: int = 5432, database: str = "transport_db") -> str:
+def address(host: str, database: str, port: int = 5432) -> str:
     return f"jdbc:postgresql://{host}:{port}/{database}"
 
 

@@ -17,6 +17,8 @@ from ridelake.session import shared_dir
 
 # Keys of a batch that may be broadcast: a few tens of megabytes.
 BROADCAST_KEYS = 500_000
+# Values of a partition column that may be: centuries of days.
+BROADCAST_VALUES = 100_000
 
 
 def read_parquet(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
@@ -147,8 +149,10 @@ def merge_upsert(
         raise ValueError("the partition column must be part of the key")
     target = table_or_empty(batch.sparkSession, path, schema).select(*schema.fieldNames())
     batch = batch.select(*schema.fieldNames())
-    # No more values than calendar days: broadcast, they let the scan skip the rest.
-    touched = target.join(F.broadcast(batch.select(by).distinct()), by, "left_semi")
+    values = batch.select(by).distinct()
+    # Few values are broadcast and let the scan skip the rest; more than that are shuffled.
+    values = F.broadcast(values) if values.limit(BROADCAST_VALUES + 1).count() <= BROADCAST_VALUES else values
+    touched = target.join(values, by, "left_semi")
     with staged(upsert(touched, batch, keys, order), "upsert") as merged:
         return overwrite_partitions(merged, path, by, few_files=True)
 

@@ -47,7 +47,7 @@ def test_seed_trips(spark):
 def test_zone_edges_both_ways(spark):
     df = spark.createDataFrame([(i, *e[:2]) for i, e in enumerate(EDGES)], "id int, lat double, lng double")
     case = df.select("id", geo.zone_case(F.col("lat"), F.col("lng")).alias("z"))
-    joined = zones.assign_zone(df, zones.zone_table(spark), "lat", "lng", "id", "z")
+    joined = zones.assign_zone(df, zones.zone_table(spark), "lat", "lng", "z")
     for got in (case, joined):
         assert [r.z for r in got.orderBy("id").collect()] == [e[2] for e in EDGES]
 
@@ -59,17 +59,27 @@ def test_zone_join_equals_case_on_either_path(spark, monkeypatch, limit):
     rows = [(i, random.uniform(-6.4, -6.05), random.uniform(106.65, 107.02)) for i in range(3000)]
     rows += [(3000 + i, lat, lng) for i, (lat, lng, _) in enumerate(EDGES)]
     df = spark.createDataFrame(rows, "id int, lat double, lng double")
-    joined = zones.assign_zone(df, zones.zone_table(spark), "lat", "lng", "id", "z")
+    joined = zones.assign_zone(df, zones.zone_table(spark), "lat", "lng", "z")
     both = joined.withColumn("case", geo.zone_case(F.col("lat"), F.col("lng")))
     assert both.count() == len(rows)
     assert both.filter("z <> case OR z IS NULL").count() == 0
     assert "NestedLoop" not in plan_of(joined) and "Cartesian" not in plan_of(joined)
 
 
+@pytest.mark.parametrize("limit", [zones.BROADCAST_ZONES, 0])
+def test_rows_with_equal_or_missing_keys_keep_their_own_zone(spark, monkeypatch, limit):
+    monkeypatch.setattr(zones, "BROADCAST_ZONES", limit)
+    rows = [(None if i % 2 else 7, lat, lng) for i, (lat, lng, _) in enumerate(EDGES)] * 2
+    df = spark.createDataFrame(rows, "id int, lat double, lng double")
+    joined = zones.assign_zone(df, zones.zone_table(spark), "lat", "lng", "z")
+    case = df.withColumn("z", geo.zone_case(F.col("lat"), F.col("lng")))
+    assert sorted(map(str, joined.collect())) == sorted(map(str, case.collect()))
+
+
 def test_no_zones_at_all(spark):
     df = spark.createDataFrame([(1, -6.2, 106.85), (2, None, 1.0)], "id int, lat double, lng double")
     empty = spark.createDataFrame([], zones.ZONE_SCHEMA)
-    got = zones.assign_zone(df, empty, "lat", "lng", "id", "z").orderBy("id").collect()
+    got = zones.assign_zone(df, empty, "lat", "lng", "z").orderBy("id").collect()
     assert [r.z for r in got] == ["Lainnya", "Unknown"]
 
 

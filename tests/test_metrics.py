@@ -94,3 +94,10 @@ def test_latest_level(spark):
     assert got == {"a": "green", "b": "yellow", "c": "red", "d": "yellow"}
     runs = metrics.latest_level(df.withColumn("value", F.col("value") * 100), levels=((50.0, "slow"),), calm="fine")
     assert {r.label: r.level for r in runs.collect()} == {"a": "fine", "b": "slow", "c": "slow", "d": "slow"}
+
+
+def test_latest_value_of_one_instant_is_the_largest(spark):
+    rows = [("a", dt.datetime(2024, 1, 1), v) for v in (0.1, 5.0, 0.2)]
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "label string, ts timestamp_ntz, value double").coalesce(1)
+        assert metrics.latest_level(df).first().last_value == 5.0

@@ -10,7 +10,7 @@ from ridelake.ml import model as ml
 from ridelake.operators.slices import align, training_slice
 from ridelake.plans import jobs
 from ridelake.plans.warehouse import Warehouse
-from ridelake.schemas import MODEL_REGISTRY, RAW_STORED, RAW_TRIPS, ZONE_DAILY_STATS
+from ridelake.schemas import ENRICHED_STORED, MODEL_REGISTRY, RAW_STORED, RAW_TRIPS, ZONE_DAILY_STATS
 from ridelake.sources import tables
 from ridelake.sources import trips as src
 
@@ -137,3 +137,20 @@ def test_model_learns_the_tariff(spark, sf):
     train, test = ft.hash_split(fitted.transform(rows))
     metrics = ml.evaluate(test, ml.train(train, 20), "v", RUN).first()
     assert metrics["r2"] > 0.9 and metrics["num_samples"] == test.count()
+
+
+def test_jobs_can_be_run_again(spark, sf, tmp_path):
+    wh = Warehouse(str(tmp_path / "wh"))
+    jobs.land_trips(spark, wh, align(src.located(spark, sf), RAW_TRIPS), dt.date(2024, 1, 1), dt.date(2024, 2, 1))
+    first, end = dt.date(2024, 1, 1), dt.date(2024, 2, 1)
+    jobs.daily_etl(spark, wh, first, RUN, until=end)
+    for _ in range(2):
+        jobs.train_fares(spark, wh, RUN, max_iter=2)
+    assert spark.read.parquet(wh.metrics).count() == spark.read.parquet(wh.registry).count() == 1
+
+    tables.drop(spark, wh.raw_trips)
+    tables.overwrite_partitions(spark.createDataFrame([], RAW_STORED), wh.raw_trips, "dt")
+    again = jobs.daily_etl(spark, wh, first, RUN, until=end)
+    assert again == {"enriched": 0, "inserted": 0, "zones": 0}
+    assert tables.table_or_empty(spark, wh.raw_zone, ENRICHED_STORED).count() == 0
+    assert tables.table_or_empty(spark, wh.zone_daily_stats, ZONE_DAILY_STATS).count() == 0

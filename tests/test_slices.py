@@ -134,8 +134,8 @@ def test_object_store_settings():
 
 
 def test_database_options():
-    url = jdbc.address("db")
-    assert url == "jdbc:postgresql://db:5432/transport_db"
+    url = jdbc.address("db", "trips")
+    assert url == "jdbc:postgresql://db:5432/trips"
     props = jdbc.credentials("u", "p")
     plain = jdbc.read_options(url, "(SELECT 1) AS t", props)
     assert plain["dbtable"] == "(SELECT 1) AS t" and "partitionColumn" not in plain
