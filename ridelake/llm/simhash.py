@@ -62,6 +62,10 @@ def fingerprints(texts):
     return texts.map(fingerprint, na_action=None)
 
 
+# Not to be taken again where a filter or join looks at the result.
+fingerprints = fingerprints.asNondeterministic()
+
+
 def _keys(prints: DataFrame) -> DataFrame:
     """(key, fp): for each segment, its bits and a codeword near the next segment."""
 
