@@ -193,8 +193,9 @@ def repeated(
     runs = stage(runs, "anchored")
     whole = runs.filter("weight > 1").select("key", "starts", "n")
     # Pass over cores: single runs, and one text of each repeated run they may share windows with.
+    # Sets, here and for the spans: copies of a text have one key and equal runs, however many they are.
     wanted = runs.filter("mixed and (weight = 1 or head)")
-    wanted = wanted.groupBy("key").agg(F.collect_list(F.struct(F.get("starts", F.lit(0)).alias("start"), "n", "ahead", "weight", (F.col("weight") == 1).alias("open"))).alias("runs"))
+    wanted = wanted.groupBy("key").agg(F.collect_set(F.struct(F.get("starts", F.lit(0)).alias("start"), "n", "ahead", "weight", (F.col("weight") == 1).alias("open"))).alias("runs"))
     blocks = stage(_blocks(docs.join(wanted, "key").select("key", "text", "runs"), length, block), "blocks")
     side = ["core", "before", "after"]
     same = blocks.groupBy(*side).agg(F.sum("weight").alias("sum"))
@@ -236,7 +237,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, block: int =
     short_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _text().alias("text")).withColumn("key", _key(F.col("text")))
     docs = docs.select("key", "text", "doc_id")
-    found = repeated(docs, length, gram, block, size).groupBy("key").agg(F.collect_list(F.struct("starts", "n")).alias("spans"))
+    found = repeated(docs, length, gram, block, size).groupBy("key").agg(F.collect_set(F.struct("starts", "n")).alias("spans"))
     rows = docs.join(found, "key", "left").select("doc_id", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
