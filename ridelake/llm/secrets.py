@@ -44,13 +44,13 @@ def candidates(docs: DataFrame, path: str = "source") -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col(path).cast("string"), F.lit("")).alias("path"), text.alias("text"))
     words = docs.filter(F.col("text").rlike(CANDIDATE)).withColumn("words", F.split("text", r"\s+", -1)).drop("text")
     places = F.filter(F.sequence(F.lit(0), F.size("words") - 1), lambda i: F.get("words", i).rlike(CANDIDATE))
-    found = words.withColumn("at", F.explode(places))
     blank = lambda i: F.coalesce(F.get("words", i), F.lit(""))
-    at = F.col("at")
-    return found.select(
-        "doc_id", "path", "at", blank(at).alias("word"), F.concat_ws(" ", blank(at - 2), blank(at - 1)).alias("before"), blank(at + 1).alias("after"),
-        F.explode(F.regexp_extract_all(blank(at), F.lit(f"({CANDIDATE})"), F.lit(1))).alias("value"),
-    )
+    # A candidate leaves its text with its neighbours alone, not with all the words.
+    near = lambda i: F.struct(
+        i.alias("at"), blank(i).alias("word"), F.concat_ws(" ", blank(i - 2), blank(i - 1)).alias("before"), blank(i + 1).alias("after")
+    )
+    found = words.select("doc_id", "path", F.inline(F.transform(places, near)))
+    return found.select("*", F.explode(F.regexp_extract_all("word", F.lit(f"({CANDIDATE})"), F.lit(1))).alias("value"))
 
 
 def features(found: DataFrame) -> tuple[DataFrame, list[str]]:
