@@ -70,6 +70,17 @@ def test_repeated_bytes_go(spark, length, gram, block, size):
     assert tuples(suffixes.dedup(docs_of(spark, rows), length, gram, block, size)) == removed(rows, length)
 
 
+def test_many_copies_beside_a_near_copy(spark):
+    random.seed(9)
+    text = "".join(random.choice("abcdefgh ") for _ in range(300))
+    rows = [(i, text) for i in range(200)] + [(500, text[:150] + "#" + text[150:]), (501, text[20:200] + "!")]
+    docs = docs_of(spark, rows)
+    assert tuples(suffixes.dedup(docs, 40, 12, 8, 64)) == removed(rows, 40)
+    # Spans of copies are one set of the text's own runs, not one for each copy.
+    single = suffixes.dedup(docs_of(spark, rows[-3:]), 40, 12, 8, 64).filter("doc_id = 501").first()
+    assert single.n_removed == 180
+
+
 def test_suffixes_of_nothing(spark):
     assert suffixes.dedup(docs_of(spark, [])).count() == 0
 
