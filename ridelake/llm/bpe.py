@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from ridelake.llm.common import short_batches
 
 #: Characters of text in a chunk; a longer text is a chunk of its own.
-CHUNK_CHARS = 16 << 20
+CHUNK_CHARS = 8 << 20
 #: Buckets of words for each shuffle partition.
 BUCKETS = 4
 
