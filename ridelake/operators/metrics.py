@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,27 +47,27 @@ def increase(df: DataFrame, window: dt.timedelta, ts: str = "ts", label: str = "
     clock's resolution however many events it has.
     """
     known = df.filter(F.col(label).isNotNull() & F.col(ts).isNotNull())
+    counted = known.groupBy(label, ts).agg(F.count(F.lit(1)).alias("n"))
+    return known.join(_within(counted, window, ts, label), [label, ts])
+
+
+def _within(points: DataFrame, window: dt.timedelta, ts: str, label: str) -> DataFrame:
+    """(label, ts, increase): sum of ``n`` over the ``window`` up to each point; points are unique by label and time."""
     leave = F.col(ts) + F.lit(window + dt.timedelta(microseconds=1))
     steps = F.array(
         F.struct(F.col(ts).alias("at"), F.col("n").alias("delta"), F.lit(True).alias("arrives")),
         F.struct(leave.alias("at"), (-F.col("n")).alias("delta"), F.lit(False).alias("arrives")),
     )
-    changes = known.groupBy(label, ts).agg(F.count(F.lit(1)).alias("n")).select(label, F.inline(steps))
-    totals = (
-        _running_total(changes, label, "at", "delta", "increase")
-        .filter("arrives")
-        .select(label, F.col("at").alias(ts), "increase")
-    )
-    return known.join(totals, [label, ts])
+    totals = _running_total(points.select(label, F.inline(steps)), label, "at", "delta", "increase")
+    return totals.filter("arrives").select(label, F.col("at").alias(ts), "increase")
 
 
-def counter_increase(df: DataFrame, window: str = "5 minutes", ts: str = "ts", label: str = "label") -> DataFrame:
-    """Growth of a counter per label and tumbling window, from its samples (ts, label, value).
+def _growth(df: DataFrame, window: str, ts: str, label: str) -> DataFrame:
+    """(label, ts, window_start, grown): growth of a counter since its sample before; null at a label's first.
 
     A sample below the one before it marks a restart: the counter then grew by
-    its whole new value. Within a window samples are compared in order; the
-    first is compared with the last of the label's previous window, so growth
-    between windows counts in the later one.
+    its whole new value. Samples are compared within a window; the first with
+    the last of the label's previous window.
     """
     start = F.window(ts, window).start
     samples = df.groupBy(label, ts).agg(F.max("value").alias("value")).withColumn("window_start", start)
@@ -83,12 +83,29 @@ def counter_increase(df: DataFrame, window: str = "5 minutes", ts: str = "ts", l
     grown = F.when(F.col("value") < F.col("previous"), F.col("value")).otherwise(
         F.col("value") - F.col("previous")
     )
-    return (
-        samples.join(before, [label, "window_start"])
-        .withColumn("previous", previous)
-        .groupBy("window_start", label)
-        .agg(F.coalesce(F.sum(grown), F.lit(0.0)).alias("increase"))
-    )
+    found = samples.join(before, [label, "window_start"]).withColumn("previous", previous)
+    return found.select(label, ts, "window_start", grown.alias("grown"))
+
+
+def counter_increase(df: DataFrame, window: str = "5 minutes", ts: str = "ts", label: str = "label") -> DataFrame:
+    """Growth of a counter per label and tumbling window, from its samples (ts, label, value).
+
+    Growth between windows counts in the later one; a restart counts the whole new value.
+    """
+    grown = _growth(df, window, ts, label)
+    return grown.groupBy("window_start", label).agg(F.coalesce(F.sum("grown"), F.lit(0.0)).alias("increase"))
+
+
+def counter_increase_sliding(
+    df: DataFrame, window: dt.timedelta, ts: str = "ts", label: str = "label", slice_: str = "5 minutes"
+) -> DataFrame:
+    """(label, ts, increase): growth of a counter in the ``window`` up to each of its samples, both ends included.
+
+    Neighbouring samples are compared in tumbling slices, which do not change the result.
+    """
+    known = df.filter(F.col(label).isNotNull() & F.col(ts).isNotNull() & F.col("value").isNotNull())
+    grown = _growth(known, slice_, ts, label)
+    return _within(grown.select(label, ts, F.coalesce("grown", F.lit(0.0)).alias("n")), window, ts, label)
 
 
 def rate_per_min(df: DataFrame, ts: str = "ts", status: str = "status") -> DataFrame:
@@ -115,18 +132,31 @@ def buckets(
     return counted.select(label, "n", F.inline(rows))
 
 
-def histogram_quantile(
+def _interpolated(q: float, bounds: Sequence[float]) -> Column:
+    rank = F.lit(float(q)) * F.col("n")
+    estimate = None
+    for i, upper in enumerate(bounds):
+        lower = F.lit(float(bounds[i - 1]) if i else 0.0)
+        before = F.col(f"le{i - 1}") if i else F.lit(0)
+        inside = F.col(f"le{i}") - before
+        point = lower + (F.lit(float(upper)) - lower) * (rank - before) / F.nullif(inside, F.lit(0))
+        reached = F.col(f"le{i}") >= rank
+        estimate = F.when(reached, point) if estimate is None else estimate.when(reached, point)
+    return estimate.otherwise(F.lit(float(bounds[-1])))
+
+
+def histogram_quantiles(
     df: DataFrame,
-    q: float,
+    probs: Mapping[str, float],
     bounds: Sequence[float] = LATENCY_BOUNDS,
     window: str = "5 minutes",
     ts: str = "ts",
     value: str = "value",
     label: str = "label",
 ) -> DataFrame:
-    """Quantile per label and window, interpolated inside the bucket it falls in.
+    """Quantiles per label and window, one column per entry of ``probs``, interpolated inside the bucket they fall in.
 
-    Ranks above the last bound give that bound. The histogram is a single
+    Ranks above the last bound give that bound. All come from a single
     aggregation with one counter per bound.
     """
     counted = (
@@ -134,21 +164,13 @@ def histogram_quantile(
         .groupBy(F.window(ts, window).alias("w"), label)
         .agg(*_cumulative(F.col(value), bounds), F.count(F.lit(1)).alias("n"))
     )
-    rank = F.lit(float(q)) * F.col("n")
-    estimate = None
-    for i, upper in enumerate(bounds):
-        lower = F.lit(float(bounds[i - 1]) if i else 0.0)
-        before = F.col(f"le{i - 1}") if i else F.lit(0)
-        inside = F.col(f"le{i}") - before
-        point = lower + (F.lit(float(upper)) - lower) * (rank - before) / F.nullif(inside, F.lit(0))
-        reached = F.col(f"le{i}") >= rank
-        estimate = F.when(reached, point) if estimate is None else estimate.when(reached, point)
-    return counted.select(
-        F.col("w.start").alias("window_start"),
-        label,
-        "n",
-        estimate.otherwise(F.lit(float(bounds[-1]))).alias("quantile"),
-    )
+    found = [_interpolated(q, bounds).alias(name) for name, q in probs.items()]
+    return counted.select(F.col("w.start").alias("window_start"), label, "n", *found)
+
+
+def histogram_quantile(df: DataFrame, q: float, *args, **kwargs) -> DataFrame:
+    """One quantile per label and window, as column ``quantile``."""
+    return histogram_quantiles(df, {"quantile": q}, *args, **kwargs)
 
 
 def by_status(df: DataFrame, status: str = "status") -> DataFrame:

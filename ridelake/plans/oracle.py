@@ -98,6 +98,21 @@ def _on(name: str, sql: str, *more: str) -> str:
     return "WITH " + ", ".join([*_CTES[name], *more]) + " " + sql
 
 
+# The model's inputs.
+INDEXED = ("vehicle_type", "weather", "origin_zone", "dest_zone")
+STANDARDIZED = (
+    "distance_km", "surge_multiplier", "hour_of_day", "day_of_week", "origin_lat", "origin_lng", "dest_lat", "dest_lng",
+)
+
+
+def _indexes() -> list[str]:
+    return [
+        f"index_{c} AS (SELECT {c}, count(*) AS n, "
+        f"row_number() OVER (ORDER BY {c} IS NULL, count(*) DESC, {c}) - 1 AS idx FROM enriched GROUP BY {c})"
+        for c in INDEXED
+    ]
+
+
 ORACLE: dict[str, str] = {
     "scan_parquet": "SELECT event_id, user_id, event_type, value FROM events",
     "scan_project_limit": _on(
@@ -109,6 +124,12 @@ ORACLE: dict[str, str] = {
     "raw_zone_copy": _on(
         "enriched", "SELECT trip_id, distance_km, origin_zone, CAST(created_at AS DATE) AS dt FROM enriched"
     ),
+    "decode_events": (
+        "WITH v AS (SELECT *, event_id % 13 = 5 AS cut, event_id % 17 = 3 AS other FROM events) "
+        "SELECT CASE WHEN cut THEN left(props, length(props) - 1) WHEN other THEN replace(props, '\"k\"', '\"j\"') ELSE props END AS value, "
+        "CASE WHEN cut THEN 'not a trip event' WHEN other THEN 'no k' END AS error, "
+        "CASE WHEN NOT cut AND NOT other THEN CAST(json_extract(props, '$.k') AS BIGINT) END AS k FROM v"
+    ),
     "merge_insert_if_absent": _on(
         "enriched",
         "SELECT * FROM target UNION ALL SELECT d.trip_id, d.actual_fare FROM d "
@@ -291,6 +312,14 @@ ORACLE: dict[str, str] = {
         "round(coalesce(sum(CASE WHEN value < previous THEN value ELSE value - previous END), 0e0), 4) AS increase "
         "FROM p GROUP BY 1, 2"
     ),
+    "metric_counter_increase_sliding": (
+        "WITH s AS (SELECT event_type AS label, ts, max(value) AS value FROM events WHERE value IS NOT NULL "
+        "AND event_type IS NOT NULL AND ts IS NOT NULL GROUP BY 1, 2), "
+        "p AS (SELECT *, lag(value) OVER (PARTITION BY label ORDER BY ts) AS previous FROM s), "
+        "g AS (SELECT label, ts, coalesce(CASE WHEN value < previous THEN value ELSE value - previous END, 0e0) AS grown FROM p) "
+        "SELECT label, ts, round(sum(grown) OVER (PARTITION BY label ORDER BY ts "
+        "RANGE BETWEEN INTERVAL 30 MINUTES PRECEDING AND CURRENT ROW), 4) AS increase FROM g"
+    ),
     "request_rate_per_min": (
         "SELECT time_bucket(INTERVAL 1 MINUTE, ts) AS minute_start, event_type AS status, count(*) AS per_minute "
         "FROM events GROUP BY 1, 2"
@@ -305,6 +334,19 @@ ORACLE: dict[str, str] = {
         "ELSE c.lag_le + (c.le - c.lag_le) * (0.95e0 * r.n - c.prev) / nullif(c.cum - c.prev, 0) END, 6) AS p95 "
         "FROM r LEFT JOIN c ON c.win = r.win AND c.label = r.label AND c.ord = r.k"
     ),
+    "latency_quantiles_daily": (
+        "WITH m AS (SELECT time_bucket(INTERVAL 1 DAY, ts) AS win, event_type AS label, value / 100e0 AS v FROM events "
+        "WHERE value IS NOT NULL), b AS (SELECT win, label, le, ord, lag_le, sum(CASE WHEN v <= le THEN 1 ELSE 0 END) AS cum, "
+        f"count(*) AS n FROM m CROSS JOIN {BOUNDS} GROUP BY win, label, le, ord, lag_le), "
+        "c AS (SELECT *, coalesce(lag(cum) OVER (PARTITION BY win, label ORDER BY ord), 0) AS prev FROM b), "
+        "q AS (SELECT * FROM (VALUES (0.5e0), (0.95e0), (0.99e0)) AS t(q)), "
+        "r AS (SELECT win, label, n, q, min(CASE WHEN cum >= q * n THEN ord END) AS k FROM c CROSS JOIN q GROUP BY win, label, n, q), "
+        "e AS (SELECT r.win, r.label, r.n, r.q, round(CASE WHEN r.k IS NULL THEN 5e0 "
+        "ELSE c.lag_le + (c.le - c.lag_le) * (r.q * r.n - c.prev) / nullif(c.cum - c.prev, 0) END, 6) AS x "
+        "FROM r LEFT JOIN c ON c.win = r.win AND c.label = r.label AND c.ord = r.k) "
+        "SELECT win AS window_start, label, n, max(CASE WHEN q = 0.5e0 THEN x END) AS p50, "
+        "max(CASE WHEN q = 0.95e0 THEN x END) AS p95, max(CASE WHEN q = 0.99e0 THEN x END) AS p99 FROM e GROUP BY win, label, n"
+    ),
     "latency_buckets": (
         "SELECT event_type AS label, count(value) AS n, le, "
         "CAST(coalesce(sum(CASE WHEN value / 100e0 <= le THEN 1 ELSE 0 END), 0) AS BIGINT) AS cumulative "
@@ -318,8 +360,8 @@ ORACLE: dict[str, str] = {
     ),
     "category_index": _on(
         "enriched",
-        "SELECT origin_zone AS label, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, origin_zone) - 1 AS idx "
-        "FROM enriched GROUP BY origin_zone",
+        " UNION ALL ".join(f"SELECT '{c}' AS feature, {c} AS label, n, idx FROM index_{c}" for c in INDEXED),
+        *_indexes(),
     ),
     "assemble_skip_invalid": _on(
         "located",
@@ -329,7 +371,11 @@ ORACLE: dict[str, str] = {
     ),
     "standardize_numeric": _on(
         "enriched",
-        "SELECT trip_id, round((distance_km - avg(distance_km) OVER ()) / stddev_samp(distance_km) OVER (), 6) AS z FROM enriched",
+        "SELECT trip_id, " + ", ".join(
+            f"round(({x} - avg({x}) OVER ()) / stddev_samp({x}) OVER (), 6) + 0e0 AS z_{name}"
+            for x, name in [(f"e.{c}", c) for c in STANDARDIZED] + [(f"index_{c}.idx", c) for c in INDEXED]
+        ) + " FROM enriched e " + " ".join(f"JOIN index_{c} ON index_{c}.{c} IS NOT DISTINCT FROM e.{c}" for c in INDEXED),
+        *_indexes(),
     ),
     "train_test_split": _on(
         "enriched", f"SELECT trip_id, CASE WHEN {HASH} % 100 < 80 THEN 'train' ELSE 'test' END AS side FROM enriched"

@@ -10,6 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ridelake.functions import fares, geo, times
 from ridelake.ml import features as ft
@@ -22,6 +23,7 @@ from ridelake.schemas import EVENTS, MODEL_REGISTRY, TRIPS_ENRICHED
 from ridelake.session import shared_dir, tune
 from ridelake.sources import tables
 from ridelake.sources import trips as src
+from ridelake.streaming.events import decode
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -77,6 +79,16 @@ def raw_zone_copy(spark, sf):
     return tables.copy_zone(spark, f"{base}/staging", f"{base}/raw", trips.schema).drop("created_at")
 
 
+@query
+def decode_events(spark, sf):
+    props, event = F.col("props"), F.col("event_id")
+    cut = F.substring(props, F.lit(1), F.length(props) - 1)
+    sent = F.when(event % 13 == 5, cut).when(event % 17 == 3, F.replace(props, F.lit('"k"'), F.lit('"j"'))).otherwise(props)
+    raw = spark.read.parquet(f"{sf}/events.parquet").select(sent.alias("value"))
+    decoded = decode(raw, StructType([StructField("k", LongType(), True)]), "k")
+    return decoded.select("value", "error", F.when(F.col("error").isNull(), F.col("k")).alias("k"))
+
+
 @query
 def merge_insert_if_absent(spark, sf):
     trips = src.enriched(spark, sf).select("trip_id", "actual_fare", "event_id", "created_at")
@@ -363,6 +375,12 @@ def metric_counter_increase(spark, sf):
     return _rounded(metrics.counter_increase(samples.filter(F.col("value").isNotNull())), 4, "increase")
 
 
+@query
+def metric_counter_increase_sliding(spark, sf):
+    samples = src.events(spark, sf).select("ts", F.col("event_type").alias("label"), "value")
+    return _rounded(metrics.counter_increase_sliding(samples, dt.timedelta(minutes=30)), 4, "increase")
+
+
 @query
 def request_rate_per_min(spark, sf):
     return metrics.rate_per_min(src.latency_log(spark, sf))
@@ -374,6 +392,12 @@ def latency_histogram_quantile(spark, sf):
     return _rounded(p95, 6, "quantile").withColumnRenamed("quantile", "p95")
 
 
+@query
+def latency_quantiles_daily(spark, sf):
+    probs = {"p50": 0.5, "p95": 0.95, "p99": 0.99}
+    return _rounded(metrics.histogram_quantiles(src.latency_log(spark, sf), probs, window="1 day"), 6, *probs)
+
+
 @query
 def latency_buckets(spark, sf):
     return metrics.buckets(src.latency_log(spark, sf))
@@ -394,12 +418,13 @@ def metric_latest_threshold(spark, sf):
 
 @query
 def category_index(spark, sf):
-    trips = src.enriched(spark, sf).select("origin_zone")
-    fitted = ft.indexer(["origin_zone"]).fit(trips)
-    counts = trips.groupBy("origin_zone").agg(F.count(F.lit(1)).alias("n"))
-    return fitted.transform(counts).select(
-        F.col("origin_zone").alias("label"), "n", F.col("origin_zone_idx").cast("bigint").alias("idx")
-    )
+    trips = src.enriched(spark, sf).select(*ft.CATEGORIES)
+    values = F.array(*[
+        F.struct(F.lit(c).alias("feature"), F.col(c).alias("label"), F.col(f"{c}_idx").cast("bigint").alias("idx"))
+        for c in ft.CATEGORIES
+    ])
+    indexed = ft.indexer().fit(trips).transform(trips)
+    return indexed.select(F.inline(values)).groupBy("feature", "label", "idx").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -413,7 +438,8 @@ def assemble_skip_invalid(spark, sf):
 def standardize_numeric(spark, sf):
     trips = src.enriched(spark, sf).select("trip_id", *ft.NUMBERS, *ft.CATEGORIES)
     scaled = ft.fit_features(trips).transform(trips)
-    return scaled.select("trip_id", F.round(vector_to_array("features")[0], 6).alias("z"))
+    values, names = vector_to_array("features"), [*ft.NUMBERS, *ft.CATEGORIES]
+    return scaled.select("trip_id", *[F.round(values[i], 6).alias(f"z_{name}") for i, name in enumerate(names)])
 
 
 @query

@@ -45,6 +45,34 @@ def test_counter_increase_with_restarts(spark):
     assert got == {("a", 0): 2 + 3 + 2, ("a", 300): 4.0, ("a", 600): 0.0, ("a", 1500): 1.0, ("b", 0): 0.0}
 
 
+def test_sliding_counter_increase_against_brute_force(spark):
+    random.seed(4)
+    rows = [(START + dt.timedelta(seconds=random.randint(0, 4000)), random.choice("ab"), float(random.randint(0, 50))) for _ in range(300)]
+    window = dt.timedelta(minutes=7)
+    df = spark.createDataFrame(rows + [(START, None, 1.0), (None, "a", 1.0), (START, "a", None)], "ts timestamp_ntz, label string, value double")
+    got = {(r.label, r.ts): r.increase for r in metrics.counter_increase_sliding(df.repartition(4), window).collect()}
+    want = {}
+    for label in "ab":
+        series = {}
+        for t, l, v in rows:
+            if l == label:
+                series[t] = max(v, series.get(t, v))
+        times = sorted(series)
+        grown = {t: series[t] - series[p] if series[t] >= series[p] else series[t] for p, t in zip(times, times[1:])}
+        want |= {(label, t): sum(g for u, g in grown.items() if t - window <= u <= t) for t in times}
+    assert got == want
+
+
+def test_several_quantiles_are_those_taken_one_by_one(spark):
+    random.seed(6)
+    rows = [(START + dt.timedelta(seconds=i), random.choice("ab"), random.random() * 7) for i in range(500)]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, label string, value double")
+    together = {(r.window_start, r.label): r for r in metrics.histogram_quantiles(df, {"p50": 0.5, "p99": 0.99}).collect()}
+    for name, q in (("p50", 0.5), ("p99", 0.99)):
+        for r in metrics.histogram_quantile(df, q).collect():
+            assert together[r.window_start, r.label][name] == r.quantile
+
+
 def test_rate_per_minute(spark):
     rows = [(i, START + dt.timedelta(seconds=20 * i), "ok" if i % 2 else "error") for i in range(9)]
     df = spark.createDataFrame(rows, "id int, ts timestamp_ntz, status string")
