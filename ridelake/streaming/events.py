@@ -10,6 +10,8 @@ from ridelake.schemas import MAX_LENGTH, TRIP_EVENT
 
 TOPIC = "trip_events"
 CORRUPT = "_corrupt"
+#: Where a record stood in its source; sorts by arrival.
+ARRIVAL = "arrival"
 
 
 def kafka_options(
@@ -23,17 +25,20 @@ def kafka_options(
 
 
 def read_kafka(spark: SparkSession, brokers: str, **options) -> DataFrame:
-    """The topic as one ``value`` column of text; needs the Kafka connector on the class path."""
+    """The topic as ``value``, text, and its ``arrival``; needs the Kafka connector on the class path."""
     source = spark.readStream.format("kafka").options(**kafka_options(brokers, **options)).load()
-    return source.select(F.col("value").cast("string").alias("value"))
+    return source.select(
+        F.col("value").cast("string").alias("value"), F.struct("timestamp", "partition", "offset").alias(ARRIVAL)
+    )
 
 
 def read_lines(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
-    """JSON lines from the files of a folder, as they arrive."""
+    """JSON lines from the files of a folder as they arrive: ``value`` and its ``arrival``, by file and block."""
     reader = spark.readStream.format("text")
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", str(files_per_batch))
-    return reader.load(path).select("value")
+    place = [F.col(f"_metadata.{c}").alias(c) for c in ("file_modification_time", "file_name", "file_block_start")]
+    return reader.load(path).select("value", F.struct(*place).alias(ARRIVAL))
 
 
 def _problem(event: Column, schema: StructType, key: str) -> Column:
@@ -57,7 +62,8 @@ def _problem(event: Column, schema: StructType, key: str) -> Column:
 def decode(raw: DataFrame, schema: StructType = TRIP_EVENT, key: str = "trip_id") -> DataFrame:
     """Add the event's fields and ``error``: null, or why the record cannot be stored.
 
-    Fields outside ``schema`` (the sender's own zones and time parts) are dropped.
+    Fields outside ``schema`` (the sender's own zones and time parts) are dropped;
+    a column ``arrival`` stays.
     """
     wide = StructType([*schema.fields, StructField(CORRUPT, StringType(), True)])
     parsed = F.from_json("value", wide, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT})
@@ -66,6 +72,7 @@ def decode(raw: DataFrame, schema: StructType = TRIP_EVENT, key: str = "trip_id"
         "value",
         _problem(event, schema, key).alias("error"),
         *[event[f.name].alias(f.name) for f in schema],
+        *[c for c in raw.columns if c == ARRIVAL],
     )
 
 

@@ -9,13 +9,14 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
 
 from ridelake.operators.enrich import enrich_trips
 from ridelake.operators.slices import align, with_default_time
 from ridelake.operators.stats import zone_measures
 from ridelake.schemas import KEYS, RAW_STORED, RAW_TRIPS, ZONE_DAILY_STATS
 from ridelake.sources import tables
-from ridelake.streaming.events import decode
+from ridelake.streaming.events import ARRIVAL, decode
 
 
 def _utc_now() -> dt.datetime:
@@ -35,7 +36,8 @@ def ingest(
     """Land a stream of JSON ``value`` rows in the raw trips table.
 
     Every micro-batch inserts the trips whose id the table lacks and appends
-    the rest to the dead-letter table, so a batch that is run again after a
+    the rest to the dead-letter table. Of a batch's trips with one id the first
+    by ``arrival`` stays, if the stream has that column. A batch that is run again after a
     failure changes nothing: its trips are already there, and its dead letters
     replace the partition that carries its number.
 
@@ -46,12 +48,17 @@ def ingest(
     """
 
     def land(batch: DataFrame, batch_id: int) -> None:
+        if ARRIVAL in batch.columns:
+            # A task reads a block of a file in order, so within it rows are numbered by place.
+            batch = batch.withColumn(ARRIVAL, F.struct(ARRIVAL, F.monotonically_increasing_id().alias("row")))
         decoded = decode(batch).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             good = decoded.filter(F.col("error").isNull())
-            trips = align(with_default_time(good, "raw_trips", clock()), RAW_TRIPS)
+            order = [c for c in good.columns if c == ARRIVAL]
+            wanted = StructType([*RAW_TRIPS.fields, *[good.schema[c] for c in order]])
+            trips = align(with_default_time(good, "raw_trips", clock()), wanted)
             tables.merge_absent(
-                tables.stamped(trips, "created_at"), target, RAW_STORED, KEYS["raw_trips"], by=["dt"],
+                tables.stamped(trips, "created_at"), target, RAW_STORED, KEYS["raw_trips"], order, by=["dt"],
                 among=_since_first_request(trips) if prune_by_day else None, few_files=True,
             )
             bad = decoded.filter(F.col("error").isNotNull()).select(

@@ -85,6 +85,22 @@ def test_ingest_restart_repeats_and_dead_letters(spark, tmp_path, event_lines, p
     assert spark.read.parquet(str(tmp_path / "raw")).count() == len(event_lines)
 
 
+def test_the_first_arrival_of_an_id_stays(spark, tmp_path, event_lines):
+    first, second = ({**json.loads(line), "trip_id": "T-twice"} for line in event_lines[:2])
+    sent = [json.dumps(first | {"driver_id": d}) for d in ("z", "a", "m")]
+    write(tmp_path / "in", "1.json", [*event_lines[:5], *sent[:2], *event_lines[5:9], *BAD[:1]])
+    raw, _ = run(spark, tmp_path)
+    write(tmp_path / "in", "2.json", [sent[2], json.dumps(second | {"driver_id": "b"})])
+    raw, _ = run(spark, tmp_path)
+    assert [r.driver_id for r in raw.filter("trip_id = 'T-twice'").collect()] == ["z"]
+    query = ingest.ingest(
+        events.read_lines(spark, str(tmp_path / "in")), str(tmp_path / "raw2"), str(tmp_path / "dead2"), str(tmp_path / "cp2")
+    )
+    query.awaitTermination(120)
+    again = spark.read.parquet(str(tmp_path / "raw2")).filter("trip_id = 'T-twice'")
+    assert [r.driver_id for r in again.collect()] == ["z"]
+
+
 def test_a_batch_run_again_changes_nothing(spark, tmp_path, event_lines):
     write(tmp_path / "in", "1.json", event_lines + BAD[:2])
     run(spark, tmp_path)
