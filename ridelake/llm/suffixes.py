@@ -1,9 +1,9 @@
-"""Repeated byte strings by a radix sort of suffixes, limited to the depth of the threshold.
+"""Repeated byte strings by passes over anchors, runs, block cores and margins, in place of a radix sort of suffixes.
 
-Suffixes are told apart only through their first 400 bytes, in passes that each
-read a further part of them and drop what has become unique; suffixes that are
-still together at the end are exactly the repeated windows. Parts may be read in
-any order that depends on the window alone, and the order here keeps rows few:
+No suffix is ordered. Windows of 400 bytes are told apart in passes that each read
+a further part of them and drop what has become unique; windows that are still
+together at the end are exactly the repeated ones. Parts may be read in any order
+that depends on the window alone, and the order here keeps rows few:
 
 1. Every window has an anchor, the run of 128 bytes in it with the smallest hash.
    Neighbouring windows share one, so a pass over anchors has a row per run of
