@@ -39,6 +39,8 @@ GRAM = 128
 BLOCK = 32
 #: Windows looked at together; longer texts are cut into overlapping slices.
 SLICE = 1 << 19
+#: Low bits of a hash that give way to its place, as many for short texts as for full slices.
+PLACE_BITS = (SLICE + LENGTH).bit_length()
 
 RUNS = "key binary, starts array<long>, n int, ahead int, anchor long, digest long"
 BLOCKS = "key binary, start long, n int, weight long, open boolean, core long, before binary, after binary"
@@ -47,6 +49,14 @@ _VALUES = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.int64).ast
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
+def _ranked(hashes: np.ndarray) -> np.ndarray:
+    """The hashes with their places as low bits: one order for equal windows, however long their texts are."""
+    bits = np.uint64(PLACE_BITS)
+    if len(hashes) > 1 << PLACE_BITS:
+        raise ValueError("a slice has more places than their bits can tell")
+    return (hashes >> bits << bits) | np.arange(len(hashes), dtype=np.uint64)
+
+
 class _Hasher:
     """Rolling hashes of ``gram`` bytes and the smallest of them in every window, for whole arrays."""
 
@@ -70,15 +80,14 @@ class _Hasher:
         hashes ^= hashes >> np.uint64(31)
         hashes *= np.uint64(0xBF58476D1CE4E5B9)
         hashes ^= hashes >> np.uint64(29)
-        bits = np.uint64(max(1, int(n).bit_length()))
-        least = (hashes >> bits << bits) | np.arange(n, dtype=np.uint64)
+        least = _ranked(hashes)
         width, have = self.length - self.gram + 1, 1
         while 2 * have <= width:
             least = np.minimum(least[:-have], least[have:])
             have *= 2
         if have < width:
             least = np.minimum(least[: len(least) - (width - have)], least[width - have :])
-        return (least & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), hashes
+        return (least & np.uint64((1 << PLACE_BITS) - 1)).astype(np.int64), hashes
 
 
 def _slices(data: bytes, length: int, size: int) -> Iterator[tuple[int, np.ndarray]]:
