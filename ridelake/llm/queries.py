@@ -5,11 +5,14 @@ from __future__ import annotations
 import public_tokenizers
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ridelake.llm import bpe, contamination, embeddings, lines, quality, secrets, simhash, suffixes, toxicity, warc
+from ridelake.llm import bpe, contamination, embeddings, lines, merkle, quality, secrets, simhash, suffixes, toxicity, warc
 from ridelake.llm.common import table
 
 
+#: The columns a leaf of the manifest covers.
+MERKLE_COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
 #: The vocabulary file and the pattern of its pre-tokens.
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
@@ -54,6 +57,19 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proofs of all documents, and whether they hold for a copy in which some documents were tampered with."""
+    docs = table(spark, sf_dir, "documents")
+    hit = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    claimed = merkle.leaf_hash(*(F.col(c) + F.when(hit, 1).otherwise(0) if c == "n_chars" else F.col(c) for c in MERKLE_COLUMNS))
+    rows = merkle.manifest(docs.withColumn("claimed", claimed), MERKLE_COLUMNS, "lang", "doc_id", also=["claimed"])
+    rows = rows.withColumn("folded_root", merkle.folded(F.col("claimed"), F.col("proof")))
+    return rows.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("proof")).alias("proof_sha256"),
+        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
 QUERIES = {
     "op1_toxicity": op1_toxicity,
     "op3_byte_bpe": op3_byte_bpe,
@@ -65,9 +81,63 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_warc_round_trip": op9_warc_round_trip,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op13_merkle_manifest": op13_merkle_manifest,
 }
 
+def _crc32(text: str) -> str:
+    """SQL for the crc32 of an ASCII text by the table ``crc``, of which a query has a row."""
+    codes = f"list_transform(string_split({text}, ''), lambda c: ord(c)::BIGINT)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}), lambda a, b: xor(a >> 8, crc[xor(a & 255, b) + 1])), 4294967295)"
+
+
+#: Fixed value: the reversed polynomial of crc32.
+_CRC_TABLE = """
+    SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+        lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc
+"""
+
 SQL = {
+    "op13_merkle_manifest": f"""
+        WITH RECURSIVE t AS ({_CRC_TABLE}), d AS (
+            SELECT doc_id, lang, n_chars, coalesce({_crc32("CAST(doc_id AS VARCHAR)")} % 7 = 0, false) AS hit,
+                   coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-')
+                   || coalesce(octet_length(encode(source)) || ':' || source, '-')
+                   || coalesce(octet_length(encode(lang)) || ':' || lang, '-') AS head,
+                   coalesce(octet_length(encode(text)) || ':' || text, '-') AS tail
+            FROM documents, t
+        ), leaf AS (
+            SELECT doc_id, lang, sha256(head || coalesce(length(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+                   sha256(head || coalesce(length(CAST(n_chars + hit::INT AS VARCHAR)) || ':' || (n_chars + hit::INT), '-') || tail) AS claimed
+            FROM d
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY lang) AS n FROM leaf
+        ), low(lang, lvl, pos, n, h) AS (
+            SELECT lang, 0, pos::BIGINT, n::BIGINT, leaf FROM placed
+            UNION ALL
+            SELECT lang, lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM low WHERE n > 1 GROUP BY lang, lvl, pos // 2, n
+        ), subs AS (
+            SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n, lvl AS top FROM low WHERE n = 1
+        ), high(lvl, pos, n, h) AS (
+            SELECT 0, pos::BIGINT, n::BIGINT, subroot FROM subs
+            UNION ALL
+            SELECT lvl + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY pos)) FROM high WHERE n > 1 GROUP BY lvl, pos // 2, n
+        ), fold(doc_id, lang, leaf, node, lvl, pos, n, proof, upper) AS (
+            SELECT doc_id, lang, leaf, claimed, 0, pos::BIGINT, n::BIGINT, '', false FROM placed
+            UNION ALL
+            SELECT f.doc_id, f.lang, f.leaf,
+                   CASE WHEN f.n = 1 THEN f.node WHEN f.pos % 2 = 1 THEN sha256(coalesce(l.h, u.h, '') || f.node) ELSE sha256(f.node || coalesce(l.h, u.h, '')) END,
+                   CASE WHEN f.n = 1 THEN 0 ELSE f.lvl + 1 END,
+                   CASE WHEN f.n = 1 THEN s.pos ELSE f.pos // 2 END, CASE WHEN f.n = 1 THEN s.n ELSE (f.n + 1) // 2 END,
+                   f.proof || CASE WHEN f.n = 1 THEN '' ELSE coalesce(l.h, u.h, '') END, f.upper OR f.n = 1
+            FROM fold f JOIN subs s ON f.lang IS NOT DISTINCT FROM s.lang
+            LEFT JOIN low l ON NOT f.upper AND f.n > 1 AND l.lang IS NOT DISTINCT FROM f.lang AND l.lvl = f.lvl AND l.pos = xor(f.pos, 1)
+            LEFT JOIN high u ON f.upper AND f.n > 1 AND u.lvl = f.lvl AND u.pos = xor(f.pos, 1)
+            WHERE f.n > 1 OR NOT f.upper
+        )
+        SELECT f.doc_id, f.leaf, s.subroot, r.h AS root, sha256(f.proof) AS proof_sha256, f.node AS folded_root, f.node = r.h AS verified
+        FROM fold f JOIN subs s ON f.lang IS NOT DISTINCT FROM s.lang, (SELECT h FROM high WHERE n = 1) r
+        WHERE f.upper AND f.n = 1
+    """,
     "op6_embedding_near_dedup": """
         WITH RECURSIVE v AS (
             SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
