@@ -1,10 +1,11 @@
-"""Reading tables, staging between steps, and connected components."""
+"""Reading tables, staging between steps, places in an order, and connected components."""
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ridelake.session import shared_dir
@@ -41,6 +42,24 @@ def remainder(key: Column, n: int) -> Column:
     return F.crc32(F.coalesce(key.cast("string"), F.lit("null")).cast("binary")) % n
 
 
+def positions(nodes: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``nodes`` with ``pos``, the place in the group ``grp`` by ``order``, and ``total``, the group's size.
+
+    A range sort deals out the rows, so that a large group and many equal rows are spread
+    over tasks; the places before a task's rows come from the counts of (group, task).
+    """
+    keys = ["grp", *order, "tie"]
+    rows = nodes.withColumn("tie", F.monotonically_increasing_id())
+    rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("tie")
+    rows = stage(rows.withColumns({"part": F.spark_partition_id(), "seq": F.monotonically_increasing_id()}), "sorted")
+    counts = rows.groupBy("grp", "part").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
+    group = Window.partitionBy("grp")
+    before = F.sum("n").over(group.orderBy("part")) - F.col("n")
+    counts = counts.select(F.col("grp").alias("g"), F.col("part").alias("p"), (before - F.col("first")).alias("shift"), F.sum("n").over(group).alias("total"))
+    placed = rows.join(counts, F.col("grp").eqNullSafe(F.col("g")) & (F.col("part") == F.col("p")))
+    return placed.withColumn("pos", F.col("seq") + F.col("shift")).drop("part", "seq", "shift", "g", "p")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Connected components of the links ``(a, b)``: rows ``(node, component)``, the component its smallest node.
 

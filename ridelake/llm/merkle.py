@@ -19,10 +19,10 @@ from collections.abc import Iterator, Sequence
 
 import pyarrow as pa
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ridelake.llm.common import short_batches, stage
+from ridelake.llm.common import positions, short_batches, stage
 
 FANOUT = 2
 #: Levels of the tree that lie within a block.
@@ -47,24 +47,6 @@ def proof_digest(proof: Column) -> Column:
     return F.sha2(F.array_join(F.transform(proof, lambda step: F.concat(step["before"], step["after"])), ""), 256)
 
 
-def _positions(nodes: DataFrame, order: Sequence[str]) -> DataFrame:
-    """``nodes`` with ``pos``, the place in the group ``grp`` by ``order``, and ``total``, the group's size.
-
-    A range sort deals out the rows, so that a large group and many equal rows are spread
-    over tasks; the places before a task's rows come from the counts of (group, task).
-    """
-    keys = ["grp", *order, "tie"]
-    rows = nodes.withColumn("tie", F.monotonically_increasing_id())
-    rows = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).drop("tie")
-    rows = stage(rows.withColumns({"part": F.spark_partition_id(), "seq": F.monotonically_increasing_id()}), "sorted")
-    counts = rows.groupBy("grp", "part").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
-    group = Window.partitionBy("grp")
-    before = F.sum("n").over(group.orderBy("part")) - F.col("n")
-    counts = counts.select(F.col("grp").alias("g"), F.col("part").alias("p"), (before - F.col("first")).alias("shift"), F.sum("n").over(group).alias("total"))
-    placed = rows.join(counts, F.col("grp").eqNullSafe(F.col("g")) & (F.col("part") == F.col("p")))
-    return placed.withColumn("pos", F.col("seq") + F.col("shift")).drop("part", "seq", "shift", "g", "p")
-
-
 def _levels(digests: list[str], fanout: int, levels: int | None) -> list[list[str]]:
     """Nodes by level, the given ones first, for so many levels above them or up to a single node."""
     out = [digests]
@@ -115,7 +97,7 @@ def _exchange(heads: DataFrame, fanout: int) -> DataFrame:
 def _plant(leaves: DataFrame, order: Sequence[str], fanout: int, levels: int) -> tuple[DataFrame, DataFrame]:
     """The blocks of the leaves (grp, block, blocks, leaves) and what each block learns in the exchange."""
     size, kept = fanout**levels, [c for c in leaves.columns if c != "grp"]
-    placed = _positions(leaves, order).withColumn("block", F.expr(f"pos div {size}"))
+    placed = positions(leaves, order).withColumn("block", F.expr(f"pos div {size}"))
     blocks = placed.groupBy("grp", "total", "block").agg(F.sort_array(F.collect_list(F.struct("pos", *kept))).alias("leaves"))
     blocks = stage(blocks.select("grp", "block", F.expr(f"(total - 1) div {size} + 1").alias("blocks"), "leaves"), "blocks")
 

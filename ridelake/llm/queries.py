@@ -7,8 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridelake.llm import bpe, contamination, embeddings, lines, merkle, quality, secrets, simhash, suffixes, toxicity, warc
-from ridelake.llm.common import table
+from ridelake.llm import bpe, contamination, embeddings, lines, merkle, quality, repair, secrets, simhash, suffixes, toxicity, warc
+from ridelake.llm.common import stage, table
 
 
 #: The columns a leaf of the manifest covers.
@@ -57,6 +57,33 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def _damaged(turns: DataFrame) -> DataFrame:
+    """Conversations with turns dropped, emptied, cut short, repeated or given to the user, by a checksum of their key."""
+    turns = turns.select("conv_id", "turn", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c) for c in ("role", "text")))
+    key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    kind = F.crc32(key.cast("binary")) % 20
+    text = F.when(kind == 1, "").when(kind == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    rows = turns.select("conv_id", "turn", F.when(kind == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), kind.alias("kind"))
+    times = F.when(F.col("kind") == 3, 2).otherwise(1)
+    return rows.filter("kind != 0").withColumn("copy", F.explode(F.sequence(F.lit(1), times))).drop("kind", "copy")
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Damaged conversations, their faults, the cheapest repair and a digest of what it makes of them."""
+    turns = table(spark, sf_dir, "conversations")
+    damaged = _damaged(turns)
+    found = stage(repair.edits(damaged), "edits")
+    digests = repair.text_digests(repair.repaired(damaged, found))
+    rows = turns.select(F.col("conv_id").alias("c")).distinct()
+    for more in (found, digests):
+        rows = rows.join(more, F.col("c").eqNullSafe(F.col("conv_id")), "left").drop("conv_id")
+    counts = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")
+    return rows.select(
+        F.col("c").alias("conv_id"), *(F.coalesce(c, F.lit(0)).alias(c) for c in counts), F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("digest", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proofs of all documents, and whether they hold for a copy in which some documents were tampered with."""
     docs = table(spark, sf_dir, "documents")
@@ -81,6 +108,7 @@ QUERIES = {
     "op8_benchmark_decontamination": op8_benchmark_decontamination,
     "op9_warc_round_trip": op9_warc_round_trip,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
+    "op11_conversation_repair": op11_conversation_repair,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -96,7 +124,63 @@ _CRC_TABLE = """
         lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc
 """
 
+#: Fixed value: what stands between words.
+_BLANK = "[\\x20\\x09-\\x0D]"
+
 SQL = {
+    "op11_conversation_repair": f"""
+        WITH RECURSIVE t AS ({_CRC_TABLE}), k AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+                   {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind
+            FROM conversations, t
+        ), d AS (
+            SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+                   CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+                   unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+            FROM k WHERE kind <> 0
+        ), o AS (
+            SELECT *, left(role, 1) AS x, regexp_extract(text, '([^\\x20\\x09-\\x0D]){_BLANK}*$', 1) AS tail,
+                   row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS again
+            FROM d
+        ), f AS (
+            SELECT *, CASE WHEN tail = '' THEN 1 WHEN again THEN 2 WHEN tail NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault,
+                   row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), again) AS pos,
+                   lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, md5(text), again) AS y
+            FROM o
+        ), c AS (
+            SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank,
+                   count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated,
+                   count(*) FILTER (pos > 1 AND y || x NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+            FROM f GROUP BY conv_id
+        ), step(p, e, q, letter) AS (
+            VALUES (0, 'K', 1, 's'), (0, 'K', 2, 'u'), (1, 'K', 2, 'u'), (2, 'K', 3, 'a'), (3, 'K', 2, 'u'),
+                   (0, 'R', 2, 'u'), (1, 'R', 2, 'u'), (2, 'R', 3, 'a'), (3, 'R', 2, 'u'), (0, 'D', 0, ''), (1, 'D', 1, ''), (2, 'D', 2, ''), (3, 'D', 3, '')
+        ), ins(p, q, cost, audit, body) AS (
+            VALUES (0, 0, 0, '', ''), (1, 1, 0, '', ''), (2, 2, 0, '', ''), (3, 3, 0, '', ''),
+                   (0, 2, 3, 'I', chr(10) || 'user:'), (1, 2, 3, 'I', chr(10) || 'user:'), (2, 3, 3, 'I', chr(10) || 'assistant:'), (3, 2, 3, 'I', chr(10) || 'user:'),
+                   (0, 3, 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), (1, 3, 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:')
+        ), r(conv_id, i, q, w) AS (
+            SELECT conv_id, 0::BIGINT, 0, {{'cost': 0, 'audit': '', 'body': ''}} FROM c
+            UNION ALL
+            SELECT r.conv_id, r.i + 1, step.q, min({{
+                'cost': r.w.cost + ins.cost + CASE step.e WHEN 'K' THEN 0 WHEN 'R' THEN 3 ELSE 4 END + CASE WHEN f.fault = 3 AND step.e <> 'D' THEN 3 ELSE 0 END,
+                'audit': r.w.audit || ins.audit || step.e,
+                'body': r.w.body || ins.body || CASE WHEN step.e = 'D' THEN '' ELSE chr(10) || CASE WHEN step.e = 'K' THEN f.role WHEN step.q = 2 THEN 'user' ELSE 'assistant' END || ':' || f.text END
+            }})
+            FROM r JOIN ins ON ins.p = r.q JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.pos = r.i + 1
+            JOIN step ON step.p = ins.q AND (step.e <> 'K' OR step.letter = f.x) AND (step.e = 'D' OR f.fault IN (0, 3))
+            GROUP BY r.conv_id, r.i, step.q
+        ), best AS (
+            SELECT r.conv_id, min({{'cost': r.w.cost + ins.cost, 'audit': r.w.audit || ins.audit, 'body': r.w.body || ins.body}}) AS w
+            FROM r JOIN c ON c.conv_id IS NOT DISTINCT FROM r.conv_id AND r.i = c.n JOIN ins ON ins.p = r.q AND ins.q IN (0, 3)
+            GROUP BY r.conv_id
+        )
+        SELECT a.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+               coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(w.cost, 0) AS BIGINT) AS cost,
+               coalesce(w.audit, '') AS audit, sha256(coalesce(w.body[2:], '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN c ON c.conv_id IS NOT DISTINCT FROM a.conv_id
+        LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM a.conv_id
+    """,
     "op13_merkle_manifest": f"""
         WITH RECURSIVE t AS ({_CRC_TABLE}), d AS (
             SELECT doc_id, lang, n_chars, coalesce({_crc32("CAST(doc_id AS VARCHAR)")} % 7 = 0, false) AS hit,

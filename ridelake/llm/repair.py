@@ -9,12 +9,13 @@ when it is popped, and the agenda ends with the item of the whole conversation.
 
 Deductions run from the last turn to the first: an edit is put before an audit that is
 already least, and the edits that can begin one item differ in their letters, so the
-least letter at equal cost makes the least audit. Long conversations pass through the
-agenda block by block, each from the four final items of the block after it; what
-stays of a turn is a byte an item.
+least letter at equal cost makes the least audit. Long conversations are dealt out in
+blocks of turns. A block passes through an agenda for each of the four states it may
+end in, and sends on the costs between its states and the order of its audits; the
+cheapest way through the blocks then names the audit of each.
 
-The turns of a conversation meet in one task, in order, as a byte each; their texts
-pass through that task as a stream, and neither is ever held whole.
+A block's turns meet as a letter and a fault each. The texts of a conversation pass
+through one task as a stream, since a digest of the whole is a chain; they are never held.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ridelake.llm.common import short_batches
+from ridelake.llm.common import positions, short_batches, stage
 
 #: Costs of edits, and what a truncated turn adds if it stays.
 REROLE, DELETE, INSERT, TRUNCATED = 3, 4, 3, 3
@@ -47,7 +48,8 @@ NAMES = {"u": "user", "a": "assistant"}
 _BEFORE = {q: [(p, x) for (p, x), to in NEXT.items() if to == q] for q in range(4)}
 
 FAULTS = ("none", "blank", "duplicate", "truncated")
-EDITS = "conv_id {id}, gaps long, blank long, duplicate long, truncated long, illegal long, cost long, audit string"
+#: Neighbours that may stand together.
+LEGAL = ("su", "ua", "au")
 
 
 def _agenda(turns: list[tuple[str, int]], ends: list[int | None], last: bool, goals: set[int]) -> tuple[list[int | None], bytearray]:
@@ -85,23 +87,64 @@ def _agenda(turns: list[tuple[str, int]], ends: list[int | None], last: bool, go
     return [costs.get((0, q)) for q in range(4)], edits
 
 
+def _audit(roles: str, edits: bytearray, state: int, last: bool) -> str:
+    """The edits from the item (before the first turn, ``state``) on, as its derivation has them."""
+    audit, i, n = [], 0, len(roles)
+    while i < n or last and edits[4 * i + state]:
+        edit = chr(edits[4 * i + state])
+        audit.append(edit)
+        if edit != "D":
+            state = NEXT[state, roles[i] if edit == "K" else FOLLOWS[state]]
+        i += edit != "I"
+    return "".join(audit)
+
+
+def _block(roles: str, faults: bytes, first: bool, last: bool) -> tuple[list[int | None], list[str | None]]:
+    """Cost and audit from each state before a block of turns (places ``4 * before + after``) to each state after it.
+
+    A last block ends with the conversation, so it has one end only, at place ``4 * before``. A first block has only
+    the state START before it. Turns are inserted before a turn of the block or at the very end, so that audits to
+    different ends differ before either is over.
+    """
+    costs, audits = [None] * 16, [None] * 16
+    for after in range(1 if last else 4):
+        ends = [0, None, None, 0] if last else [0 if q == after else None for q in range(4)]
+        found, edits = _agenda(list(zip(roles, faults)), ends, last, {START} if first else {0, 1, 2, 3})
+        for before, cost in enumerate(found):
+            if cost is not None and not (first and before):
+                costs[4 * before + after], audits[4 * before + after] = cost, _audit(roles, edits, before, last)
+    return costs, audits
+
+
+def _path(costs: list[list[int | None]], ranks: list[list[int]]) -> tuple[int, list[int]]:
+    """Cost of a whole conversation and the place that each of its blocks takes, from the costs and audit ranks of the blocks."""
+    best, steps = [costs[-1][4 * p] for p in range(4)], []
+    for cost, rank in zip(reversed(costs[:-1]), reversed(ranks[:-1])):
+        step = []
+        for p in range(4):
+            ways = [(cost[4 * p + q] + best[q], rank[4 * p + q], q) for q in range(4) if cost[4 * p + q] is not None and best[q] is not None]
+            step.append(min(ways, default=(None, 0, 0)))
+        best = [s[0] for s in step]
+        steps.append([s[2] for s in step])
+    at, places = START, []
+    for step in reversed(steps):
+        places.append(4 * at + step[at])
+        at = step[at]
+    return best[START], [*places, 4 * at]
+
+
+def _ranks(audits: list[str | None]) -> list[int]:
+    order = {a: i for i, a in enumerate(sorted({a for a in audits if a is not None}))}
+    return [order.get(a, 0) for a in audits]
+
+
 def lightest(roles: str, faults: bytes, block: int = BLOCK) -> tuple[int, str]:
     """Cost and audit of the cheapest repair of turns, given as role initials and places in ``FAULTS``."""
-    ends: list[int | None] = [0, None, None, 0]
-    n, parts = len(roles), []
-    for start in range((n - 1) // block * block if n else 0, -1, -block):
-        turns = list(zip(roles[start : start + block], faults[start : start + block]))
-        ends, edits = _agenda(turns, ends, start + block >= n, {START} if not start else {0, 1, 2, 3})
-        parts.append((start, len(turns), edits))
-    audit, q = [], START
-    for start, size, edits in reversed(parts):
-        i = 0
-        while i < size or start + size == n and edits[4 * i + q]:
-            edit = chr(edits[4 * i + q])
-            audit.append(edit)
-            q = NEXT[q, roles[start + i] if edit == "K" else FOLLOWS[q]] if edit != "D" else q
-            i += edit != "I"
-    return ends[START], "".join(audit)
+    n, found = len(roles), []
+    for start in range(0, n or 1, block):
+        found.append(_block(roles[start : start + block], faults[start : start + block], not start, start + block >= n))
+    cost, places = _path([c for c, _ in found], [_ranks(a) for _, a in found])
+    return cost, "".join(audits[place] for (_, audits), place in zip(found, places))
 
 
 def _marked(turns: DataFrame) -> DataFrame:
@@ -114,7 +157,54 @@ def _trimmed(text: Column) -> Column:
     return F.rtrim(text, F.lit(BLANKS))
 
 
-def edits(turns: DataFrame) -> DataFrame:
+def _costed(blocks: DataFrame) -> DataFrame:
+    """The blocks with what each can do: costs, audits and their ranks by place, and its neighbours that are illegal."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for name, block, blocks, initials, faults in zip(*(c.to_pylist() for c in batch.columns)):
+                roles = "".join(x if x in ("s", "u", "a") else "-" for x in initials)
+                costs, audits = _block(roles, bytes(faults), not block, block == blocks - 1)
+                wrong = sum(x + y not in LEGAL for x, y in zip(initials, initials[1:]))
+                out.append((name, block, blocks, costs, _ranks(audits), audits, initials[0], initials[-1], wrong))
+            kinds = [batch.schema.field(0).type, pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string()), pa.string(), pa.string(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], names)
+
+    kind = dict(blocks.dtypes)["grp"]
+    schema = f"grp {kind}, block long, blocks long, costs array<long>, ranks array<long>, audits array<string>, head string, tail string, wrong long"
+    names = [part.split()[0] for part in schema.split(", ")]
+    return blocks.mapInArrow(run, schema)
+
+
+def _joined(blocks: DataFrame) -> DataFrame:
+    """grp, cost, audit and illegal of each conversation from its blocks; a block sends on a few numbers, and audits are put together last."""
+    one = blocks.filter("blocks = 1")
+    one = one.select("grp", F.col("costs")[0].alias("cost"), F.col("audits")[0].alias("audit"), F.col("wrong").alias("illegal"))
+    more = blocks.filter("blocks > 1")
+    kind = dict(blocks.dtypes)["grp"]
+    lines = more.groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("block", "costs", "ranks", "head", "tail", "wrong"))).alias("line"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for name, line in zip(*(c.to_pylist() for c in batch.columns)):
+                cost, places = _path([x["costs"] for x in line], [x["ranks"] for x in line])
+                between = sum(x["tail"] + y["head"] not in LEGAL for x, y in zip(line, line[1:]))
+                out.append((name, cost, places, between + sum(x["wrong"] for x in line)))
+            kinds = [batch.schema.field(0).type, pa.int64(), pa.list_(pa.int64()), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(kinds)], ["grp", "cost", "places", "illegal"])
+
+    ways = lines.mapInArrow(run, f"grp {kind}, cost long, places array<long>, illegal long")
+    ways = ways.select(F.col("grp").alias("g"), "cost", "illegal", F.posexplode("places").alias("b", "place"))
+    pieces = more.join(ways, F.col("grp").eqNullSafe(F.col("g")) & (F.col("block") == F.col("b")))
+    pieces = pieces.select("grp", "block", "cost", "illegal", F.col("audits")[F.col("place")].alias("piece"))
+    audit = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("block", "piece"))), lambda x: x["piece"]), "")
+    long = pieces.groupBy("grp").agg(F.first("cost").alias("cost"), audit.alias("audit"), F.first("illegal").alias("illegal"))
+    return one.unionByName(long)
+
+
+def edits(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     """conv_id, gaps, blank, duplicate, truncated, illegal, cost and audit of each conversation in ``turns``.
 
     Takes conv_id, turn, role and text and ignores other columns. Turns are ordered by turn, nulls first;
@@ -125,57 +215,24 @@ def edits(turns: DataFrame) -> DataFrame:
     or Rerole. Turns without a conversation make one of their own; no turns give no rows.
     """
     short_batches(turns.sparkSession)
-    kind = dict(turns.dtypes)["conv_id"]
     rows = _marked(turns)
     end = F.right(_trimmed(F.col("text")), F.lit(1))
     rows = rows.select("conv_id", "turn", "role", "first", "print", (end == "").alias("blank"), (~end.isin(".", "!", "?")).alias("cut"))
     # Equal turns are numbered without being held; the first of them is no duplicate.
     again = F.row_number().over(Window.partitionBy("conv_id", "role", "print").orderBy("turn")) > 1
-    fault = F.when(F.col("blank"), 1).when(again, 2).when(F.col("cut"), 3).otherwise(0)
-    rows = rows.withColumn("fault", fault).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "print", "fault")
-    rows = rows.select("conv_id", F.col("turn").cast("long").alias("turn"), "first", "fault")
-
-    class Conversation:
-        def __init__(self, name):
-            self.name, self.roles, self.faults = name, [], bytearray()
-            self.least = self.most = None
-            self.turns = self.illegal = 0
-
-        def add(self, turn, first, fault):
-            if turn is not None and turn != self.most:
-                self.least = turn if self.least is None else self.least
-                self.most, self.turns = turn, self.turns + 1
-            if self.faults and self.roles[-1] + first not in ("su", "ua", "au"):
-                self.illegal += 1
-            self.roles.append(first if first in ("s", "u", "a") else "-")
-            self.faults.append(fault)
-            self.last = first
-
-        def row(self):
-            gaps = 0 if self.least is None else self.most - self.least + 1 - self.turns
-            cost, audit = lightest("".join(self.roles), bytes(self.faults))
-            return (self.name, gaps, *(self.faults.count(k) for k in (1, 2, 3)), self.illegal, cost, audit)
+    fault = F.when(F.col("blank"), 1).when(F.col("again"), 2).when(F.col("cut"), 3).otherwise(0)
+    rows = rows.withColumn("again", again).select(F.col("conv_id").alias("grp"), F.col("turn").cast("long").alias("turn"), "role", "print", "again", "first", fault.alias("fault"))
+    placed = positions(rows, ["turn", "role", "print", "again"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, out, types = None, [], None
-        for batch in batches:
-            types = [batch.schema.field(0).type, *[pa.int64()] * 6, pa.string()]
-            for name, *turn in zip(*(c.to_pylist() for c in batch.columns)):
-                if now is None or now.name != name:
-                    if now:
-                        out.append(now.row())
-                    now = Conversation(name)
-                now.add(*turn)
-            if len(out) > 1000:
-                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), types)], names)
-                out = []
-        if now:
-            out.append(now.row())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(zip(*out), types)], names)
-
-    schema = EDITS.format(id=kind)
-    names = [part.split()[0] for part in schema.split(", ")]
-    return rows.mapInArrow(run, schema)
+    by_turn = placed.groupBy("grp", "turn").agg(*(F.count(F.when(F.col("fault") == k, 1)).alias(name) for k, name in enumerate(FAULTS) if k))
+    gaps = F.coalesce(F.max("turn") - F.min("turn") + 1 - F.count("turn"), F.lit(0))
+    counts = by_turn.groupBy("grp").agg(gaps.alias("gaps"), *(F.sum(name).alias(name) for name in FAULTS[1:]))
+
+    in_order = F.sort_array(F.collect_list(F.struct("pos", "first", "fault")))
+    blocks = placed.groupBy("grp", F.expr(f"pos div {block}").alias("block"), F.expr(f"(total - 1) div {block} + 1").alias("blocks")).agg(in_order.alias("x"))
+    blocks = stage(_costed(blocks.select("grp", "block", "blocks", "x.first", "x.fault")), "blocks")
+    found = _joined(blocks).withColumnRenamed("grp", "g")
+    return counts.join(found, F.col("grp").eqNullSafe(F.col("g"))).select(F.col("grp").alias("conv_id"), "gaps", *FAULTS[1:], "illegal", "cost", "audit")
 
 
 def repaired(turns: DataFrame, found: DataFrame) -> DataFrame:
@@ -230,7 +287,7 @@ def text_digests(rows: DataFrame) -> DataFrame:
                     if digest:
                         done.append((name, digest.hexdigest()))
                     name, digest = conv, hashlib.sha256()
-                digest.update(("\n" if place else "") .encode() + f"{role}:{text}".encode())
+                digest.update(f"{chr(10) if place else ''}{role}:{text}".encode())
             if done:
                 yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], kind), pa.array([d[1] for d in done])], ["conv_id", "digest"])
                 done = []
