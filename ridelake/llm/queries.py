@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ridelake.llm import bpe, contamination, embeddings, lines, merkle, quality, repair, secrets, simhash, suffixes, toxicity, warc
+from ridelake.llm import bpe, contamination, embeddings, lines, merkle, quality, repair, secrets, simhash, substrings, suffixes, toxicity, warc
 from ridelake.llm.common import stage, table
 
 
@@ -84,6 +84,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = substrings.dedup(table(spark, sf_dir, "documents"))
+    return rows.select("doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Proofs of all documents, and whether they hold for a copy in which some documents were tampered with."""
     docs = table(spark, sf_dir, "documents")
@@ -109,6 +114,7 @@ QUERIES = {
     "op9_warc_round_trip": op9_warc_round_trip,
     "op10_simhash_near_dedup": op10_simhash_near_dedup,
     "op11_conversation_repair": op11_conversation_repair,
+    "op12_substring_dedup": op12_substring_dedup,
     "op13_merkle_manifest": op13_merkle_manifest,
 }
 
@@ -128,6 +134,23 @@ _CRC_TABLE = """
 _BLANK = "[\\x20\\x09-\\x0D]"
 
 SQL = {
+    "op12_substring_dedup": f"""
+        WITH d AS (
+            SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '{_BLANK}+'), lambda x: x <> '') AS w FROM documents
+        ), p AS (
+            SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d
+        ), s AS (
+            SELECT doc_id, i, w[i] AS word, CASE WHEN i + 19 <= len(w) THEN md5(array_to_string(w[i:i + 19], ' ')) END AS wind FROM p
+        ), l AS (
+            SELECT *, wind IS NOT NULL AND row_number() OVER (PARTITION BY wind ORDER BY doc_id, i) > 1 AS later FROM s
+        ), c AS (
+            SELECT doc_id, i, word, bool_or(later) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 19 PRECEDING AND CURRENT ROW) AS gone FROM l
+        ), k AS (
+            SELECT doc_id, count(*) FILTER (gone) AS n_removed, string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM c GROUP BY doc_id
+        )
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+        FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+    """,
     "op11_conversation_repair": f"""
         WITH RECURSIVE t AS ({_CRC_TABLE}), k AS (
             SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
