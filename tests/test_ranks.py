@@ -1,6 +1,7 @@
 """Quantiles and first-n against brute force."""
 
 import datetime as dt
+import math
 import random
 
 import numpy as np
@@ -25,16 +26,18 @@ def samples():
     }
 
 
-@pytest.mark.parametrize("levels", [0, 1, 2])
-@pytest.mark.parametrize("buckets", [4, 65_536])
-def test_quantiles_are_exact(spark, monkeypatch, levels, buckets):
+@pytest.mark.parametrize(("buckets", "bounded"), [(65_536, 1_000_000), (65_536, 20), (65_536, 0), (16, 100), (16, 0)])
+@pytest.mark.parametrize("broadcast", [0, 100_000])
+def test_quantiles_are_exact(spark, monkeypatch, buckets, bounded, broadcast):
     monkeypatch.setattr(quantiles, "BUCKETS", buckets)
+    monkeypatch.setattr(quantiles, "BOUNDED", bounded)
+    monkeypatch.setattr(quantiles, "BROADCAST_RANGES", broadcast)
     rows = [(g, v) for g, values in samples().items() for v in values]
     rows += [("uniform", None), ("uniform", float("nan")), ("nothing", None)]
     random.seed(1)
     random.shuffle(rows)
     df = spark.createDataFrame(rows, "g string, x double").repartition(4)
-    got = {r.g: r for r in quantiles.quantiles_by(df, "g", "x", PROBS, levels).collect()}
+    got = {r.g: r for r in quantiles.quantiles_by(df, "g", "x", PROBS).collect()}
     assert set(got) == set(samples())
     for g, values in samples().items():
         for name, p in PROBS.items():
@@ -43,6 +46,25 @@ def test_quantiles_are_exact(spark, monkeypatch, levels, buckets):
             assert got[g][name] == pytest.approx(np.quantile(values, p), rel=1e-12), (g, name)
 
 
+def test_ordinals_keep_the_order(spark):
+    edge = [math.ldexp(1.0, e) for e in range(-1074, 1024)]
+    near = [math.nextafter(x, way) for x in edge for way in (0.0, math.inf)]
+    values = sorted({v * s for v in [*edge, *near, 0.0, math.inf, 1.7976931348623157e308] for s in (1, -1)})
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, x double")
+    got = [r[0] for r in rows.orderBy("i").select(quantiles.ordinal(F.col("x"))).collect()]
+    assert got == sorted(got) and got[0] == -got[-1] and len(set(got)) > len(edge) * 2
+
+
+def test_far_values_leave_a_bounded_range(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "BOUNDED", 50)
+    rows = spark.range(20_000).select(F.lit("g").alias("grp"), (F.col("id") * 0.37 + 1e4).alias("x"))
+    far = spark.createDataFrame([("g", 1e15), ("g", -1e300), ("g", math.inf)], "grp string, x double")
+    found = quantiles.ranges(rows.unionByName(far), {"mid": 0.5, "top": 0.999}).collect()
+    assert len(found) == 3 and max(r.n for r in found) <= 50
+    mid = next(r for r in found if r.rank == 10_001)
+    assert mid.lo <= 1e4 + 10_000 * 0.37 <= mid.hi and mid.below <= 10_001 < mid.below + mid.n
+
+
 def test_median_order_and_null_group(spark):
     df = spark.createDataFrame([("b", 1.0), ("b", 3.0), ("a", 9.0), (None, 1.0)], "g string, x double")
     assert [tuple(r) for r in quantiles.median_by(df, "g", "x").collect()] == [("b", 2.0), ("a", 9.0)]
