@@ -22,20 +22,23 @@ _FROM_START = (Window.unboundedPreceding, Window.currentRow)
 def _running_total(points: DataFrame, label: str, ts: str, delta: str, out: str) -> DataFrame:
     """Running total of ``delta`` per label in time order, equal times included.
 
-    Every minute of a label is summed by itself, after one extra row that
-    carries the total of the minutes before it and sorts first, having no
-    time. No task sees a whole label. The extra rows are part of the result.
+    Prefix sums on two levels: the minutes of a label are summed up, then the
+    seconds of a minute. Every second of a label is summed by itself, after one
+    extra row that carries the total of what lies before it and sorts first,
+    having no time. No task sees a whole label or a whole minute of one. The
+    extra rows are part of the result.
     """
-    points = points.withColumn("minute", minute_index(F.col(ts)))
-    minutes = Window.partitionBy(label).orderBy("minute").rowsBetween(*_FROM_START)
-    carried = (
-        points.groupBy(label, "minute")
-        .agg(F.sum(delta).alias("sum"))
-        .select(label, "minute", (F.sum("sum").over(minutes) - F.col("sum")).alias(delta))
-    )
-    inside = Window.partitionBy(label, "minute").orderBy(ts).rangeBetween(*_FROM_START)
+    points = points.withColumn("second", minute_index(F.col(ts)) * F.lit(60) + F.second(ts))
+    seconds = points.groupBy(label, "second").agg(F.sum(delta).alias("sum")).withColumn("minute", F.floor(F.col("second") / F.lit(60)))
+    minutes = seconds.groupBy(label, "minute").agg(F.sum("sum").alias("minute_sum"))
+    until = F.sum("minute_sum").over(Window.partitionBy(label).orderBy("minute").rowsBetween(*_FROM_START))
+    minutes = minutes.select(label, "minute", (until - F.col("minute_sum")).alias("minutes_before"))
+    in_minute = Window.partitionBy(label, "minute").orderBy("second").rowsBetween(*_FROM_START)
+    before = F.col("minutes_before") + F.sum("sum").over(in_minute) - F.col("sum")
+    carried = seconds.join(minutes, [label, "minute"]).select(label, "second", before.alias(delta))
+    inside = Window.partitionBy(label, "second").orderBy(ts).rangeBetween(*_FROM_START)
     rows = points.unionByName(carried, allowMissingColumns=True)
-    return rows.withColumn(out, F.sum(delta).over(inside)).drop("minute")
+    return rows.withColumn(out, F.sum(delta).over(inside)).drop("second")
 
 
 def increase(df: DataFrame, window: dt.timedelta, ts: str = "ts", label: str = "label") -> DataFrame:
@@ -43,7 +46,7 @@ def increase(df: DataFrame, window: dt.timedelta, ts: str = "ts", label: str = "
 
     An event counts from its own time until the window has passed: +1 then and
     -1 afterwards, so the figure is a running total of changes. Events at the
-    same instant are counted first, which bounds a minute of one label by the
+    same instant are counted first, which bounds a second of one label by the
     clock's resolution however many events it has.
     """
     known = df.filter(F.col(label).isNotNull() & F.col(ts).isNotNull())

@@ -1,6 +1,8 @@
 """A third of all rows on one key, label, instant or value: whole results and no oversized task."""
 
+import bisect
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -54,6 +56,22 @@ def test_hot_instant(rows):
     assert "skew" in final_plan(df)
 
 
+def test_hot_minute_is_dealt_out(split):
+    # A third of the events stand in one minute of one label, at instants of their own.
+    second = F.when(F.col("id") % 3 == 0, (F.col("id") % 60_000) / 1000).otherwise(F.col("id") * 7)
+    ts = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz") + F.make_dt_interval(secs=second.cast("decimal(18,6)"))
+    log = split.range(0, N, 1, 12).select("id", F.lit("a").alias("label"), ts.alias("ts"))
+    df = metrics.increase(log, dt.timedelta(minutes=5))
+    got = {r.id: r.increase for r in df.collect()}
+    times = sorted((r.ts for r in log.collect()))
+    want = {r.id: bisect.bisect_right(times, r.ts) - bisect.bisect_left(times, r.ts - dt.timedelta(minutes=5)) for r in log.collect()}
+    assert got == want
+    # Rows are dealt out by the second; minutes and labels are summed up from sums.
+    points = metrics._running_total(log.withColumns({"d": F.lit(1), "label": F.col("id").cast("string")}), "label", "ts", "d", "sum")
+    found = re.findall(r"windowspecdefinition\(label#\d+, (\w+)#\d+L?(?:, | ASC)", points._jdf.queryExecution().optimizedPlan().toString())
+    assert found == ["second", "minute", "minute"]
+
+
 def test_hot_key(rows):
     first = merge.first_per_key(rows, ["key"], ["id"])
     assert first.count() == N - N // 3 + 1
