@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+# The radius that distances use, and the names of places without a zone.
 EARTH_RADIUS_KM = 6371.0
 NO_COORDINATES = "Unknown"
 NO_ZONE = "Lainnya"
