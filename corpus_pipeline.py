@@ -6,7 +6,7 @@ import public_tokenizers
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ridelake.llm import bpe, contamination, lines, quality, shingles
+from ridelake.llm import bpe, contamination, lines, quality, simhash
 from ridelake.llm.common import new_folder, table
 from ridelake.llm.queries import VOCABULARY
 
@@ -22,8 +22,8 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that similarities of 0.8 or more between sets of five-word shingles link."""
-    return shingles.one_of_each(docs)
+    """One document of each group that fingerprints of three-word shingles link at two bits or less."""
+    return simhash.one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
