@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Mapping, Sequence
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ridelake.functions.fares import from_label, round_to
@@ -38,19 +39,38 @@ def train(
     ).fit(df.select("features", "label"))
 
 
-def regression_metrics(df: DataFrame, predicted: str = "predicted_fare", actual: str = "actual_fare") -> DataFrame:
+def save(features: PipelineModel, model: GBTRegressionModel, path: str) -> None:
+    """Write both artifacts of a training run below ``path``, in place of an earlier try of the same run."""
+    features.write().overwrite().save(f"{path}/features")
+    model.write().overwrite().save(f"{path}/model")
+
+
+def load(path: str) -> tuple[PipelineModel, GBTRegressionModel]:
+    return PipelineModel.load(f"{path}/features"), GBTRegressionModel.load(f"{path}/model")
+
+
+def regression_metrics(
+    df: DataFrame,
+    predicted: str = "predicted_fare",
+    actual: str = "actual_fare",
+    by: Mapping[str, Column] | None = None,
+    also: Sequence[Column] = (),
+) -> DataFrame:
     """n, rmse, mae and r2 in one pass; r2 is 0 when the actual values do not vary.
 
-    An empty table yields n = 0 and null errors.
+    An empty table yields n = 0 and null errors. With ``by`` there is a row for
+    each group; ``also`` are further aggregates.
     """
     gap = F.col(predicted) - F.col(actual)
     n = F.count(F.lit(1))
     total = F.nullif(F.var_pop(actual) * n, F.lit(0.0))
-    return df.filter(F.col(actual).isNotNull()).agg(
+    rows = df.filter(F.col(actual).isNotNull()).groupBy(*[c.alias(name) for name, c in (by or {}).items()])
+    return rows.agg(
         n.alias("n"),
         F.sqrt(F.avg(F.pow(gap, F.lit(2.0)))).alias("rmse"),
         F.avg(F.abs(gap)).alias("mae"),
         F.coalesce(F.lit(1.0) - F.sum(F.pow(gap, F.lit(2.0))) / total, F.lit(0.0)).alias("r2"),
+        *also,
     )
 
 

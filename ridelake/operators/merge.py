@@ -50,6 +50,7 @@ def new_rows(
     keys: Sequence[str],
     order: Sequence[str] = (),
     broadcast_keys: bool = False,
+    buckets: int | None = None,
 ) -> DataFrame:
     """Rows of ``batch``, one per key, whose key ``target`` does not hold.
 
@@ -57,13 +58,20 @@ def new_rows(
     broadcast the batch's keys, so a small batch never shuffles a large target;
     an anti join alone could only broadcast the target. Spark decides by the
     size it estimates; ``broadcast_keys`` is for callers that counted the batch.
+    ``buckets`` is for a target stored in so many buckets of its key: one row per
+    key of the batch is dealt out alike, and the target is joined as it lies.
     """
     keys = list(keys)
-    mentioned = batch.filter(_keys_present(keys)).select(*keys).distinct()
+    chosen = first_per_key(batch, keys, order)
+    if buckets is None:
+        mentioned = batch.filter(_keys_present(keys)).select(*keys).distinct()
+    else:
+        chosen = chosen.repartition(buckets, *keys)
+        mentioned = chosen.select(*keys)
     if broadcast_keys:
         mentioned = F.broadcast(mentioned)
     held = target.select(*keys).join(mentioned, keys, "left_semi")
-    return first_per_key(batch, keys, order).join(held, keys, "left_anti").select(*batch.columns)
+    return chosen.join(held, keys, "left_anti").select(*batch.columns)
 
 
 def insert_if_absent(

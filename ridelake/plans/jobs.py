@@ -9,7 +9,7 @@ import datetime as dt
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.regression import GBTRegressionModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -22,6 +22,7 @@ from ridelake.operators.slices import align, between_days, request_defaults, tra
 from ridelake.operators.stats import zone_daily_stats
 from ridelake.plans.warehouse import Warehouse
 from ridelake.schemas import (
+    ENRICHED_DAYS,
     ENRICHED_STORED,
     KEYS,
     MODEL_METRICS,
@@ -31,6 +32,7 @@ from ridelake.schemas import (
     TRIP_PREDICTIONS,
     TRIPS_ENRICHED,
     ZONE_DAILY_STATS,
+    ZONE_STORED,
 )
 from ridelake.sources import tables
 
@@ -78,16 +80,33 @@ def daily_etl(
         # An overwrite by partitions leaves those alone that no row belongs to.
         tables.drop(spark, f"{wh.raw_zone}/dt={as_of}")
         tables.drop(spark, f"{wh.zone_daily_stats}/stat_date={as_of}")
-    batch = tables.read_parquet(spark, wh.raw_zone, ENRICHED_STORED).filter(F.col("dt") == F.lit(as_of))
-    inserted = tables.merge_absent(
-        batch, wh.trips_enriched, ENRICHED_STORED, KEYS["trips_enriched"], by=["dt"],
-        among=F.col("dt") == F.lit(as_of) if prune_by_day else None,
-    )
+    batch = tables.read_parquet(spark, wh.raw_zone, ZONE_STORED).filter(F.col("dt") == F.lit(as_of))
+    among = F.col("dt") == F.lit(as_of) if prune_by_day else None
+    inserted = insert_enriched(wh, batch, among)
     stats = align(with_default_time(zone_daily_stats(batch, as_of), "zone_daily_stats", run_ts), ZONE_DAILY_STATS)
-    zones = tables.merge_upsert(stats, wh.zone_daily_stats, ZONE_DAILY_STATS, KEYS["zone_daily_stats"], by="stat_date")
+    # The whole day is replaced, so a zone that a repeated run no longer has leaves no row.
+    zones = tables.overwrite_partitions(stats, wh.zone_daily_stats, "stat_date", few_files=True)
     return {"enriched": written, "inserted": inserted, "zones": zones}
 
 
+def enriched_table(spark: SparkSession, wh: Warehouse) -> DataFrame:
+    """The enriched trips, as they lie in buckets of their key."""
+    return tables.keyed(spark, wh.trips_enriched, ENRICHED_STORED, KEYS["trips_enriched"][0], wh.buckets, ENRICHED_DAYS)
+
+
+def predictions_table(spark: SparkSession, wh: Warehouse) -> DataFrame:
+    """The scored trips, in the same buckets as the enriched ones."""
+    return tables.keyed(spark, wh.predictions, TRIP_PREDICTIONS, KEYS["trip_predictions"][0], wh.buckets)
+
+
+def insert_enriched(wh: Warehouse, batch: DataFrame, among: Column | None = None) -> int:
+    """Insert the trips of ``batch`` that the enriched table lacks; returns their number."""
+    rows = tables.stamped(batch, "processed_at", "processed_day")
+    return tables.merge_absent(
+        rows, wh.trips_enriched, ENRICHED_STORED, KEYS["trips_enriched"], by=ENRICHED_DAYS, among=among, buckets=wh.buckets
+    )
+
+
 def train_fares(
     spark: SparkSession,
     wh: Warehouse,
@@ -97,20 +116,21 @@ def train_fares(
     fit_on: str = "all",
 ) -> str:
     """Train on the last ``days`` days, log the metrics row, register the model; returns its version."""
-    trips = trailing(tables.read_parquet(spark, wh.trips_enriched, ENRICHED_STORED), "processed_at", run_ts, days)
-    rows = ft.labelled(training_slice(trips))
+    first_day = (run_ts - dt.timedelta(days=days)).date()
+    stored = enriched_table(spark, wh).filter(F.col("processed_day") >= F.lit(first_day))
+    rows = ft.labelled(training_slice(trailing(stored, "processed_at", run_ts, days)))
     fitted = ft.fit_features(rows, fit_on)
-    version = f"gbt_fare_{run_ts:%Y%m%d}"
+    version, path = f"gbt_fare_{run_ts:%Y%m%d}", wh.run(f"gbt_fare_{run_ts:%Y%m%d}", run_ts)
     # Written out, so that training and evaluation do not derive it again.
-    tables.overwrite(fitted.transform(rows).select("features", "label", "trip_id"), wh.prepared(version))
-    train, test = ft.hash_split(tables.read_parquet(spark, wh.prepared(version)))
-    model = ml.train(train, max_iter)
-    fitted.write().overwrite().save(wh.features(version))
-    model.write().overwrite().save(wh.model(version))
+    tables.overwrite(fitted.transform(rows).select("features", "label", "trip_id"), f"{path}/prepared")
+    train, test = ft.hash_split(tables.read_parquet(spark, f"{path}/prepared"))
+    ml.save(fitted, ml.train(train, max_iter), path)
+    # What is registered is measured as it was saved.
+    _, model = ml.load(path)
     with tables.staged(ml.evaluate(test, model, version, run_ts), "metrics") as metrics:
-        tables.merge_absent(align(metrics, MODEL_METRICS), wh.metrics, MODEL_METRICS, KEYS["model_metrics"])
-        entry = metrics.withColumns({"path": F.lit(wh.model(version)), "created_at": F.col("train_date")})
-        tables.merge_absent(align(entry, MODEL_REGISTRY), wh.registry, MODEL_REGISTRY, ["model_version", "created_at"])
+        tables.replace_rows(align(metrics, MODEL_METRICS), wh.metrics, MODEL_METRICS, KEYS["model_metrics"])
+        entry = metrics.withColumns({"path": F.lit(path), "created_at": F.col("train_date")})
+        tables.replace_rows(align(entry, MODEL_REGISTRY), wh.registry, MODEL_REGISTRY, KEYS["model_registry"])
     return version
 
 
@@ -120,10 +140,7 @@ def load_latest(
     """The newest good model of the registry, or None if there is none."""
     registry = tables.table_or_empty(spark, wh.registry, MODEL_REGISTRY)
     row = ml.latest_model(registry, min_r2).first()
-    if row is None:
-        return None
-    version = row["model_version"]
-    return version, PipelineModel.load(wh.features(version)), GBTRegressionModel.load(wh.model(version))
+    return None if row is None else (row["model_version"], *ml.load(row["path"]))
 
 
 def _need_model(
@@ -144,23 +161,22 @@ def score_batch(
     a cap they do not fill every batch.
     """
     _, features, model = _need_model(spark, wh, min_r2)
-    trips = tables.read_parquet(spark, wh.trips_enriched, ENRICHED_STORED)
-    done = tables.table_or_empty(spark, wh.predictions, TRIP_PREDICTIONS)
-    tables.overwrite(ft.unscorable(trips).select("trip_id"), wh.unscorable)
-    left = unscored(trips, done, tables.read_parquet(spark, wh.unscorable, UNSCORABLE))
+    known = tables.keyed(spark, wh.unscorable, UNSCORABLE, "trip_id", wh.buckets)
+    left = unscored(enriched_table(spark, wh), predictions_table(spark, wh), known)
+    tables.append_keyed(ft.unscorable(left), wh.unscorable, UNSCORABLE, "trip_id", wh.buckets)
+    left = ft.scorable(left)
     if cap is not None:
         left = first_by_time(left, cap, "request_time", "trip_id")
     rows = with_default_time(ml.score_trips(left, features, model), "trip_predictions", run_ts)
-    # The anti join above left only trips without a prediction, also when a
+    # The anti joins above left only trips without a prediction, also when a
     # broken run is repeated, so an append keeps one row per trip.
-    return tables.append(align(rows, TRIP_PREDICTIONS), wh.predictions)
+    return tables.append_keyed(align(rows, TRIP_PREDICTIONS), wh.predictions, TRIP_PREDICTIONS, "trip_id", wh.buckets)
 
 
 def add_feedback(spark: SparkSession, wh: Warehouse, run_ts: dt.datetime, tol: float = 0.20) -> int:
     """Insert well-predicted trips the enriched table lacks; returns their number."""
-    predictions = tables.read_parquet(spark, wh.predictions, TRIP_PREDICTIONS)
-    rows = ml.feedback_rows(predictions, run_ts, tol).withColumn("dt", F.lit(run_ts.date()))
-    return tables.merge_absent(rows, wh.trips_enriched, ENRICHED_STORED, KEYS["trips_enriched"], by=["dt"])
+    rows = ml.feedback_rows(predictions_table(spark, wh), run_ts, tol).withColumn("dt", F.lit(run_ts.date()))
+    return insert_enriched(wh, rows)
 
 
 def score_requests(

@@ -62,9 +62,17 @@ REQUESTS = (
     "nullif(origin_zone, 'Lainnya') AS origin_zone, nullif(dest_zone, 'Lainnya') AS dest_zone FROM located)"
 )
 VALID = "predicted_fare > 0 AND actual_fare > 0 AND abs(predicted_fare - actual_fare) / actual_fare <= 0.20e0"
+
+
+def _mean(x: str) -> str:
+    """Mean at four digits of values that are not negative, by whole numbers, halves up."""
+    units = f"sum(CAST(round({x} * 1e4) AS HUGEINT))"
+    return f"CAST((2 * {units} + count({x})) // nullif(2 * count({x}), 0) AS DOUBLE) / 1e4"
+
+
 MEASURES = (
-    "count(trip_id) AS trip_count, round(avg(actual_fare) + 1e-9, 4) AS avg_fare, "
-    "round(avg(distance_km) + 1e-9, 4) AS avg_distance_km, round(avg(surge_multiplier) + 1e-9, 4) AS avg_surge, "
+    f"count(trip_id) AS trip_count, {_mean('actual_fare')} AS avg_fare, "
+    f"{_mean('distance_km')} AS avg_distance_km, {_mean('surge_multiplier')} AS avg_surge, "
     "CAST(coalesce(sum(CASE WHEN weather IN ('rain', 'heavy_rain') THEN 1 ELSE 0 END), 0) AS BIGINT) AS rain_trip_count"
 )
 FEEDBACK = (
@@ -145,10 +153,56 @@ ORACLE: dict[str, str] = {
         "SELECT * FROM batch UNION ALL SELECT t.* FROM target t "
         "WHERE NOT EXISTS (SELECT 1 FROM batch b WHERE b.stat_date = t.stat_date AND b.zone = t.zone)",
         "s AS (SELECT CAST(created_at AS DATE) AS stat_date, origin_zone AS zone, count(trip_id) AS trip_count, "
-        "round(avg(actual_fare) + 1e-9, 4) AS avg_fare FROM enriched GROUP BY 1, 2)",
+        f"{_mean('actual_fare')} AS avg_fare FROM enriched GROUP BY 1, 2)",
         "target AS (SELECT stat_date, zone, trip_count - 1 AS trip_count, avg_fare FROM s WHERE stat_date < DATE '2024-01-20')",
         "batch AS (SELECT * FROM s WHERE stat_date >= DATE '2024-01-15')",
     ),
+    "keyed_table_merge": _on(
+        "enriched",
+        "SELECT trip_id, CASE WHEN created_at < TIMESTAMP '2024-01-16 00:00:00' THEN actual_fare ELSE actual_fare + 500e0 END "
+        "AS actual_fare FROM enriched",
+    ),
+    "daily_load": _on(
+        "enriched",
+        "SELECT CAST(created_at AS DATE) AS stat_date, origin_zone AS zone, count(trip_id) AS trip_count, "
+        f"{_mean('actual_fare')} AS avg_fare, count(*) AS stored, CAST(0 AS BIGINT) AS misplaced, CAST(0 AS BIGINT) AS inserted_again "
+        "FROM raw_fares WHERE created_at >= TIMESTAMP '2024-01-15 00:00:00' AND created_at < TIMESTAMP '2024-01-17 00:00:00' GROUP BY 1, 2",
+        "raw_fares AS (SELECT * FROM enriched)",
+    ),
+    "stream_landing": _on(
+        "trips",
+        "SELECT trip_id, CASE WHEN event_id % 3 = 2 THEN 'again-' || driver_id ELSE driver_id END AS driver_id, request_time, "
+        "TIMESTAMP '2024-01-31 00:00:00' AS created_at, weather, CAST(NULL AS VARCHAR) AS error FROM trips WHERE event_id % 29 <> 4 "
+        "UNION ALL SELECT trip_id, NULL, NULL, NULL, NULL, 'weather too long' FROM trips WHERE event_id % 29 = 4",
+    ),
+    "stream_zone_stats": _on("enriched", BY_DAY),
+    "stream_dedupe": _on("trips", "SELECT trip_id, driver_id, request_time FROM trips"),
+    "sql_functions": _on(
+        "trips", f"SELECT trip_id, {HAVERSINE} AS distance_km, {_zone('origin')} AS origin_zone, {_zone('dest')} AS dest_zone FROM trips"
+    ),
+    "train_fare_model": _on(
+        "enriched",
+        "SELECT 'gbt_fare_20240131' AS model_version, TIMESTAMP '2024-01-31 00:00:00' AS train_date, count(*) AS num_samples, "
+        "'GBT Regressor' AS notes, 'gbt_fare_20240131' AS registered, 100 AS trees, 12 AS inputs, 3 AS feature_stages, "
+        f"true AS errors_in_order, true AS fits FROM enriched WHERE actual_fare > 0 AND {HASH} % 100 >= 80",
+    ),
+    "score_unscored": _on(
+        "predictions",
+        f"SELECT {', '.join('e.' + c.strip() for c in SCORED_COLUMNS.split(','))}, e.actual_fare, true AS plausible FROM enriched e "
+        "WHERE NOT EXISTS (SELECT 1 FROM predictions p WHERE p.trip_id = e.trip_id)",
+    ),
+    "score_requests": _on(
+        "requests",
+        "SELECT trip_id, 'gbt_fare_20240131' AS model_version, distance_km, true AS whole_steps, true AS plausible FROM requests "
+        "WHERE origin_lat IS NOT NULL AND origin_lng IS NOT NULL AND dest_lat IS NOT NULL AND dest_lng IS NOT NULL "
+        "AND distance_km IS NOT NULL AND vehicle_type IS NOT NULL AND hour_of_day IS NOT NULL AND day_of_week BETWEEN 1 AND 7",
+    ),
+    "category_index_many": _on(
+        "trips",
+        "SELECT trip_id, t.driver_id, coalesce(idx, (SELECT count(*) FROM ranks)) AS idx FROM trips t LEFT JOIN ranks r ON t.driver_id = r.driver_id",
+        "ranks AS (SELECT driver_id, row_number() OVER (ORDER BY count(*) DESC, driver_id) - 1 AS idx FROM trips "
+        "WHERE trip_id LIKE '%0' GROUP BY driver_id)",
+    ),
     "check_unique_key": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
     "project_training_slice": _on(
         "enriched",

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
+import hashlib
 from collections.abc import Callable
 
 from pyspark.ml import PipelineModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressionModel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import LongType, StructField, StructType
 
 from ridelake.functions import fares, geo, times
@@ -19,11 +22,16 @@ from ridelake.operators import analytics, enrich, grids, merge, metrics, quantil
 from ridelake.operators.audit import row_count
 from ridelake.operators.firstn import first_by_time, hash_sample
 from ridelake.operators.zones import assign_zone, zone_table
-from ridelake.schemas import EVENTS, MODEL_REGISTRY, TRIPS_ENRICHED
+from ridelake.plans import jobs
+from ridelake.plans.warehouse import Warehouse
+from ridelake.schemas import (
+    EVENTS, MODEL_METRICS, MODEL_REGISTRY, RAW_STORED, RAW_TRIPS, TRIP_EVENT, TRIPS_ENRICHED, ZONE_DAILY_STATS,
+)
 from ridelake.session import shared_dir, tune
 from ridelake.sources import tables
 from ridelake.sources import trips as src
-from ridelake.streaming.events import decode
+from ridelake.streaming.events import decode, dedupe, parse_events, read_lines
+from ridelake.streaming.ingest import ingest, keep_zone_stats
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -31,6 +39,7 @@ REGISTRY: dict[str, Query] = {}
 RUN_TS = dt.datetime(2024, 1, 31)
 CAP = 1_000
 TRAIN_ITERATIONS = 100
+LAST_EVENTS = dt.datetime(2024, 1, 30, 12)
 
 
 def query(fn: Query) -> Query:
@@ -42,16 +51,6 @@ def _rounded(df: DataFrame, digits: int, *names: str) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), digits) for c in names})
 
 
-def _averages(df: DataFrame, *names: str) -> DataFrame:
-    """Averages at 4 digits. Distances and fares have few digits, so halves are
-    common; the hair added makes a half round the same way in every engine.
-    """
-    return df.withColumns({c: F.round(F.col(c) + F.lit(1e-9), 4) for c in names})
-
-
-_ZONE_AVERAGES = ("avg_fare", "avg_distance_km", "avg_surge")
-
-
 # Sources and sinks
 
 
@@ -102,10 +101,38 @@ def merge_insert_if_absent(spark, sf):
 
 
 @query
-def merge_upsert(spark, sf):
-    by_day = _averages(stats.zone_stats_by_day(src.enriched(spark, sf)), "avg_fare").select(
-        "stat_date", "zone", "trip_count", "avg_fare"
+def keyed_table_merge(spark, sf):
+    """The merge of ``merge_insert_if_absent`` on stored tables: the target lies in buckets of its key."""
+    path = tables.run_path(shared_dir(spark), "keyed")
+    trips = tables.stamped(src.enriched(spark, sf).select("trip_id", "actual_fare", "created_at"), "created_at")
+    first, later = (times.zone_free(dt.datetime(2024, 1, d)) for d in (16, 11))
+    schema = StructType([trips.schema[c] for c in ("trip_id", "actual_fare", "dt")])
+    tables.merge_absent(trips.filter(F.col("created_at") < first), path, schema, ["trip_id"], by=["dt"], buckets=8)
+    again = trips.filter(F.col("created_at") >= later).withColumn("actual_fare", F.col("actual_fare") + 500)
+    for _ in range(2):  # The second time nothing is absent.
+        tables.merge_absent(again, path, schema, ["trip_id"], by=["dt"], buckets=8)
+    return tables.keyed(spark, path, schema, "trip_id", 8, ["dt"]).drop("dt")
+
+
+@query
+def daily_load(spark, sf):
+    """Two days' runs of the daily job, one of them twice: enriched trips and statistics as stored."""
+    wh = Warehouse(tables.run_path(shared_dir(spark), "daily"), buckets=8)
+    raw = tables.stamped(slices.align(src.located(spark, sf), RAW_TRIPS), "created_at")
+    tables.overwrite_partitions(raw, wh.raw_trips, "dt")
+    for day in (src.AS_OF, src.AS_OF + dt.timedelta(days=1), src.AS_OF):
+        written = jobs.daily_etl(spark, wh, day, RUN_TS)
+    stats_ = tables.read_parquet(spark, wh.zone_daily_stats, ZONE_DAILY_STATS)
+    zones = jobs.enriched_table(spark, wh).groupBy("dt", F.col("origin_zone").alias("zone"), "processed_at").agg(
+        F.count(F.lit(1)).alias("stored"), F.count_if(F.col("request_time").cast("date") != F.col("dt")).alias("misplaced")
     )
+    rows = stats_.join(zones, (F.col("stat_date") == F.col("dt")) & stats_["zone"].eqNullSafe(zones["zone"]) & (F.col("updated_at") == F.col("processed_at")))
+    return rows.select("stat_date", stats_["zone"], "trip_count", "avg_fare", "stored", "misplaced", F.lit(written["inserted"]).cast("bigint").alias("inserted_again"))
+
+
+@query
+def merge_upsert(spark, sf):
+    by_day = stats.zone_stats_by_day(src.enriched(spark, sf)).select("stat_date", "zone", "trip_count", "avg_fare")
     target = by_day.filter(F.col("stat_date") < dt.date(2024, 1, 20)).withColumn("trip_count", F.col("trip_count") - 1)
     return merge.upsert(target, by_day.filter(F.col("stat_date") >= dt.date(2024, 1, 15)), ["stat_date", "zone"])
 
@@ -223,12 +250,12 @@ def zone_assign_range_join(spark, sf):
 
 @query
 def zone_daily_stats(spark, sf):
-    return _averages(stats.zone_daily_stats(src.enriched(spark, sf), src.AS_OF), *_ZONE_AVERAGES)
+    return stats.zone_daily_stats(src.enriched(spark, sf), src.AS_OF)
 
 
 @query
 def zone_stats_windowed(spark, sf):
-    return _averages(stats.zone_stats_by_day(src.enriched(spark, sf)), *_ZONE_AVERAGES)
+    return stats.zone_stats_by_day(src.enriched(spark, sf))
 
 
 @query
@@ -346,6 +373,16 @@ def model_version_label(spark, sf):
     return src.trips(spark, sf).groupBy(version.alias("model_version")).agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def sql_functions(spark, sf):
+    geo.register_sql_functions(spark)
+    return spark.sql(
+        "SELECT trip_id, haversine_km(origin_lat, origin_lng, dest_lat, dest_lng) AS distance_km, "
+        "zone_of(origin_lat, origin_lng) AS origin_zone, zone_of(dest_lat, dest_lng) AS dest_zone FROM {trips}",
+        trips=src.trips(spark, sf),
+    )
+
+
 # Batch twins of the stream operators
 
 
@@ -358,6 +395,80 @@ def dedupe_events(spark, sf):
     return merge.first_per_key(sent, ["trip_id"], ["delivery"])
 
 
+# Streams: events are sent in several deliveries, and every delivery is taken up where the last one ended
+
+
+_JSON = {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+
+
+def _deliver(rows: DataFrame, folder: str) -> None:
+    """Add one delivery of JSON lines to a folder that a stream reads."""
+    rows.select(F.to_json(F.struct(*TRIP_EVENT.fieldNames()), _JSON).alias("value")).write.mode("append").text(folder)
+
+
+def _ended(stream: StreamingQuery) -> None:
+    stream.awaitTermination()
+    if stream.exception() is not None:
+        raise stream.exception()
+
+
+def _sent(spark: SparkSession, sf: str) -> DataFrame:
+    return slices.align(src.trips(spark, sf), StructType([*TRIP_EVENT.fields, StructField("event_id", LongType(), True)]))
+
+
+@query
+def stream_landing(spark, sf):
+    base = tables.run_path(shared_dir(spark), "landing")
+    sent, third = _sent(spark, sf), F.col("event_id") % 3
+    again = F.concat(F.lit("again-"), F.col("driver_id"))
+    long = F.when(F.col("event_id") % 29 == 4, F.lit("x" * 21)).otherwise(F.col("weather"))
+
+    def land(checkpoint: str) -> None:
+        _ended(ingest(read_lines(spark, f"{base}/in"), f"{base}/raw", f"{base}/dead", f"{base}/{checkpoint}", clock=lambda: RUN_TS))
+
+    # The second delivery repeats a third of the first, the last one all, and some events do not fit the table.
+    for rows in (sent.filter(third != 2), sent.filter(third != 0).withColumn("driver_id", again), sent):
+        _deliver(rows.withColumn("weather", long), f"{base}/in")
+        land("checkpoint")
+    land("checkpoint")
+    land("lost")  # Without its checkpoint the stream begins anew and changes nothing that has landed.
+    raw = tables.read_parquet(spark, f"{base}/raw", RAW_STORED)
+    dead = spark.read.schema("value string, error string, batch_id long").parquet(f"{base}/dead")
+    landed = raw.select("trip_id", "driver_id", "request_time", "created_at", "weather", F.lit(None).cast("string").alias("error"))
+    failed = dead.select(F.get_json_object("value", "$.trip_id").alias("trip_id"), "error").distinct()
+    return landed.unionByName(failed, allowMissingColumns=True)
+
+
+@query
+def stream_zone_stats(spark, sf):
+    base = tables.run_path(shared_dir(spark), "live")
+    trips = tables.stamped(slices.align(src.located(spark, sf).withColumn("part", F.col("event_id") % 3), _PARTED), "created_at")
+    for part in range(3):  # Every delivery has trips of all days, so all but the first bring late ones.
+        trips.filter(F.col("part") == part).drop("part").write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(RAW_STORED).parquet(f"{base}/in")
+        _ended(keep_zone_stats(stream, f"{base}/stats", f"{base}/checkpoint", clock=lambda: RUN_TS))
+    return tables.read_parquet(spark, f"{base}/stats", ZONE_DAILY_STATS).select(
+        "stat_date", "zone", "trip_count", "avg_fare", "avg_distance_km", "avg_surge", "rain_trip_count"
+    )
+
+
+_PARTED = StructType([*RAW_TRIPS.fields, StructField("part", LongType(), True)])
+
+
+@query
+def stream_dedupe(spark, sf):
+    base = tables.run_path(shared_dir(spark), "dedupe")
+    sent, held_back = _sent(spark, sf), (F.col("event_id") % 5 == 0) & (F.col("request_time") >= times.zone_free(LAST_EVENTS))
+    again = F.concat(F.lit("again-"), F.col("driver_id"))
+    # Repeats of the last day are known, older ones are late, and what was held back of the last day is new.
+    for rows in (sent.filter(~held_back), sent.withColumn("driver_id", F.when(held_back, F.col("driver_id")).otherwise(again))):
+        _deliver(rows, f"{base}/in")
+        good, _ = parse_events(read_lines(spark, f"{base}/in"))
+        writer = dedupe(good).writeStream.format("parquet").option("checkpointLocation", f"{base}/checkpoint")
+        _ended(writer.trigger(availableNow=True).start(f"{base}/out"))
+    return tables.read_parquet(spark, f"{base}/out", TRIP_EVENT).select("trip_id", "driver_id", "request_time")
+
+
 # Metric series
 
 
@@ -427,6 +538,13 @@ def category_index(spark, sf):
     return indexed.select(F.inline(values)).groupBy("feature", "label", "idx").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query
+def category_index_many(spark, sf):
+    trips = src.trips(spark, sf).select("trip_id", "driver_id")
+    known = trips.filter(F.col("trip_id").like("%0"))
+    return ft.indexed_by_rank(trips, "driver_id", ft.frequency_ranks(known, "driver_id"), "idx")
+
+
 @query
 def assemble_skip_invalid(spark, sf):
     trips = src.located(spark, sf).select("trip_id", *ft.NUMBERS, *ft.CATEGORIES)
@@ -448,39 +566,66 @@ def train_test_split(spark, sf):
     return src.enriched(spark, sf).select("trip_id", side.alias("side"))
 
 
-def _prepared(spark: SparkSession, sf: str) -> tuple[PipelineModel, DataFrame, DataFrame]:
-    rows = ft.labelled(slices.training_slice(src.enriched(spark, sf)))
-    fitted = ft.fit_features(rows)
-    return fitted, *ft.hash_split(fitted.transform(rows).select("features", "label", "trip_id"))
+def _fares(spark: SparkSession, sf: str) -> Warehouse:
+    """A warehouse of the session's own with the trips of ``sf`` in it, in the shared folder."""
+    wh = Warehouse(f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/fares-{hashlib.sha256(sf.encode()).hexdigest()[:16]}")
+    if not jobs.enriched_table(spark, wh).limit(1).count():
+        trips = slices.align(src.enriched(spark, sf).withColumn("processed_at", F.col("created_at")), TRIPS_ENRICHED)
+        jobs.insert_enriched(wh, tables.stamped(trips, "processed_at"))
+    return wh
 
 
-_MODELS: dict[tuple[str, str], tuple[PipelineModel, GBTRegressionModel]] = {}
+def _trained(spark: SparkSession, sf: str) -> tuple[str, PipelineModel, GBTRegressionModel]:
+    """The registered model of the trips of ``sf``, read from its files; trained first if there is none."""
+    wh = _fares(spark, sf)
+    if jobs.load_latest(spark, wh) is None:
+        jobs.train_fares(spark, wh, RUN_TS, max_iter=TRAIN_ITERATIONS)
+    return jobs.load_latest(spark, wh)
 
 
-def _model(spark: SparkSession, sf: str) -> tuple[PipelineModel, GBTRegressionModel]:
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _MODELS:
-        fitted, train, _ = _prepared(spark, sf)
-        _MODELS[key] = fitted, ml.train(train, TRAIN_ITERATIONS)
-    return _MODELS[key]
+def _plausible(fare: str = "predicted_fare") -> Column:
+    """Whether a predicted fare is within a factor of two of the tariff, the rule behind the fares learned from."""
+    return F.col(fare).between(_tariff() / 2, _tariff() * 2)
 
 
 @query
 def train_fare_model(spark, sf):
-    _, train, test = _prepared(spark, sf)
-    return ml.evaluate(test, ml.train(train, TRAIN_ITERATIONS), "gbt_fare_20240131", RUN_TS)
+    wh = _fares(spark, sf)
+    version = jobs.train_fares(spark, wh, RUN_TS, max_iter=TRAIN_ITERATIONS)
+    registered, features, model = jobs.load_latest(spark, wh)
+    logged = tables.read_parquet(spark, wh.metrics, MODEL_METRICS).filter(F.col("model_version") == version)
+    entry = tables.read_parquet(spark, wh.registry, MODEL_REGISTRY).withColumnRenamed("created_at", "train_date")
+    same = [F.col(f"m.{c}") == F.col(f"e.{c}") for c in ("model_version", "train_date", "rmse", "mae", "r2", "num_samples")]
+    both = logged.alias("m").join(entry.alias("e"), functools.reduce(Column.__and__, same))
+    return both.select(
+        "m.model_version", "m.train_date", "m.num_samples", "m.notes",
+        F.lit(registered).alias("registered"), F.lit(model.getNumTrees).alias("trees"),
+        F.lit(model.numFeatures).alias("inputs"), F.lit(len(features.stages)).alias("feature_stages"),
+        ((F.col("m.mae") > 0) & (F.col("m.mae") <= F.col("m.rmse"))).alias("errors_in_order"), (F.col("m.r2") > 0.8).alias("fits"),
+    )
 
 
 @query
 def score_unscored(spark, sf):
     left = merge.unscored(src.enriched(spark, sf), src.predictions(spark, sf))
-    return ml.score_trips(left, *_model(spark, sf))
+    scored = ml.score_trips(left, *_trained(spark, sf)[1:])
+    return scored.withColumn("plausible", _plausible()).drop("predicted_fare")
 
 
 @query
 def score_requests(spark, sf):
     accepted, _ = slices.request_defaults(src.requests(spark, sf))
-    return ml.score_requests(accepted, *_model(spark, sf), "gbt_fare_20240131", "trip_id")
+    version, features, model = _trained(spark, sf)
+    scored = ml.score_requests(accepted, features, model, version, "trip_id")
+    # A fare on its own says little; beside its request it can be judged.
+    asked = accepted.select("trip_id", "vehicle_type", "surge_multiplier", "weather")
+    rows = scored.join(asked, "trip_id").withColumn("fare", F.col("predicted_fare_idr").cast("double"))
+    return rows.select(
+        "trip_id", "model_version", "distance_km",
+        (F.col("predicted_fare_idr") % 500 == 0).alias("whole_steps"),
+        # The model has seen no trip of 0.3 km or less.
+        F.when(F.col("distance_km") > 0.3, _plausible("fare")).otherwise(F.col("fare") > 0).alias("plausible"),
+    )
 
 
 @query
@@ -492,22 +637,8 @@ def feedback_merge(spark, sf):
 
 @query
 def latest_model_version(spark, sf):
-    scored = src.predictions(spark, sf).join(src.trips(spark, sf).select("trip_id", "created_at"), "trip_id")
-    gap = F.col("predicted_fare") - F.col("actual_fare")
-    n = F.count(F.lit(1))
-    registry = (
-        scored.filter(F.col("actual_fare").isNotNull())
-        .groupBy(times.model_version(F.col("created_at")).alias("model_version"))
-        .agg(
-            F.max("created_at").alias("created_at"),
-            F.sqrt(F.avg(F.pow(gap, F.lit(2.0)))).alias("rmse"),
-            F.avg(F.abs(gap)).alias("mae"),
-            F.coalesce(
-                1.0 - F.sum(F.pow(gap, F.lit(2.0))) / F.nullif(F.var_pop("actual_fare") * n, F.lit(0.0)), F.lit(0.0)
-            ).alias("r2"),
-            n.alias("num_samples"),
-        )
-        .withColumn("path", F.concat(F.lit("models/"), F.col("model_version")))
-    )
+    scored = src.predictions(spark, sf, "created_at")
+    logged = ml.regression_metrics(scored, by={"model_version": times.model_version(F.col("created_at"))}, also=[F.max("created_at").alias("created_at")])
+    registry = logged.withColumnsRenamed({"n": "num_samples"}).withColumn("path", F.concat(F.lit("models/"), F.col("model_version")))
     newest = ml.latest_model(slices.align(registry, MODEL_REGISTRY), 0.9)
     return _rounded(_rounded(newest, 4, "rmse", "mae"), 6, "r2")

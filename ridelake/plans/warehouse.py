@@ -2,14 +2,21 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass
 
 
 @dataclass(frozen=True)
 class Warehouse:
-    """All paths below one folder or bucket prefix."""
+    """All paths below one folder or bucket prefix.
+
+    Tables keyed by trip are stored in ``buckets`` of the key, a number that
+    stays the same for the life of the warehouse: enough that a day's bucket is
+    a file of moderate size, and a task holds a bucket.
+    """
 
     base: str
+    buckets: int = 16
 
     def _at(self, name: str) -> str:
         return f"{self.base.rstrip('/')}/{name}"
@@ -46,11 +53,6 @@ class Warehouse:
     def registry(self) -> str:
         return self._at("model_registry")
 
-    def prepared(self, version: str) -> str:
-        return self._at(f"prepared/{version}")
-
-    def model(self, version: str) -> str:
-        return self._at(f"models/{version}/model")
-
-    def features(self, version: str) -> str:
-        return self._at(f"models/{version}/features")
+    def run(self, version: str, run_ts: dt.datetime) -> str:
+        """What one training run keeps: prepared rows, features and model. Runs of one version differ in their time."""
+        return self._at(f"models/{version}/{run_ts:%Y%m%dT%H%M%S%f}")

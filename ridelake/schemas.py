@@ -84,10 +84,13 @@ TRAINING_COLUMNS = [
     "surge_multiplier", "weather", "hour_of_day", "day_of_week", "origin_zone", "dest_zone", "actual_fare",
 ]
 
-# Stored trips carry the day they are partitioned by.
+# Stored trips carry the days they are partitioned by: the one they landed on, and enriched
+# trips first the one they were processed on, which the training window is cut by.
 _DAY = StructField("dt", DateType(), True)
 RAW_STORED = StructType([*RAW_TRIPS.fields, _DAY])
-ENRICHED_STORED = StructType([*TRIPS_ENRICHED.fields, _DAY])
+ZONE_STORED = StructType([*TRIPS_ENRICHED.fields, _DAY])
+ENRICHED_STORED = StructType([*TRIPS_ENRICHED.fields, StructField("processed_day", DateType(), True), _DAY])
+ENRICHED_DAYS = ["processed_day", "dt"]
 
 # Longest text each stored column takes.
 MAX_LENGTH = {
@@ -108,6 +111,7 @@ KEYS = {
     "trip_predictions": ["trip_id"],
     "zone_daily_stats": ["stat_date", "zone"],
     "model_metrics": ["model_version", "train_date"],
+    "model_registry": ["model_version", "created_at"],
 }
 
 # Columns the store fills in when a writer leaves them out.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
@@ -111,6 +112,39 @@ def staged(df: DataFrame, name: str) -> Iterator[DataFrame]:
         drop(spark, path)
 
 
+def _name_of(path: str, buckets: int) -> str:
+    return f"keyed_{hashlib.sha256(path.encode()).hexdigest()[:20]}_{buckets}"
+
+
+def keyed(
+    spark: SparkSession, path: str, schema: StructType, key: str, buckets: int, by: Sequence[str] = ()
+) -> DataFrame:
+    """The table at ``path`` as one stored in ``buckets`` of ``key``, empty if nothing was written yet.
+
+    Joins and merges on the key read it as it lies, without an exchange. Its
+    files say which bucket they are; a session learns of the table when it first
+    names it, so no catalog outlives the session. ``buckets`` is fixed for a path.
+    """
+    name = _name_of(path, buckets)
+    columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    parts = f"PARTITIONED BY ({', '.join(by)}) " if by else ""
+    spark.sql(
+        f"CREATE TABLE IF NOT EXISTS {name} ({columns}) USING parquet {parts}"
+        f"CLUSTERED BY ({key}) SORTED BY ({key}) INTO {buckets} BUCKETS LOCATION '{path}'"
+    )
+    spark.catalog.refreshTable(name)
+    return spark.table(name).select(*schema.fieldNames())
+
+
+def append_keyed(df: DataFrame, path: str, schema: StructType, key: str, buckets: int, by: Sequence[str] = ()) -> int:
+    """Append to the table ``keyed`` names; a bucket's rows are written by one task, in order of the key."""
+    keyed(df.sparkSession, path, schema, key, buckets, by)
+    df, seen = counted(df.select(*schema.fieldNames()).repartition(buckets, key))
+    writer = df.write.mode("append").format("parquet").bucketBy(buckets, key).sortBy(key)
+    (writer.partitionBy(*by) if by else writer).saveAsTable(_name_of(path, buckets))
+    return seen.get["rows"]
+
+
 def merge_absent(
     batch: DataFrame,
     path: str,
@@ -120,21 +154,37 @@ def merge_absent(
     by: Sequence[str] = (),
     among: Column | None = None,
     few_files: bool = False,
+    buckets: int | None = None,
 ) -> int:
     """Append the rows of ``batch`` whose key the table lacks; returns their number.
 
     ``among`` limits where a key is looked for, by a condition on the table's
     partition column; without it the keys of the whole table are compared.
-    Either way the table is read, not shuffled, when a count finds the batch
-    small.
+    The table is read, not shuffled, when a count finds the batch small, or
+    however large the batch is if the table is stored in ``buckets`` of its
+    one key.
     """
     spark = batch.sparkSession
     small = batch.select(*keys).count() <= BROADCAST_KEYS
-    target = table_or_empty(spark, path, schema)
+    if buckets is None:
+        target = table_or_empty(spark, path, schema)
+    else:
+        (key,) = keys
+        target = keyed(spark, path, schema, key, buckets, by)
     if among is not None:
         target = target.filter(among)
-    fresh = new_rows(target, batch, keys, order, broadcast_keys=small).select(*schema.fieldNames())
-    return append(fresh, path, by, few_files)
+    fresh = new_rows(target, batch, keys, order, small, None if small else buckets).select(*schema.fieldNames())
+    if buckets is None:
+        return append(fresh, path, by, few_files)
+    return append_keyed(fresh, path, schema, key, buckets, by)
+
+
+def replace_rows(batch: DataFrame, path: str, schema: StructType, keys: Sequence[str]) -> int:
+    """Upsert into a small table without partitions, such as a log of runs; returns the rows it then has."""
+    batch = batch.select(*schema.fieldNames())
+    target = table_or_empty(batch.sparkSession, path, schema)
+    with staged(upsert(target, batch, keys), "replace") as merged:
+        return overwrite(merged, path)
 
 
 def merge_upsert(
@@ -155,11 +205,3 @@ def merge_upsert(
     touched = target.join(values, by, "left_semi")
     with staged(upsert(touched, batch, keys, order), "upsert") as merged:
         return overwrite_partitions(merged, path, by, few_files=True)
-
-
-def save_bucketed(df: DataFrame, table: str, key: str, buckets: int, path: str | None = None) -> None:
-    """Store a table pre-shuffled by its key, so that merges and anti joins on it need no exchange of it."""
-    writer = df.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
-    if path:
-        writer = writer.option("path", path)
-    writer.saveAsTable(table)

@@ -9,11 +9,11 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ridelake.operators.enrich import enrich_trips
 from ridelake.operators.slices import align, with_default_time
-from ridelake.operators.stats import zone_measures
+from ridelake.operators.stats import add_up, measures, sums_by_day
 from ridelake.schemas import KEYS, RAW_STORED, RAW_TRIPS, ZONE_DAILY_STATS
 from ridelake.sources import tables
 from ridelake.streaming.events import ARRIVAL, decode
@@ -79,23 +79,13 @@ def _since_first_request(trips: DataFrame) -> Column | None:
     return None if known["missing"] or known["first"] is None else F.col("dt") >= F.lit(known["first"])
 
 
-def live_zone_stats(trips: DataFrame, ts: str = "request_time", delay: str = "1 day") -> DataFrame:
-    """Zone statistics per day of a stream of enriched trips.
-
-    Days older than ``delay`` are closed: a later trip no longer changes the
-    live figures. It is landed all the same, and the daily job counts it.
-    """
-    return (
-        trips.withColumn("_event_time", F.col(ts).cast("timestamp"))
-        .withWatermark("_event_time", delay)
-        .groupBy(F.window("_event_time", "1 day").alias("day"), "origin_zone")
-        .agg(*zone_measures())
-        .select(
-            F.col("day.start").cast("date").alias("stat_date"),
-            F.col("origin_zone").alias("zone"),
-            "trip_count", "avg_fare", "avg_distance_km", "avg_surge", "rain_trip_count",
-        )
-    )
+def added(state: DataFrame, delta: DataFrame, batch_id: int) -> DataFrame:
+    """The days of ``delta`` with the sums of one batch added to the rows of ``state`` that have not seen it."""
+    keys = ["stat_date", "zone"]
+    held = state.join(F.broadcast(delta.select("stat_date").distinct()), "stat_date", "left_semi")
+    seen = held.filter(F.col("batch_id") >= batch_id)
+    new = delta.join(seen, keys, "left_anti").withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+    return add_up(held.unionByName(new), keys, F.max("batch_id").alias("batch_id"))
 
 
 def keep_zone_stats(
@@ -103,18 +93,33 @@ def keep_zone_stats(
     table: str,
     checkpoint: str,
     clock: Callable[[], dt.datetime] = _utc_now,
-    delay: str = "1 day",
     available_now: bool = True,
     interval: str = "1 minute",
 ) -> StreamingQuery:
-    """Enrich a stream of raw trips and upsert its zone statistics as they change."""
+    """Enrich a stream of landed trips and keep the zone statistics of their days current.
 
-    def merge(batch: DataFrame, batch_id: int) -> None:
-        rows = align(with_default_time(batch, "zone_daily_stats", clock()), ZONE_DAILY_STATS)
-        tables.merge_upsert(rows, table, ZONE_DAILY_STATS, KEYS["zone_daily_stats"], by="stat_date")
+    A trip counts on the day it landed, ``created_at``, as in the daily job, so
+    both write the same rows. The state is a table of sums beside the
+    checkpoint: a batch adds its sums to the days it has trips of, however
+    long ago those are, and only these days are written. A batch that is run again
+    after a failure finds its number in the rows it has already reached.
+    """
+    state_path = f"{checkpoint.rstrip('/')}/zone_sums"
 
-    stats = live_zone_stats(enrich_trips(raw_trips), delay=delay)
-    return _start(stats, merge, checkpoint, "update", available_now, interval)
+    def merge(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        # Landing sets both keys; a trip without a landing time counts on no day.
+        delta = sums_by_day(enrich_trips(batch)).filter(F.col("stat_date").isNotNull())
+        schema = StructType([*delta.schema.fields, StructField("batch_id", LongType(), True)])
+        state = tables.table_or_empty(spark, state_path, schema).select(*schema.fieldNames())
+        with tables.staged(added(state, delta, batch_id), "zone-sums") as sums:
+            stats = measures(sums, "stat_date", "zone")
+            rows = align(with_default_time(stats, "zone_daily_stats", clock()), ZONE_DAILY_STATS)
+            # State last: a failure between the two is mended by the batch's second run.
+            tables.overwrite_partitions(rows, table, "stat_date", few_files=True)
+            tables.overwrite_partitions(sums, state_path, "stat_date", few_files=True)
+
+    return _start(raw_trips, merge, checkpoint, "append", available_now, interval)
 
 
 def _start(

@@ -104,19 +104,3 @@ def test_small_batch_does_not_shuffle_a_large_target(spark, tmp_path):
     assert "BroadcastHashJoin" in plan.split("LeftSemi")[0].splitlines()[-1]
     assert not any("Exchange" in line for line in semi[:scan])
     assert rows_of(fresh) == [("new", 1, 1.0)]
-
-
-def test_bucketed_target_needs_no_exchange(spark):
-    df = spark.range(10_000).selectExpr("concat('k', id) AS k", "id")
-    tables.save_bucketed(df, "bucketed_a", "k", 4)
-    tables.save_bucketed(df.filter("id % 2 = 0"), "bucketed_b", "k", 4)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
-    try:
-        left = merge.unscored(
-            spark.table("bucketed_a").withColumnRenamed("k", "trip_id"),
-            spark.table("bucketed_b").withColumnRenamed("k", "trip_id"),
-        )
-        assert "Exchange" not in left._jdf.queryExecution().executedPlan().toString()
-        assert left.count() == 5_000
-    finally:
-        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

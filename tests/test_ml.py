@@ -7,12 +7,16 @@ from pyspark.sql import functions as F
 
 from ridelake.ml import features as ft
 from ridelake.ml import model as ml
+from ridelake.operators import merge
 from ridelake.operators.slices import align, training_slice
 from ridelake.plans import jobs
 from ridelake.plans.warehouse import Warehouse
-from ridelake.schemas import ENRICHED_STORED, MODEL_REGISTRY, RAW_STORED, RAW_TRIPS, ZONE_DAILY_STATS
+from ridelake.schemas import (
+    MODEL_REGISTRY, RAW_STORED, RAW_TRIPS, TRIP_PREDICTIONS, TRIPS_ENRICHED, ZONE_DAILY_STATS, ZONE_STORED,
+)
 from ridelake.sources import tables
 from ridelake.sources import trips as src
+from tests.conftest import plan_of
 
 RUN = dt.datetime(2024, 1, 31, 18)
 
@@ -41,6 +45,36 @@ def test_unseen_and_missing_categories(spark):
     assert [r.x_idx for r in fitted.transform(new).collect()] == [0.0, 1.0, 2.0, 3.0, 3.0]
 
 
+def test_ranks_are_those_of_the_indexer(spark, sf):
+    trips = src.enriched(spark, sf).select("trip_id", *ft.CATEGORIES)
+    indexed = ft.indexer().fit(trips).transform(trips)
+    for c in ft.CATEGORIES:
+        ranked = ft.indexed_by_rank(indexed, c, ft.frequency_ranks(trips, c), "rank")
+        assert ranked.count() == trips.count() and ranked.filter(F.col("rank") != F.col(f"{c}_idx")).count() == 0
+
+
+@pytest.mark.parametrize("limit", [0, ft.BROADCAST_RANKS])
+def test_a_million_categories_are_ranked(spark, monkeypatch, limit):
+    monkeypatch.setattr(ft, "BROADCAST_RANKS", limit)
+    n = 1_000_000
+    # Label k has one row, every thousandth two; the names sort as the numbers do.
+    name = F.lpad(F.col("id").cast("string"), 8, "0")
+    df = spark.range(n).select(name.alias("c"), F.explode(F.when(F.col("id") % 1000 == 7, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))).alias("copy"))
+    ranks = ft.frequency_ranks(df.repartition(6), "c")
+    assert ranks.agg(F.count("*"), F.min("idx"), F.max("idx"), F.countDistinct("idx")).first()[:] == (n, 0, n - 1, n)
+    want = F.when(F.col("id") % 1000 == 7, F.floor(F.col("id") / 1000)).otherwise(F.col("id") + n // 1000 - F.floor((F.col("id") + 993) / 1000))
+    ids = ranks.withColumn("id", F.col("label").cast("long")).filter(F.col("idx") != want)
+    assert ids.count() == 0
+    new = spark.createDataFrame([("00000007",), ("none",), (None,)], "c string")
+    assert {r.c: r.i for r in ft.indexed_by_rank(new, "c", ranks, "i").collect()} == {"00000007": 0, "none": n, None: n}
+
+
+def test_no_categories(spark):
+    empty = spark.createDataFrame([], "c string")
+    assert ft.frequency_ranks(empty, "c").count() == 0
+    assert ft.indexed_by_rank(empty, "c", ft.frequency_ranks(empty, "c"), "i").count() == 0
+
+
 def test_split_is_stable_and_near_its_share(spark, sf):
     df = src.enriched(spark, sf).select("trip_id")
     train, test = ft.hash_split(df)
@@ -122,6 +156,37 @@ def test_jobs_end_to_end(spark, sf, tmp_path):
     assert fares.filter("predicted_fare_idr % 500 <> 0 OR model_version <> 'gbt_fare_20240131'").count() == 0
 
 
+def test_stored_trips_are_joined_as_they_lie(spark, sf, tmp_path):
+    wh = Warehouse(str(tmp_path / "wh"), buckets=8)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rows = align(src.enriched(spark, sf).withColumn("processed_at", F.col("created_at")), TRIPS_ENRICHED)
+        rows = rows.withColumn("dt", F.col("processed_at").cast("date"))
+        early, late = rows.filter("dt < '2024-01-16'"), rows.filter("dt >= '2024-01-11'")
+        assert jobs.insert_enriched(wh, early) == early.count()
+        batch = late.unionByName(late)
+        stored = jobs.enriched_table(spark, wh)
+        plan = plan_of(merge.new_rows(stored, batch, ["trip_id"], buckets=wh.buckets).select("trip_id"))
+        target = plan[plan.index("== Physical Plan ==") :].split("FileScan parquet spark_catalog")
+        # Above the scan of the target, up to the joins, nothing is moved.
+        assert len(target) == 2 and "Exchange" not in target[0][target[0].rindex("SortMergeJoin") :]
+        assert jobs.insert_enriched(wh, batch) == rows.count() - early.count()
+        assert jobs.insert_enriched(wh, batch) == 0
+        stored = jobs.enriched_table(spark, wh)
+        assert stored.count() == stored.select("trip_id").distinct().count() == rows.count()
+        assert stored.select(*rows.columns).exceptAll(rows).count() == 0
+
+        done = align(src.predictions(spark, sf), TRIP_PREDICTIONS)
+        assert tables.append_keyed(done, wh.predictions, TRIP_PREDICTIONS, "trip_id", wh.buckets) == done.count()
+        left = merge.unscored(stored, jobs.predictions_table(spark, wh))
+        assert "Exchange" not in plan_of(left).split("== Physical Plan ==")[1]
+        assert left.count() == rows.count() - done.count()
+        since = stored.filter("processed_day >= '2024-01-20'")
+        assert "PartitionFilters: [isnotnull(processed_day" in plan_of(since)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_feedback_adds_unknown_trips(spark, sf):
     target = align(src.enriched(spark, sf), ml.TRIPS_ENRICHED)
     assert ml.feedback(src.predictions(spark, sf), target, RUN).count() == 976
@@ -144,13 +209,33 @@ def test_jobs_can_be_run_again(spark, sf, tmp_path):
     jobs.land_trips(spark, wh, align(src.located(spark, sf), RAW_TRIPS), dt.date(2024, 1, 1), dt.date(2024, 2, 1))
     first, end = dt.date(2024, 1, 1), dt.date(2024, 2, 1)
     jobs.daily_etl(spark, wh, first, RUN, until=end)
-    for _ in range(2):
-        jobs.train_fares(spark, wh, RUN, max_iter=2)
-    assert spark.read.parquet(wh.metrics).count() == spark.read.parquet(wh.registry).count() == 1
+    for iterations in (1, 3):
+        jobs.train_fares(spark, wh, RUN, max_iter=iterations)
+    # The repeated run replaces its model, its metrics and its entry together.
+    (metrics,), (entry,) = spark.read.parquet(wh.metrics).collect(), spark.read.parquet(wh.registry).collect()
+    version, features, model = jobs.load_latest(spark, wh)
+    assert model.getNumTrees == 3 and metrics["r2"] == entry["r2"]
+    _, test = ft.hash_split(spark.read.parquet(f"{entry['path']}/prepared"))
+    assert ml.evaluate(test, model, version, RUN).first()["r2"] == metrics["r2"]
+    # Another run on the same day has a place of its own.
+    later = RUN + dt.timedelta(minutes=5)
+    jobs.train_fares(spark, wh, later, max_iter=2)
+    assert len({r["path"] for r in spark.read.parquet(wh.registry).collect()}) == 2
+    assert ml.load(entry["path"])[1].getNumTrees == 3 and jobs.load_latest(spark, wh)[2].getNumTrees == 2
+
+    # A run that no longer has a zone leaves no row of it.
+    kept = [r.trip_id for r in jobs.enriched_table(spark, wh).filter("origin_zone <> 'Jakarta Pusat'").collect()]
+    raw = spark.read.schema(RAW_STORED).parquet(wh.raw_trips).filter(F.col("trip_id").isin(kept))
+    tables.overwrite(raw, str(tmp_path / "some"))
+    tables.drop(spark, wh.raw_trips)
+    tables.overwrite_partitions(spark.read.schema(RAW_STORED).parquet(str(tmp_path / "some")), wh.raw_trips, "dt")
+    jobs.daily_etl(spark, wh, first, RUN, until=end)
+    zones = {r.zone for r in spark.read.schema(ZONE_DAILY_STATS).parquet(wh.zone_daily_stats).collect()}
+    assert "Jakarta Pusat" not in zones and len(zones) == 5
 
     tables.drop(spark, wh.raw_trips)
     tables.overwrite_partitions(spark.createDataFrame([], RAW_STORED), wh.raw_trips, "dt")
     again = jobs.daily_etl(spark, wh, first, RUN, until=end)
     assert again == {"enriched": 0, "inserted": 0, "zones": 0}
-    assert tables.table_or_empty(spark, wh.raw_zone, ENRICHED_STORED).count() == 0
+    assert tables.table_or_empty(spark, wh.raw_zone, ZONE_STORED).count() == 0
     assert tables.table_or_empty(spark, wh.zone_daily_stats, ZONE_DAILY_STATS).count() == 0

@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from ridelake.operators.enrich import enrich_trips
 from ridelake.operators.slices import align
-from ridelake.operators.stats import zone_stats_by_day
+from ridelake.operators.stats import sums_by_day, zone_stats_by_day
+from ridelake.plans import jobs
+from ridelake.plans.warehouse import Warehouse
 from ridelake.schemas import RAW_TRIPS, TRIP_EVENT, ZONE_DAILY_STATS
+from ridelake.sources import tables
 from ridelake.sources import trips as src
 from ridelake.streaming import events, ingest
 
@@ -127,24 +130,39 @@ def test_dedupe_within_watermark(spark, tmp_path, event_lines):
     assert spark.table("deduped").count() == len(event_lines)
 
 
-def test_live_zone_stats_equal_batch(spark, sf, tmp_path):
-    trips = align(src.located(spark, sf), RAW_TRIPS)
-    for i in range(3):
-        trips.filter(F.crc32("trip_id") % 3 == i).coalesce(1).write.parquet(str(tmp_path / "in" / f"part={i}"))
-    stream = (
-        spark.readStream.schema(RAW_TRIPS).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true")
-        .parquet(str(tmp_path / "in"))
-    )
-    query = ingest.keep_zone_stats(stream, str(tmp_path / "stats"), str(tmp_path / "cp"), clock=lambda: RUN, delay="60 days")
-    query.awaitTermination(240)
-    assert query.exception() is None
-    got = spark.read.schema(ZONE_DAILY_STATS).parquet(str(tmp_path / "stats"))
-    want = zone_stats_by_day(enrich_trips(trips), "request_time")
-    counts = ["stat_date", "zone", "trip_count", "rain_trip_count"]
-    assert sorted(map(tuple, got.select(*counts).collect())) == sorted(map(tuple, want.select(*counts).collect()))
-    averages = {(r.stat_date, r.zone): r.avg_distance_km for r in want.collect()}
-    assert {(r.stat_date, r.zone): r.avg_distance_km for r in got.collect()} == pytest.approx(averages)
-    assert got.first().updated_at == RUN
+def test_live_and_daily_statistics_are_one_table(spark, sf, tmp_path):
+    trips = tables.stamped(align(src.located(spark, sf), RAW_TRIPS), "created_at")
+    wh = Warehouse(str(tmp_path / "wh"))
+    landed = str(tmp_path / "in")
+    for i in range(3):  # Every delivery has trips of all days, so all but the first bring late ones.
+        trips.filter(F.crc32("trip_id") % 3 == i).coalesce(1).write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(trips.schema).parquet(landed)
+        query = ingest.keep_zone_stats(stream, str(tmp_path / "stats"), str(tmp_path / "cp"), clock=lambda: RUN)
+        query.awaitTermination(240)
+        assert query.exception() is None
+    live = spark.read.schema(ZONE_DAILY_STATS).parquet(str(tmp_path / "stats"))
+    tables.overwrite_partitions(trips, wh.raw_trips, "dt")
+    days = sorted(r[0] for r in trips.select("dt").distinct().collect())
+    for day in days[:3]:
+        jobs.daily_etl(spark, wh, day, RUN)
+    daily = spark.read.schema(ZONE_DAILY_STATS).parquet(wh.zone_daily_stats)
+    some = live.filter(F.col("stat_date").isin(days[:3]))
+    assert daily.count() == some.count() > 3 and daily.exceptAll(some).count() == 0
+    want = zone_stats_by_day(enrich_trips(trips))
+    assert live.select(*want.columns).exceptAll(want).count() == 0 and live.count() == want.count()
+
+
+def test_a_batch_adds_its_sums_once(spark, sf):
+    delta = sums_by_day(enrich_trips(align(src.located(spark, sf), RAW_TRIPS))).cache()
+    none = delta.withColumn("batch_id", F.lit(0).cast("bigint")).limit(0)
+    one = ingest.added(none, delta, 0)
+    assert ingest.added(one, delta, 0).exceptAll(one).count() == 0
+    # A run that was broken off has reached some zones only.
+    half = ingest.added(one, delta.filter("zone < 'K'"), 1)
+    two = ingest.added(half, delta, 1)
+    assert two.exceptAll(ingest.added(one, delta, 1)).count() == 0
+    assert two.agg(F.sum("trip_count")).first()[0] == 2 * delta.agg(F.sum("trip_count")).first()[0]
+    delta.unpersist()
 
 
 def test_requests_are_scored_as_a_stream(spark, sf, tmp_path):
