@@ -10,8 +10,9 @@ is indexed in blocks of bounded text, and every document is read whole against e
 
 from __future__ import annotations
 
+import heapq
+import re
 import string
-from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -26,18 +27,23 @@ COVERAGE = 0.8
 #: Characters of benchmark text in a block, which is broadcast; a longer item is a block of its own.
 BLOCK_CHARS = 8 << 20
 
+#: Characters of scripts without blanks between words (Thai to Khmer, kana, ideographs).
+ALONE = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _BLANKS = bytes.maketrans(string.punctuation.encode(), b" " * len(string.punctuation))
 
 
 def tokens(text: str | None) -> list[bytes]:
-    """Lower-case words between white space and ASCII punctuation."""
-    return (text or "").lower().encode().translate(_BLANKS).split()
+    """Lower-case words between white space and ASCII punctuation; characters of scripts that put no blanks stand alone."""
+    text = text or ""
+    if not text.isascii():
+        text = ALONE.sub(r" \g<0> ", text)
+    return text.lower().encode().translate(_BLANKS).split()
 
 
 def _codes(ids: np.ndarray, run: int) -> np.ndarray:
     """Karp-Rabin codes of the runs of words."""
-    n = len(ids) - run + 1
+    n = max(0, len(ids) - run + 1)
     out = np.zeros(n, dtype=np.uint64)
     for k in range(run):
         out = out * _MULTIPLIER + ids[k : k + n].astype(np.uint64)
@@ -45,69 +51,89 @@ def _codes(ids: np.ndarray, run: int) -> np.ndarray:
 
 
 class Index:
-    """Runs of the words of benchmark items; items of fewer words than a run are never found."""
+    """Benchmark items by the codes of their runs of ``run`` words; of an item with fewer words the whole is the run."""
 
     def __init__(self, items: list[tuple[int, str]], run: int = RUN):
-        self.run, self.words, self.items = run, {}, []
-        at, where = [], []
+        self.words, self.items, codes = {}, [], {}
         for item_id, text in items:
             ids = np.array([self.words.setdefault(w, len(self.words)) for w in tokens(text)], dtype=np.int64)
-            if len(ids) < run:
-                continue
-            at.append(_codes(ids, run))
-            where += [(len(self.items), i) for i in range(len(at[-1]))]
-            self.items.append((item_id, ids))
-        codes = np.concatenate(at) if at else np.empty(0, np.uint64)
-        order = np.argsort(codes, kind="stable")
-        self.codes, self.where = codes[order], [where[i] for i in order]
+            if len(ids):
+                own = min(run, len(ids))
+                codes.setdefault(own, []).append((len(self.items), np.unique(_codes(ids, own))))
+                self.items.append((item_id, ids, own))
+        #: By length of run: sorted codes and the item of each.
+        self.codes = {}
+        for own, found in codes.items():
+            every, item = np.concatenate([c for _, c in found]), np.repeat([i for i, _ in found], [len(c) for _, c in found])
+            order = np.argsort(every, kind="stable")
+            self.codes[own] = every[order], item[order]
 
     def matches(self, text: str | None) -> list[tuple[float, int]]:
-        """(coverage, item id) of the items that the text shares words with, where tiling can reach a share."""
+        """(coverage, item id) of the items that share a run with the text."""
         get = self.words.get
         ids = np.array([get(w, -1) for w in tokens(text)], dtype=np.int64)
-        if len(ids) < self.run or not len(self.codes):
+        known, shared = np.concatenate([[0], np.cumsum(ids >= 0)]), []
+        for own, (codes, item) in self.codes.items():
+            if len(ids) >= own:
+                full = known[own:] - known[:-own] == own
+                here = np.unique(_codes(ids, own)[full])
+                low, high = np.searchsorted(codes, here, "left"), np.searchsorted(codes, here, "right")
+                shared.append(np.unique(item[_ranges(low, high)]))
+        if not any(len(x) for x in shared):
             return []
-        known = np.concatenate([[0], np.cumsum(ids >= 0)])
-        full = np.flatnonzero(known[self.run :] - known[: -self.run] == self.run)
-        if not len(full):
-            return []
-        codes = _codes(ids, self.run)[full]
-        low, high = np.searchsorted(self.codes, codes, "left"), np.searchsorted(self.codes, codes, "right")
-        seeds: dict[int, list[tuple[int, int]]] = defaultdict(list)
-        for p, a, b in zip(full.tolist(), low.tolist(), high.tolist()):
-            for item, i in self.where[a:b]:
-                seeds[item].append((p, i))
-        return [(tiled(ids, self.items[item][1], found, self.run), self.items[item][0]) for item, found in seeds.items()]
+        return [(tiled(ids, self.items[i][1], self.items[i][2]), self.items[i][0]) for i in np.concatenate(shared).tolist()]
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """All numbers from each ``low`` up to its ``high``."""
+    n = high - low
+    return np.repeat(high - np.cumsum(n), n) + np.arange(n.sum())
+
+
+def common_runs(doc: np.ndarray, item: np.ndarray, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in the item, place in the document, words) of every common run that cannot be extended, of ``run`` words or more.
+
+    Seeds with equal codes are compared word by word; neighbours on one diagonal make one run.
+    """
+    codes, mine = _codes(doc, run), _codes(item, run)
+    order = np.argsort(codes, kind="stable")
+    codes = codes[order]
+    low, high = np.searchsorted(codes, mine, "left"), np.searchsorted(codes, mine, "right")
+    i, p = np.repeat(np.arange(len(mine)), high - low), order[_ranges(low, high)]
+    same = np.ones(len(i), dtype=bool)
+    for k in range(run):
+        same &= item[i + k] == doc[p + k]
+    i, p = i[same], p[same]
+    order = np.lexsort((i, p - i))
+    i, p = i[order], p[order]
+    new = np.ones(len(i), dtype=bool)
+    new[1:] = (np.diff(i) != 1) | (np.diff(p) != 1)
+    first = np.flatnonzero(new)
+    return i[first], p[first], np.diff(np.append(first, len(i))) + run - 1
 
 
-def tiled(doc: np.ndarray, item: np.ndarray, seeds: list[tuple[int, int]], run: int, least: float = 0.0) -> float:
+def tiled(doc: np.ndarray, item: np.ndarray, run: int) -> float:
     """Share of the item's words in the longest non-overlapping common runs, marked greedily.
 
-    Of equally long runs the first in the item, then in the document, is marked.
+    Of equally long runs the first in the item, then in the document, is marked. Runs wait by length; one that
+    marks have cut into since is put back as the free parts that are long enough.
     """
     doc_free, item_free = np.ones(len(doc), dtype=bool), np.ones(len(item), dtype=bool)
-    covered = np.zeros(len(item), dtype=bool)
-    for _, i in seeds:
-        covered[i : i + run] = True
-    if covered.mean() < least:
-        return 0.0
-    words, at, open_seeds = doc.tolist(), item.tolist(), sorted((i, p) for p, i in seeds)
-    while open_seeds:
-        best, alive = (0, 0, 0), []
-        for i, p in open_seeds:
-            n = 0
-            while i + n < len(at) and p + n < len(words) and at[i + n] == words[p + n] and item_free[i + n] and doc_free[p + n]:
-                n += 1
-            if n >= run:
-                alive.append((i, p))
-                if n > best[0]:
-                    best = (n, i, p)
-        n, i, p = best
-        if not n:
+    waiting = [(-n, i, p) for i, p, n in zip(*(x.tolist() for x in common_runs(doc, item, run)))]
+    heapq.heapify(waiting)
+    while waiting:
+        n, i, p = heapq.heappop(waiting)
+        n = -n
+        free = item_free[i : i + n] & doc_free[p : p + n]
+        if free.all():
+            item_free[i : i + n] = doc_free[p : p + n] = False
+        elif free.any():
+            edges = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8)))
+            for a, b in zip(edges[::2].tolist(), edges[1::2].tolist()):
+                if b - a >= run:
+                    heapq.heappush(waiting, (a - b, i + a, p + a))
+        if not item_free.any():
             break
-        item_free[i : i + n] = False
-        doc_free[p : p + n] = False
-        open_seeds = [(j, q) for j, q in alive if item_free[j] and doc_free[q]]
     return float((~item_free).mean())
 
 
@@ -167,7 +193,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
     Takes doc_id and text; other columns are ignored. Null and empty texts and an
     empty benchmark give no match: coverage 0, item null. Of equally covered items
-    the smallest id is named. Items without id or text are left out.
+    the smallest id is named. Items without id or text are left out; of items with fewer than five words all must stand in a row.
     """
     match = matcher(benchmark, coverage, block_chars)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), match(F.col("text")).alias("m"))

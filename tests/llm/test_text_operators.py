@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import public_tokenizers
@@ -160,7 +161,7 @@ def test_components_of_a_chain_a_star_and_nothing(spark):
 # --- vectors
 
 
-@pytest.mark.parametrize("blocks,grid,chunk", [(4, 2, 512), (3, 1, 5)])
+@pytest.mark.parametrize("blocks,grid,chunk", [(4, 2, 4096), (4, 2, 64), (3, 1, 5)])
 def test_near_vectors(spark, blocks, grid, chunk):
     rng = np.random.default_rng(0)
     centres, rows = rng.standard_normal((12, 16)), []
@@ -192,6 +193,12 @@ def test_near_vectors(spark, blocks, grid, chunk):
 # --- tokens
 
 
+def test_vectors_of_extreme_length_keep_their_links(spark):
+    rows = [(1, [1e200, 2e200, 1e200], 1), (2, [1e200, 2e200, 1.01e200], 1), (3, [1e-200, 2e-200, 1e-200], 1), (4, [1.0, 2.0, 1.0], 1), (5, [5e-324, 0.0, 0.0], 1)]
+    found = embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label long"))
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found.collect()} == {i: (3, 1) for i in (1, 2, 3, 4)} | {5: (0, 5)}
+
+
 def test_tokens_are_those_of_the_library(spark):
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     ranks = bpe.load_ranks(path)
@@ -265,7 +272,7 @@ def test_reordered_passages_are_found(spark):
     random.seed(2)
     word = lambda: random.choice("abcdefgh") + random.choice("xyz")
     items = [(i, " ".join(word() for _ in range(random.randint(5, 30)))) for i in range(12)] + [(20, None), (None, "a b c d e f"), (21, "too short")]
-    rows = odd_texts()[:8]
+    rows = [*odd_texts()[:8], (90, "too short"), (91, "not TOO. Short?"), (92, "short too")]
     for k in range(30):
         words = items[k % 12][1].split()
         cut = random.randint(0, len(words))
@@ -276,7 +283,7 @@ def test_reordered_passages_are_found(spark):
     want = []
     for i, text in rows:
         doc = contamination.tokens(text)
-        shares = [(plain_tiling(doc, contamination.tokens(t), 5), -j) for j, t in items if j is not None and t and len(t.split()) >= 5]
+        shares = [(plain_tiling(doc, contamination.tokens(t), min(5, len(t.split()))), -j) for j, t in items if j is not None and t]
         share, j = max(shares)
         want.append((i, round(share, 9), -j if share else None, sum(s >= 0.8 for s, _ in shares), any(s >= 0.8 for s, _ in shares)))
     docs, benchmark = docs_of(spark, rows), spark.createDataFrame(items, "item_id long, text string")
@@ -288,6 +295,28 @@ def test_reordered_passages_are_found(spark):
     assert contamination.contaminated(docs.limit(0), benchmark).count() == 0
 
 
+def test_repeated_words_are_tiled_in_time():
+    index = contamination.Index([(1, "la " * 60), (2, "la le " * 400), (3, " ".join(f"w{i}" for i in range(20_000)))])
+    start = time.perf_counter()
+    assert dict((i, c) for c, i in index.matches("la " * 20_000)) == {1: 1.0}
+    assert dict((i, c) for c, i in index.matches("la le " * 2_000)) == {2: 1.0}
+    assert dict((i, c) for c, i in index.matches(" ".join(f"w{i}" for i in range(19_999, -1, -1)))) == {}
+    assert time.perf_counter() - start < 20
+    rng = random.Random(9)
+    for _ in range(60):
+        item, doc = ([rng.choice("ab") for _ in range(rng.randrange(1, 25))] for _ in range(2))
+        run = min(3, len(item))
+        ids = [np.array([ord(c) for c in x]) for x in (doc, item)]
+        assert contamination.tiled(*ids, run) == plain_tiling(doc, item, run)
+
+
+def test_scripts_without_blanks():
+    index = contamination.Index([(1, "今天天气很好我们去公园散步"), (2, "ABC"), (3, "ภาษาไทย")])
+    assert contamination.tokens("ab今天c") == ["ab".encode(), "今".encode(), "天".encode(), b"c"]
+    assert dict((i, c) for c, i in index.matches("他说今天天气很好我们去公园散步了, abc?")) == {1: 1.0, 2: 1.0}
+    assert index.matches("天今") == [] and dict((i, c) for c, i in index.matches("xภาษาไทยx")) == {3: 1.0}
+
+
 # --- archives
 
 
@@ -344,6 +373,36 @@ def test_toxicity_of_unseen_documents(spark, sf):
     assert toxicity.classify(docs.limit(0), labels).count() == 0
 
 
+def test_toxicity_reads_no_held_out_label(spark, sf):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    flipped = labels.withColumn("toxic", F.when(toxicity.held_out(F.col("doc_id")), 1 - F.col("toxic")).otherwise(F.col("toxic")))
+    assert flipped.exceptAll(labels).count() > 0
+    assert tuples(toxicity.classify(docs, flipped)) == tuples(toxicity.classify(docs, labels))
+    # Repeated rows and further columns, of names the operator uses itself, change no other row's score by much.
+    wide = docs.withColumns({"label": F.lit("x"), "target": F.lit(1), "key": F.lit("k"), "votes": F.lit(7), "score": F.lit(9.0)})
+    twice = wide.unionByName(wide.filter("doc_id < 5"))
+    assert toxicity.classify(twice, labels).count() == docs.count() + docs.filter("doc_id < 5").count()
+
+
+def test_correlated_voters_count_once():
+    rng = np.random.default_rng(4)
+    toxic = rng.random(20_000) < 0.3
+    fired = np.zeros((len(toxic), 5), bool)
+    fired[:, 0] = rng.random(len(toxic)) < np.where(toxic, 0.6, 0.05)
+    fired[:, 1] = fired[:, 2] = fired[:, 0]  # two copies of one voter
+    fired[:, 3] = rng.random(len(toxic)) < np.where(toxic, 0.5, 0.02)
+    fired[:, 4] = ~fired[:, :4].any(axis=1)
+    own, size = np.stack([fired[toxic == y].sum(axis=0) for y in (0, 1)]), np.array([(~toxic).sum(), toxic.sum()])
+    pairs = np.stack([(fired[toxic == y].T.astype(float) @ fired[toxic == y]) for y in (0, 1)])
+    correlation = toxicity._correlation(pairs, size)
+    assert correlation[0, 1] == pytest.approx(1) and correlation[0, 3] == 0 and not correlation[4].any()
+    model = toxicity.LabelModel(toxicity._rates(own, size), 0.3, correlation)
+    assert model.weight[:3] == pytest.approx(1 / 3) and model.weight[3] == 1
+    # Three copies say as much as one voter says alone.
+    one = toxicity.LabelModel(toxicity._rates(own[:, [0, 3, 4]], size), 0.3)
+    assert model.posterior(np.array([0b111, 0b1111])) == pytest.approx(one.posterior(np.array([0b1, 0b11])), abs=1e-3)
+
+
 def test_secrets_are_told_from_long_words(spark):
     random.seed(6)
     rows = [(None, None), (1, ""), (2, "plain words only")]
