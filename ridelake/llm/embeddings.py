@@ -29,8 +29,8 @@ COSINE = 0.93
 BLOCKS = 4
 #: Dimensions of a block the grid lies over.
 GRID = 2
-#: Vectors of a cell that are compared in one tile against as many others.
-CHUNK = 512
+#: Vectors of a cell that are compared in one tile against as many others, fewer if they have over 64 dimensions, and those that are at a time.
+CHUNK, STEP = 4096, 512
 #: Room for rounding in everything but the final cosine.
 SLACK = 1e-9
 
@@ -45,9 +45,14 @@ def _blocks(dims: int, blocks: int) -> list[tuple[int, int]]:
     return list(zip(ends[:-1], ends[1:]))
 
 
-def _units(vectors: list) -> np.ndarray:
-    out = np.array(vectors, dtype=np.float64)
-    return out / np.linalg.norm(out, axis=1, keepdims=True)
+def _matrix(vectors: pa.ListArray, dims: int) -> np.ndarray:
+    return vectors.flatten().to_numpy(zero_copy_only=False).reshape(-1, dims)
+
+
+def _units(vectors: np.ndarray) -> np.ndarray:
+    """Vectors of length one; powers of two keep the squares of very large and very small components in range."""
+    vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1, keepdims=True))[1])
+    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
 def _copies(nodes: DataFrame, cosine: float, blocks: int, grid: int) -> DataFrame:
@@ -56,25 +61,22 @@ def _copies(nodes: DataFrame, cosine: float, blocks: int, grid: int) -> DataFram
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = {c: batch.column(c).to_pylist() for c in ("label", "dims", "node", "weight", "vec")}
-            for dims in sorted(set(rows["dims"])):
-                at = [i for i, d in enumerate(rows["dims"]) if d == dims]
-                turned = _units([rows["vec"][i] for i in at]) @ rotation(dims)
+            every = batch.column("dims").to_numpy()
+            for dims in np.unique(every).tolist():
+                at = pa.array(np.flatnonzero(every == dims))
+                kept = {c: batch.column(c).take(at) for c in ("label", "dims", "node", "weight", "vec")}
+                turned, n = _units(_matrix(kept["vec"], dims)) @ rotation(dims), len(at)
                 for b, (start, stop) in enumerate(_blocks(dims, blocks)):
                     width = np.sqrt((2 - 2 * cosine) * (stop - start) / dims) + SLACK
                     cells = np.floor(turned[:, start : min(stop, start + grid)] / width).astype(np.int64)
                     steps = [(0,) * cells.shape[1]] + sorted({d[: cells.shape[1]] for d in ahead if d[: cells.shape[1]] > (0,) * cells.shape[1]})
                     for step in steps:
                         names = [",".join(map(str, c)) for c in (cells + np.array(step)).tolist()]
-                        yield pa.RecordBatch.from_arrays(
-                            [
-                                pa.array([rows["label"][i] for i in at], pa.int64()), pa.array([dims] * len(at), pa.int32()),
-                                pa.array([b] * len(at), pa.int32()), pa.array(names), pa.array([not any(step)] * len(at)),
-                                pa.array([rows["node"][i] for i in at]), pa.array([rows["weight"][i] for i in at], pa.int64()),
-                                pa.array([rows["vec"][i] for i in at], pa.list_(pa.float64())),
-                            ],
-                            ["label", "dims", "block", "cell", "home", "node", "weight", "vec"],
-                        )
+                        columns = [
+                            kept["label"], kept["dims"], pa.array(np.full(n, b, np.int32)), pa.array(names), pa.array(np.full(n, not any(step))),
+                            kept["node"], kept["weight"], kept["vec"],
+                        ]
+                        yield pa.RecordBatch.from_arrays(columns, ["label", "dims", "block", "cell", "home", "node", "weight", "vec"])
 
     kind = "label long, dims int, block int, cell string, home boolean, node string, weight long, vec array<double>"
     return nodes.mapInArrow(run, kind)
@@ -103,33 +105,35 @@ def _tile(rows: pa.Table, cosine: float, blocks: int) -> pa.Table:
     rows = rows.sort_by("node")
     dims, block = rows.column("dims")[0].as_py(), rows.column("block")[0].as_py()
     first, second = rows.column("first")[0].as_py(), rows.column("second")[0].as_py()
-    side, home = np.array(rows.column("chunk").to_pylist()), np.array(rows.column("home").to_pylist())
-    nodes, weight = rows.column("node").to_pylist(), np.array(rows.column("weight").to_pylist(), dtype=np.int64)
-    units = _units(rows.column("vec").to_pylist())
+    side, home, weight = (rows.column(c).to_numpy() for c in ("chunk", "home", "weight"))
+    nodes = rows.column("node").to_pylist()
+    units = _units(_matrix(rows.column("vec").combine_chunks(), dims))
     turned, cuts = units @ rotation(dims), _blocks(dims, blocks)
     budget = 2 - 2 * cosine
     left, right = np.flatnonzero(home & (side == first)), np.flatnonzero(side == second)
+    share = lambda c: budget * (c[1] - c[0]) / dims + SLACK
 
     def gap(cut: tuple[int, int], i: np.ndarray, j: np.ndarray) -> np.ndarray:
         return ((turned[i, cut[0] : cut[1]] - turned[j, cut[0] : cut[1]]) ** 2).sum(axis=1)
 
-    found_a, found_b = [], []
-    if len(left) and len(right):
-        part = slice(*cuts[block])
-        x, y = turned[left, part], turned[right, part]
-        near = (x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None] - 2 * x @ y.T <= budget * (cuts[block][1] - cuts[block][0]) / dims + 1e-7
-        i, j = (side_[k] for side_, k in zip((left, right), np.nonzero(near)))
+    found = [(np.empty(0, np.int64), np.empty(0, np.int64))]
+    part = slice(*cuts[block])
+    y = turned[right, part]
+    for at in range(0, len(left), STEP):
+        x = turned[left[at : at + STEP], part]
+        near = (x**2).sum(axis=1)[:, None] + (y**2).sum(axis=1)[None] - 2 * x @ y.T <= share(cuts[block]) + 1e-7
+        i, j = np.nonzero(near)
+        i, j = left[at + i], right[j]
         # Two at home meet once: in their chunk, or with the later chunk on the right.
         keep = np.where(home[j] & (first == second), i < j, True)
         i, j = i[keep], j[keep]
-        share = lambda c: budget * (c[1] - c[0]) / dims + SLACK
         keep = gap(cuts[block], i, j) <= share(cuts[block])
         for earlier in cuts[:block]:
             keep &= gap(earlier, i, j) > share(earlier)
         i, j = i[keep], j[keep]
         keep = (units[i] * units[j]).sum(axis=1) >= cosine
-        found_a, found_b = i[keep], j[keep]
-    a, b = np.array(found_a, dtype=np.int64), np.array(found_b, dtype=np.int64)
+        found.append((i[keep], j[keep]))
+    a, b = (np.concatenate(ends) for ends in zip(*found))
     counts = np.bincount(a, weights=weight[b], minlength=len(nodes)) + np.bincount(b, weights=weight[a], minlength=len(nodes))
     some, spans = np.flatnonzero(counts), _forest(a, b, len(nodes))
     return pa.table({
@@ -161,7 +165,7 @@ def near_duplicates(
     copies = _copies(nodes.select("label", "dims", "node", "weight", "vec"), cosine, blocks, grid)
     cell = ["label", "dims", "block", "cell"]
     crowds = copies.groupBy(*cell).agg(F.count("*").alias("crowd"), F.count_if("home").alias("homes")).filter("crowd > 1 and homes > 0")
-    placed = copies.join(crowds, cell).withColumn("chunks", F.ceil(F.col("crowd") / chunk).cast("int"))
+    placed = copies.join(crowds, cell).withColumn("chunks", F.ceil(F.col("crowd") * F.greatest(F.lit(1.0), F.col("dims") / 64) / chunk).cast("int"))
     placed = placed.withColumn("chunk", F.pmod(F.hash("node"), F.col("chunks")))
     every, own = F.sequence(F.lit(0), F.col("chunks") - 1), F.col("chunk")
     pair = lambda p, q: F.struct(p.alias("first"), q.alias("second"))
