@@ -5,8 +5,8 @@ between them cover the toxic rows of a bounded sample of labelled ones. A voter
 that occurs in a text votes for toxic, others abstain; where all abstain, the
 silence itself votes for clean. The label model learns, by expectation maximisation
 over the votes of all documents, how often each voter fires on toxic and on clean
-texts, starting from and held near the labelled rows; voters that agree more than
-that explains are correlated and share their weight. The posteriors of a bounded sample of documents are the labels a
+texts, starting from and held near the labelled rows, and how voters are correlated
+beyond that; each round counts the votes with the correlations of the round before. The posteriors of a bounded sample of documents are the labels a
 logistic classifier is fitted on, with hashed word beginnings as features. It
 scores every whole text.
 """
@@ -56,6 +56,8 @@ CANDIDATES, DEPTH, CLEAN_COST = 2000, 2, 5
 HOLD = 0.5
 BEGINNINGS = (3, 4, 5, 6)
 EM_ROUNDS = 8
+#: Smallest correlation of two voters that counts, and parts that distinct votes lie in.
+LEAST_CORRELATION, VOTE_PARTS = 0.1, 32
 SIZE = 1 << 17
 #: Deviation from the mean that a feature of the classifier shows at least.
 LEAST_Z = 5.0
@@ -178,15 +180,17 @@ def _fired(votes: np.ndarray, n: int) -> np.ndarray:
 
 
 class LabelModel:
-    """Two classes; each voter fires with its own probability in each, given the class nearly independently.
+    """Two classes; each voter fires with its own probability in each, and voters are correlated within a class.
 
-    ``share`` is that of toxic texts, ``fires`` the probabilities by class, ``weight``
-    what remains of a voter's evidence after its correlations. The last voter is
-    the silence of all others.
+    ``share`` is that of toxic texts, ``fires`` the probabilities by class, ``correlation`` that of two voters
+    beyond what the classes explain, the stronger one of both. A voter that repeats others says less: its evidence is
+    divided by one plus its correlations. The last voter is the silence of all others.
     """
 
-    def __init__(self, fires: np.ndarray, share: float):
-        self.fires, self.share, self.weight = fires, share, np.ones(fires.shape[1])
+    def __init__(self, fires: np.ndarray, share: float, correlation: np.ndarray | None = None):
+        self.fires, self.share = fires, share
+        self.correlation = np.zeros((fires.shape[1],) * 2) if correlation is None else correlation
+        self.weight = 1 / (1 + self.correlation.sum(axis=1))
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         fired = _fired(votes, len(self.weight))
@@ -195,7 +199,10 @@ class LabelModel:
 
 
 def _moments(votes: DataFrame, model: LabelModel) -> np.ndarray:
-    """Posterior-weighted counts over all documents: by class, a voter's own on the diagonal and pairs beside it."""
+    """Posterior-weighted counts over all documents: by class, a voter's own on the diagonal and pairs beside it.
+
+    Each partition of the distinct votes adds one array.
+    """
     n = len(model.weight)
     sent = votes.sparkSession.sparkContext.broadcast(model)
 
@@ -207,28 +214,39 @@ def _moments(votes: DataFrame, model: LabelModel) -> np.ndarray:
             for y, q in enumerate(((1 - p) * counts, p * counts)):
                 total[y] += q.sum()
                 total[2 + y * n * n : 2 + (y + 1) * n * n] += ((fired * q[:, None]).T @ fired).ravel()
-        places = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(places), pa.array(total[places])], ["place", "amount"])
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["amounts"])
 
-    out = np.zeros(2 + 2 * n * n)
-    for place, amount in votes.mapInArrow(run, "place long, amount double").groupBy("place").agg(F.sum("amount")).collect():
-        out[place] = amount
-    return out
+    parts = votes.mapInArrow(run, "amounts binary").collect()
+    return sum((np.frombuffer(r.amounts) for r in parts), np.zeros(2 + 2 * n * n))
 
 
 def _rates(own: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.clip((own + np.array([[0.01], [0.5]])) / (size[:, None] + 1), 1e-6, 1 - 1e-6)
 
 
+def _correlation(pairs: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Correlations of the voters within a class, the larger of both; weak ones and the silence's count as none."""
+    out = np.zeros(pairs.shape[1:])
+    for both, n in zip(pairs, np.maximum(size, 1e-9)):
+        p = np.diag(both) / n
+        spread = np.sqrt(np.outer(p * (1 - p), p * (1 - p)))
+        out = np.maximum(out, np.clip((both / n - np.outer(p, p)) / np.maximum(spread, 1e-9), 0, 1))
+    np.fill_diagonal(out, 0)
+    out[out < LEAST_CORRELATION] = 0
+    out[-1] = out[:, -1] = 0
+    return out
+
+
 def fit_label_model(votes: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> LabelModel:
     """Accuracies and correlations of the voters from distinct votes and their counts (votes, count).
 
-    ``known`` has what the labelled rows say: by class, how often each voter fires, and the rows.
+    Each round weighs the votes with the correlations of the round before. ``known`` has what the labelled rows
+    say: by class, how often each voter fires, and the rows.
     """
     own, size = known
     n = own.shape[1]
     start = _rates(own, size)
-    model, pairs = LabelModel(start, 0.1), np.zeros((2, n, n))
+    model = LabelModel(start, 0.1)
     for _ in range(EM_ROUNDS):
         moments = _moments(votes, model)
         size, pairs = moments[:2], moments[2:].reshape(2, n, n)
@@ -236,14 +254,7 @@ def fit_label_model(votes: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> L
             return model
         hold = HOLD * np.maximum(size, 1)[:, None]
         rates = (_rates(np.stack([np.diag(p) for p in pairs]), size) * size[:, None] + start * hold) / (size[:, None] + hold)
-        model = LabelModel(rates, float(np.clip(size[1] / size.sum(), 1e-3, 0.5)))
-    p = np.diag(pairs[1]) / max(size[1], 1e-9)
-    spread = np.sqrt(np.outer(p * (1 - p), p * (1 - p)))
-    correlation = np.clip((pairs[1] / max(size[1], 1e-9) - np.outer(p, p)) / np.maximum(spread, 1e-9), 0, 1)
-    np.fill_diagonal(correlation, 0)
-    correlation[correlation < 0.1] = 0
-    model.weight = 1 / (1 + correlation.sum(axis=1))
-    model.weight[-1] = 1.0
+        model = LabelModel(rates, float(np.clip(size[1] / size.sum(), 1e-3, 0.5)), _correlation(pairs, size))
     return model
 
 
@@ -304,7 +315,8 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, fit_rows:
         size[row.label] += row["count"]
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     votes = stage(docs.select(F.xxhash64(text).alias("key"), vote(text).alias("votes")), "votes")
-    model = fit_label_model(votes.groupBy("votes").agg(F.count("*").alias("count")), (own, size))
+    distinct = stage(votes.groupBy("votes").agg(F.count("*").alias("count")).coalesce(VOTE_PARTS), "distinct")
+    model = fit_label_model(distinct, (own, size))
     judge = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
