@@ -5,8 +5,8 @@ between them cover the toxic rows of a bounded sample of labelled ones. A voter
 that occurs in a text votes for toxic, others abstain; where all abstain, the
 silence itself votes for clean. The label model learns, by expectation maximisation
 over the votes of all documents, how often each voter fires on toxic and on clean
-texts, starting from and held near the labelled rows, and how voters are correlated
-beyond that; each round counts the votes with the correlations of the round before. The posteriors of a bounded sample of documents are the labels a
+texts, starting from and held near the labelled rows, and at last how voters are
+correlated beyond that; correlated voters share their weight. The posteriors of a bounded sample of documents are the labels a
 logistic classifier is fitted on, with hashed word beginnings as features. It
 scores every whole text.
 """
@@ -180,10 +180,10 @@ def _fired(votes: np.ndarray, n: int) -> np.ndarray:
 
 
 class LabelModel:
-    """Two classes; each voter fires with its own probability in each, and voters are correlated within a class.
+    """Two classes; each voter fires with its own probability in each, and voters are correlated within the toxic one.
 
     ``share`` is that of toxic texts, ``fires`` the probabilities by class, ``correlation`` that of two voters
-    beyond what the classes explain, the stronger one of both. A voter that repeats others says less: its evidence is
+    beyond what the classes explain. A voter that repeats others says less: its evidence is
     divided by one plus its correlations. The last voter is the silence of all others.
     """
 
@@ -224,13 +224,11 @@ def _rates(own: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.clip((own + np.array([[0.01], [0.5]])) / (size[:, None] + 1), 1e-6, 1 - 1e-6)
 
 
-def _correlation(pairs: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Correlations of the voters within a class, the larger of both; weak ones and the silence's count as none."""
-    out = np.zeros(pairs.shape[1:])
-    for both, n in zip(pairs, np.maximum(size, 1e-9)):
-        p = np.diag(both) / n
-        spread = np.sqrt(np.outer(p * (1 - p), p * (1 - p)))
-        out = np.maximum(out, np.clip((both / n - np.outer(p, p)) / np.maximum(spread, 1e-9), 0, 1))
+def _correlation(both: np.ndarray, n: float) -> np.ndarray:
+    """Correlations of the voters on the ``n`` toxic texts, where they fire; weak ones and the silence's count as none."""
+    p = np.diag(both) / max(n, 1e-9)
+    spread = np.sqrt(np.outer(p * (1 - p), p * (1 - p)))
+    out = np.clip((both / max(n, 1e-9) - np.outer(p, p)) / np.maximum(spread, 1e-9), 0, 1)
     np.fill_diagonal(out, 0)
     out[out < LEAST_CORRELATION] = 0
     out[-1] = out[:, -1] = 0
@@ -240,8 +238,9 @@ def _correlation(pairs: np.ndarray, size: np.ndarray) -> np.ndarray:
 def fit_label_model(votes: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> LabelModel:
     """Accuracies and correlations of the voters from distinct votes and their counts (votes, count).
 
-    Each round weighs the votes with the correlations of the round before. ``known`` has what the labelled rows
-    say: by class, how often each voter fires, and the rows.
+    The correlations come from the posteriors of the last round; in every round they would feed on themselves, as fewer
+    texts count as toxic the more the votes are discounted. ``known`` has what the labelled rows say: by class,
+    how often each voter fires, and the rows.
     """
     own, size = known
     n = own.shape[1]
@@ -254,8 +253,8 @@ def fit_label_model(votes: DataFrame, known: tuple[np.ndarray, np.ndarray]) -> L
             return model
         hold = HOLD * np.maximum(size, 1)[:, None]
         rates = (_rates(np.stack([np.diag(p) for p in pairs]), size) * size[:, None] + start * hold) / (size[:, None] + hold)
-        model = LabelModel(rates, float(np.clip(size[1] / size.sum(), 1e-3, 0.5)), _correlation(pairs, size))
-    return model
+        model = LabelModel(rates, float(np.clip(size[1] / size.sum(), 1e-3, 0.5)))
+    return LabelModel(model.fires, model.share, _correlation(pairs[1], size[1]))
 
 
 def features(text: str | None, voters: Voters) -> list[int]:

@@ -6,6 +6,7 @@ import collections
 import hashlib
 
 import public_tokenizers
+import pytest
 import tiktoken
 
 import corpus_pipeline
@@ -59,3 +60,27 @@ def test_stages(spark):
     found = sorted(tuple(r) for r in stages["byte_bpe"](spark, kept, SF).collect())
     assert found == sorted(rows)
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, SF).collect()) == found
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, label string, score double, __fp string, m int"
+
+
+@pytest.mark.parametrize("rows", [
+    [(1, "alpha beta gamma delta.", None, None, None), (2, None, "en", "s", 4), (3, "", "en", "s", 0), (None, "some other text, here now", "de", "t", 9), (1, "alpha beta gamma delta.", None, None, None)],
+    [],
+])
+def test_odd_documents(spark, tmp_path, rows):
+    """Nulls everywhere, repeated rows, columns of clashing names, no labels, and no rows at all."""
+    docs = spark.createDataFrame([(*r, "x", 0.1, "y", 3) for r in rows], ODD)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{SF}/{name}.parquet").limit(0).write.parquet(f"{tmp_path}/{name}.parquet")
+    kept = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, str(tmp_path))
+        assert kept.columns == docs.columns, name
+    # Without labels nothing is rejected; the null and the empty text are copies, and so are the repeated rows.
+    found = corpus_pipeline.run(spark, str(tmp_path))
+    assert found.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+    want = {r[0]: hashlib.sha256((r[1] or "").encode()).hexdigest() for r in rows if r[0] != 3}
+    assert {r.doc_id: r.decoded_sha256 for r in found.collect()} == want and found.count() == len(want)

@@ -393,8 +393,7 @@ def test_correlated_voters_count_once():
     fired[:, 3] = rng.random(len(toxic)) < np.where(toxic, 0.5, 0.02)
     fired[:, 4] = ~fired[:, :4].any(axis=1)
     own, size = np.stack([fired[toxic == y].sum(axis=0) for y in (0, 1)]), np.array([(~toxic).sum(), toxic.sum()])
-    pairs = np.stack([(fired[toxic == y].T.astype(float) @ fired[toxic == y]) for y in (0, 1)])
-    correlation = toxicity._correlation(pairs, size)
+    correlation = toxicity._correlation(fired[toxic].T.astype(float) @ fired[toxic], size[1])
     assert correlation[0, 1] == pytest.approx(1) and correlation[0, 3] == 0 and not correlation[4].any()
     model = toxicity.LabelModel(toxicity._rates(own, size), 0.3, correlation)
     assert model.weight[:3] == pytest.approx(1 / 3) and model.weight[3] == 1
