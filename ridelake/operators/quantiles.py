@@ -81,10 +81,11 @@ def _holding(wanted: DataFrame, buckets: DataFrame, keys: list[str]) -> DataFram
     return inside.select("grp", "rank", "total", below.alias("below"), "n", "lo", "hi")
 
 
-def ranges(rows: DataFrame, probs: Mapping[str, float]) -> DataFrame:
+def ranges(rows: DataFrame, probs: Mapping[str, float]) -> tuple[DataFrame, int]:
     """(grp, rank, total, below, n, lo, hi): for every rank that ``probs`` needs, the range ``lo`` to ``hi`` that holds it.
 
-    The range has ``n`` rows, at most BOUNDED or all of one ordinal, and ``below`` rows come before it.
+    The range has ``n`` rows, at most BOUNDED or all of one ordinal, and ``below`` rows come before it. Also
+    returns how many ranges have more than one value.
     """
     ensure_checkpoint_dir(rows.sparkSession)
     ends = F.lit(-2.0 * _ABOVE), F.lit(2.0 * _ABOVE)
@@ -95,9 +96,10 @@ def ranges(rows: DataFrame, probs: Mapping[str, float]) -> DataFrame:
         F.array(*[f(_position(p, F.col("total"))).cast("bigint") for p in probs.values() for f in (F.floor, F.ceil)])
     )
     wanted = totals.select("grp", F.explode(ranks).alias("rank"), "total", F.lit(0).cast("bigint").alias("below"))
-    found = _holding(wanted, first, ["grp"]).checkpoint()
+    found = _holding(wanted, first, ["grp"])
     wide = (F.col("n") > BOUNDED) & (ordinal(F.col("lo")) < ordinal(F.col("hi")))
-    while n := found.filter(wide).count():
+    left = [F.count_if(wide).alias("wide"), F.count_if(F.col("lo") < F.col("hi")).alias("several")]
+    while (open_ := found.agg(*left).first()) and (n := open_["wide"]):
         # Each pass ends: the smallest and the largest value of a range are in different buckets.
         spans = found.filter(wide).select("grp", F.col("lo").alias("from"), F.col("hi").alias("to")).distinct()
         spans = spans.withColumns({"olo": ordinal(F.col("from")), "ohi": ordinal(F.col("to"))})
@@ -107,15 +109,14 @@ def ranges(rows: DataFrame, probs: Mapping[str, float]) -> DataFrame:
         buckets = buckets.withColumn("upto", _upto("grp", "from", "to"))
         again = found.filter(wide).select("grp", "rank", "total", "below", F.col("lo").alias("from"), F.col("hi").alias("to"))
         found = found.filter(~wide).unionByName(_holding(again, buckets, ["grp", "from", "to"])).checkpoint()
-    return found
+    return found, open_["several"]
 
 
-def _at_ranks(rows: DataFrame, found: DataFrame) -> DataFrame:
-    """(grp, rank, total, x): the value at each rank. Only ranges of more than one value are put in order."""
+def _at_ranks(rows: DataFrame, found: DataFrame, n: int) -> DataFrame:
+    """(grp, rank, total, x): the value at each rank. Only the ``n`` ranges of more than one value are put in order."""
     single = F.col("lo") == F.col("hi")
     several = found.filter(~single).select("grp", "rank", "total", "below", F.col("lo").alias("from"), F.col("hi").alias("to"))
     done = found.filter(single).select("grp", "rank", "total", F.col("lo").alias("x"))
-    n = several.count()
     if not n:
         return done
     spans = several.select("grp", "from", "to").distinct()
@@ -128,7 +129,7 @@ def _at_ranks(rows: DataFrame, found: DataFrame) -> DataFrame:
 
 def _quantiles(rows: DataFrame, probs: Mapping[str, float]) -> DataFrame:
     """(grp, one column per entry of ``probs``): linear interpolation between ranks."""
-    found = _at_ranks(rows, ranges(rows, probs))
+    found = _at_ranks(rows, *ranges(rows, probs))
     bounds = []
     for name, p in probs.items():
         position = _position(p, F.col("total"))

@@ -59,8 +59,9 @@ def test_far_values_leave_a_bounded_range(spark, monkeypatch):
     monkeypatch.setattr(quantiles, "BOUNDED", 50)
     rows = spark.range(20_000).select(F.lit("g").alias("grp"), (F.col("id") * 0.37 + 1e4).alias("x"))
     far = spark.createDataFrame([("g", 1e15), ("g", -1e300), ("g", math.inf)], "grp string, x double")
-    found = quantiles.ranges(rows.unionByName(far), {"mid": 0.5, "top": 0.999}).collect()
-    assert len(found) == 3 and max(r.n for r in found) <= 50
+    found, several = quantiles.ranges(rows.unionByName(far), {"mid": 0.5, "top": 0.999})
+    found = found.collect()
+    assert len(found) == 3 and several <= 3 and max(r.n for r in found) <= 50
     mid = next(r for r in found if r.rank == 10_001)
     assert mid.lo <= 1e4 + 10_000 * 0.37 <= mid.hi and mid.below <= 10_001 < mid.below + mid.n
 

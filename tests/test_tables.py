@@ -2,6 +2,7 @@ import datetime as dt
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ridelake.schemas import ZONE_DAILY_STATS
 from ridelake.sources import tables
@@ -33,9 +34,29 @@ def test_copy_zone(spark, tmp_path):
     assert copy.count() == 2 and rows_at(spark, b) == rows_at(spark, a)
 
 
+def test_a_small_batch_reads_the_row_groups_of_its_keys(spark, tmp_path):
+    path, schema = str(tmp_path / "t"), StructType(frame(spark).schema.fields[:2])
+    rows = spark.range(0, 400_000, 1, 40).select(F.concat(F.lit("k"), F.col("id") * 7919 % 400_000).alias("k"), F.col("id").cast("int").alias("v"))
+    assert tables.append(rows, path, keys=["k"]) == 400_000  # 40 files
+    read = spark.read.schema(schema).parquet(path)
+    # Every file's smallest and largest key enclose most of those asked for; its filter rules most files out.
+    asked = [f"k{i}" for i in (0, 123_456, 399_999)] + [f"new{i}" for i in range(200)]
+    batch = spark.createDataFrame([(k, -1) for k in asked], schema)
+    assert tables.merge_absent(batch, path, schema, ["k"]) == 200
+    scan = read.filter(F.col("k").isin(asked))
+    assert len(scan.collect()) == 3
+    plan = scan._jdf.queryExecution().executedPlan()
+    assert "In(k, [" in plan.toString()
+    assert plan.collectLeaves().head().metrics().apply("numOutputRows").value() <= 50_000
+    assert tables.merge_absent(batch, path, schema, ["k"]) == 0
+    assert spark.read.schema(schema).parquet(path).count() == 400_200
+
+
+@pytest.mark.parametrize("lookup", [0, tables.LOOKUP_KEYS])
 @pytest.mark.parametrize("limit", [0, tables.BROADCAST_KEYS])
 @pytest.mark.parametrize("among", [None, "dt >= DATE'2024-01-01'"])
-def test_merge_absent(spark, tmp_path, monkeypatch, limit, among):
+def test_merge_absent(spark, tmp_path, monkeypatch, lookup, limit, among):
+    monkeypatch.setattr(tables, "LOOKUP_KEYS", lookup)
     monkeypatch.setattr(tables, "BROADCAST_KEYS", limit)
     path, schema = str(tmp_path / "t"), frame(spark).schema
     first = frame(spark, ("a", 1, D1), ("b", 2, D2), ("b", 3, D2))
