@@ -19,6 +19,23 @@ from ridelake.session import ensure_checkpoint_dir
 SCORED_COLUMNS = [name for name in TRIP_PREDICTIONS.fieldNames() if name != DEFAULT_NOW["trip_predictions"]]
 
 
+#: Rows of one training partition, at most and at least.
+MOST_ROWS, LEAST_ROWS = 1_000_000, 10_000
+
+
+def dealt(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """The rows in equal parts, as many as the cores or a multiple of it, sorted by their unique ``key``.
+
+    Boosting passes hundreds of times over its partitions, and each pass
+    shuffles from all to all, so parts cut by bytes cost the square of the
+    input; parts of unequal size leave cores idle. The order lets a lost part
+    be made again as it was, because boosting pairs it with its residuals.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    parts = min(cores * -(-rows // (cores * MOST_ROWS)), -(-rows // LEAST_ROWS))
+    return df.repartition(max(1, parts), key).sortWithinPartitions(key)
+
+
 def train(
     df: DataFrame,
     max_iter: int = 100,

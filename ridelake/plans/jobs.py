@@ -122,9 +122,9 @@ def train_fares(
     fitted = ft.fit_features(rows, fit_on)
     version, path = f"gbt_fare_{run_ts:%Y%m%d}", wh.run(f"gbt_fare_{run_ts:%Y%m%d}", run_ts)
     # Written out, so that training and evaluation do not derive it again.
-    tables.overwrite(fitted.transform(rows).select("features", "label", "trip_id"), f"{path}/prepared")
+    prepared = tables.overwrite(fitted.transform(rows).select("features", "label", "trip_id"), f"{path}/prepared")
     train, test = ft.hash_split(tables.read_parquet(spark, f"{path}/prepared"))
-    ml.save(fitted, ml.train(train, max_iter), path)
+    ml.save(fitted, ml.train(ml.dealt(train, "trip_id", prepared), max_iter), path)
     # What is registered is measured as it was saved.
     _, model = ml.load(path)
     with tables.staged(ml.evaluate(test, model, version, run_ts), "metrics") as metrics:

@@ -8,7 +8,7 @@ from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -158,6 +158,19 @@ def append_keyed(df: DataFrame, path: str, schema: StructType, key: str, buckets
     return seen.get["rows"]
 
 
+def _few_keys(batch: DataFrame, key: str) -> list[Row] | int:
+    """The keys of a batch if they are few enough to be looked up, else the number of its rows.
+
+    An estimate comes first, in the pass that counts, so that the keys of a
+    large batch are not shuffled to learn that they are many.
+    """
+    seen = batch.agg(F.count(F.lit(1)).alias("rows"), F.approx_count_distinct(key).alias("keys")).first()
+    if seen["keys"] > 2 * LOOKUP_KEYS:
+        return seen["rows"]
+    known = batch.select(key).distinct().limit(LOOKUP_KEYS + 1).collect()
+    return known if len(known) <= LOOKUP_KEYS else seen["rows"]
+
+
 def merge_absent(
     batch: DataFrame,
     path: str,
@@ -180,9 +193,9 @@ def merge_absent(
     one key.
     """
     spark = batch.sparkSession
-    known = batch.select(*keys).distinct().limit(LOOKUP_KEYS + 1).collect() if len(keys) == 1 else []
-    lookup = len(known) <= LOOKUP_KEYS and len(keys) == 1
-    small = lookup or batch.select(*keys).count() <= BROADCAST_KEYS
+    known = _few_keys(batch, keys[0]) if len(keys) == 1 else None
+    lookup = isinstance(known, list)
+    small = lookup or (batch.select(*keys).count() if known is None else known) <= BROADCAST_KEYS
     if buckets is None:
         target = table_or_empty(spark, path, schema)
     else:

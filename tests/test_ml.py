@@ -239,3 +239,29 @@ def test_jobs_can_be_run_again(spark, sf, tmp_path):
     assert again == {"enriched": 0, "inserted": 0, "zones": 0}
     assert tables.table_or_empty(spark, wh.raw_zone, ZONE_STORED).count() == 0
     assert tables.table_or_empty(spark, wh.zone_daily_stats, ZONE_DAILY_STATS).count() == 0
+
+
+def test_training_parts_follow_the_cores_not_the_files(spark, sf, tmp_path, monkeypatch):
+    wh = Warehouse(str(tmp_path / "wh"), buckets=4)
+    trips = align(src.enriched(spark, sf).withColumn("processed_at", F.lit(RUN)), TRIPS_ENRICHED)
+    jobs.insert_enriched(wh, tables.stamped(trips, "processed_at"))
+    fit, sizes = ml.train, []
+
+    def train(df, iterations):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+        try:
+            sizes.extend(df.select("label").rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect())
+        finally:
+            spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        return fit(df, iterations)
+
+    monkeypatch.setattr(ml, "train", train)
+    monkeypatch.setattr(ml, "LEAST_ROWS", 10, raising=False)
+    jobs.train_fares(spark, wh, RUN, max_iter=1)
+    assert len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) < 1.5 * min(sizes)
+    prepared = spark.read.parquet(f"{spark.read.parquet(wh.registry).first()['path']}/prepared")
+    assert sum(sizes) == ft.hash_split(prepared)[0].count()
+    # Of more rows there are several parts a core; a lost part is made again in its order.
+    monkeypatch.setattr(ml, "MOST_ROWS", 100)
+    parts = ml.dealt(prepared, "trip_id", 900).select("trip_id").rdd.glom().collect()
+    assert len(parts) == 12 and all([r[0] for r in part] == sorted(r[0] for r in part) for part in parts)

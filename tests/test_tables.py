@@ -105,3 +105,14 @@ def test_staged_copy_is_dropped(spark):
 
 def test_runs_never_share_a_path():
     assert tables.run_path("/x/", "staging") != tables.run_path("/x", "staging")
+
+
+def test_keys_of_a_large_batch_are_not_shuffled_to_be_counted(spark, monkeypatch):
+    monkeypatch.setattr(tables, "LOOKUP_KEYS", 10)
+    many, few = spark.range(5_000).select(F.col("id").alias("k")), spark.range(5_000).select((F.col("id") % 7).alias("k"))
+    frames = type(many)
+    shuffled, distinct = [], frames.distinct
+    monkeypatch.setattr(frames, "distinct", lambda df: shuffled.append(df) or distinct(df))
+    assert tables._few_keys(many, "k") == 5_000 and not shuffled
+    assert sorted(r[0] for r in tables._few_keys(few, "k")) == list(range(7))
+    assert tables._few_keys(many.filter("k < 15"), "k") == 15
