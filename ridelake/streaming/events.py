@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -47,11 +49,13 @@ def _problem(event: Column, schema: StructType, key: str) -> Column:
     Every stored field must be there, though all but the key may be null, and
     no text may be longer than its column.
     """
+    # The names are read from the text again, so only of records that a missing field has left a null in.
+    some_null = functools.reduce(Column.__or__, [event[f.name].isNull() for f in schema])
     absent = F.array_except(F.array(*[F.lit(f.name) for f in schema]), F.json_object_keys("value"))
     problem = (
         F.when(event.isNull() | event[CORRUPT].isNotNull(), F.lit("not a trip event"))
         .when(event[key].isNull(), F.lit(f"no {key}"))
-        .when(F.size(absent) > 0, F.concat(F.lit("no "), F.array_join(absent, ", ")))
+        .when(some_null & (F.size(absent) > 0), F.concat(F.lit("no "), F.array_join(absent, ", ")))
     )
     for field in schema:
         if field.name in MAX_LENGTH:

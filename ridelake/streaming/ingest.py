@@ -51,7 +51,9 @@ def ingest(
         if ARRIVAL in batch.columns:
             # A task reads a block of a file in order, so within it rows are numbered by place.
             batch = batch.withColumn(ARRIVAL, F.struct(ARRIVAL, F.monotonically_increasing_id().alias("row")))
-        decoded = decode(batch).persist(StorageLevel.MEMORY_AND_DISK)
+        # Only dead letters need their text again; of the others it would be most of what is kept.
+        decoded = decode(batch).withColumn("value", F.when(F.col("error").isNotNull(), F.col("value")))
+        decoded = decoded.persist(StorageLevel.MEMORY_AND_DISK)
         try:
             good = decoded.filter(F.col("error").isNull())
             order = [c for c in good.columns if c == ARRIVAL]

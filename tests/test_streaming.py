@@ -194,3 +194,13 @@ def test_kafka_options():
         "kafka.bootstrap.servers": "broker:9092", "subscribe": "trip_events", "startingOffsets": "earliest",
         "maxOffsetsPerTrigger": "1000",
     }
+
+
+def test_texts_of_landed_events_are_not_kept(spark, tmp_path, event_lines, monkeypatch):
+    write(tmp_path / "in", "1.json", event_lines[:10] + BAD[:2])
+    kept, frames = [], type(spark.range(0))
+    persist = frames.persist
+    monkeypatch.setattr(frames, "persist", lambda df, level: kept.extend((r.error, r.value) for r in df.collect()) or persist(df, level))
+    _, dead = run(spark, tmp_path)
+    assert len(kept) == 12 and all((error is None) == (value is None) for error, value in kept)
+    assert {r.value for r in dead.collect()} == set(BAD[:2])
