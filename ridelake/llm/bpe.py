@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import struct
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -88,6 +89,11 @@ def _unpack(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
+def _code(ids: list[int]) -> bytes:
+    """Token ids as little-endian 32-bit numbers, held in less memory than as a list."""
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 def _pack_words(words: list[bytes]) -> bytes:
     lengths = np.array([len(w) for w in words], dtype="<u4").tobytes()
     head = len(words).to_bytes(8, "little")
@@ -181,10 +187,10 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk_chars:
                 words = _unpack_words(packed)
                 for word in words:
                     if word not in known:
-                        known[word] = encode_word(word, table.value)
+                        known[word] = _code(encode_word(word, table.value))
                 ids = [known[word] for word in words]
-                sizes.append(_pack(np.array([len(x) for x in ids], dtype="<u4")))
-                codes.append(_pack(np.array([i for x in ids for i in x], dtype="<u4")))
+                sizes.append(_pack(np.array([len(x) // 4 for x in ids], dtype="<u4")))
+                codes.append(_pack(np.frombuffer(b"".join(ids), dtype="<u4")))
             columns = [batch.column("chunk"), batch.column("bucket"), pa.array(sizes, pa.binary()), pa.array(codes, pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, ["chunk", "bucket", "lengths", "codes"])
 
@@ -193,6 +199,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk_chars:
         ids, sizes = chunk.column("doc_ids")[0].as_py(), np.array(chunk.column("sizes")[0].as_py(), dtype=np.int64)
         spots, words = _unpack(chunk.column("spots")[0].as_py()), _unpack_words(chunk.column("words")[0].as_py())
         codes, places = [b""] * len(words), _dealt(words, buckets)
+        del words
         for bucket, lengths, packed in zip(*(found.column(c).to_pylist() for c in ("bucket", "lengths", "codes"))):
             flat, ends = _unpack(packed).tobytes(), np.cumsum(_unpack(lengths), dtype=np.int64) * 4
             for i, a, b in zip(places[bucket], [0, *ends[:-1].tolist()], ends.tolist()):

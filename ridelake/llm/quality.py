@@ -76,17 +76,19 @@ def features(text: str | None) -> np.ndarray:
 
 def _descend(rows: list[np.ndarray], sign: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     """Scales by class, weights of the scaled unit rows, and bias."""
-    in_class = [
-        np.bincount(np.concatenate([p for p, s in zip(rows, sign) if s == y] or [rows[0][:0]]), minlength=SIZE) + 1.0 for y in (1, -1)
-    ]
+    in_class = np.ones((2, SIZE))
+    for p, s in zip(rows, sign):
+        in_class[0 if s > 0 else 1, p] += 1  # a row's places are distinct
     ratio = np.log(in_class[0] / in_class[0].sum()) - np.log(in_class[1] / in_class[1].sum())
-    values = [ratio[p] / max(np.sqrt((ratio[p] ** 2).sum()), 1e-12) for p in rows]
+    # A row's scaled values are made when it is visited: kept for all rows they would be twice the sample.
+    lengths = [max(np.sqrt((ratio[p] ** 2).sum()), 1e-12) for p in rows]
     n, good = len(rows), max((sign > 0).mean(), 1e-9)
     most = np.where(sign > 0, COST * 0.5 / good, COST * 0.5 / max(1 - good, 1e-9))
     weights, bias, duals, order = np.zeros(SIZE), 0.0, np.zeros(n), np.random.default_rng(7)
     for _ in range(PASSES):
         for i in order.permutation(n):
-            p, x = rows[i], values[i]
+            p = rows[i]
+            x = ratio[p] / lengths[i]
             gap = sign[i] * (weights[p] @ x + bias) - 1
             dual = min(max(duals[i] - gap / (x @ x + 1), 0.0), most[i])  # the bias is a feature that is always one
             if dual != duals[i]:

@@ -65,7 +65,9 @@ def gathered(rows: DataFrame, fit, target: str) -> bytes | None:
                 targets.append(y)
         if targets:
             starts = np.concatenate([[0], np.cumsum([len(p) for p in places])])
-            model = fit(np.concatenate(places), starts, np.array(targets, dtype=float))
+            joined = np.concatenate(places)
+            places.clear()  # the rows are views of the joined array from here on
+            model = fit(joined, starts, np.array(targets, dtype=float))
             yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
     rows = rows.repartition(1).sortWithinPartitions("key")

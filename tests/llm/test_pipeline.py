@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import tracemalloc
 
+import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
@@ -84,3 +86,19 @@ def test_odd_documents(spark, tmp_path, rows):
     assert found.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     want = {r[0]: hashlib.sha256((r[1] or "").encode()).hexdigest() for r in rows if r[0] != 3}
     assert {r.doc_id: r.decoded_sha256 for r in found.collect()} == want and found.count() == len(want)
+
+
+def test_quality_fit_keeps_no_second_copy_of_its_sample():
+    rng = np.random.default_rng(5)
+    rows = [np.sort(rng.choice(quality.SIZE, 4000, replace=False)).astype(np.int32) for _ in range(500)]
+    places, starts = np.concatenate(rows), np.arange(0, 500 * 4000 + 1, 4000)
+    tracemalloc.start()
+    quality.fit(places, starts, (np.arange(500) % 3 == 0).astype(float))
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert most < places.nbytes
+
+
+@pytest.mark.parametrize("ids", [[], [0], [255, 256, 49_999, 2**32 - 1]])
+def test_token_ids_are_held_as_numbers_of_four_bytes(ids):
+    assert np.frombuffer(bpe._code(ids), "<u4").tolist() == ids
