@@ -16,7 +16,7 @@ import heapq
 import struct
 import zlib
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,7 @@ BUCKETS = 4
 
 CHUNK = "chunk long, doc_ids array<long>, sizes array<int>, spots binary, words binary"
 ENCODED = "doc_id long, n_tokens long, ids binary"
+DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -154,11 +155,21 @@ def _chunks(docs: DataFrame, pattern: str, chunk_chars: int) -> DataFrame:
     return docs.mapInArrow(run, CHUNK)
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+def encode(
+    docs: DataFrame,
+    ranks: dict[bytes, int],
+    pattern: str,
+    chunk_chars: int = CHUNK_CHARS,
+    then: Callable[[pa.Table], pa.Table] = lambda encoded: encoded,
+    schema: str = ENCODED,
+) -> DataFrame:
     """Token ids of each row's whole text: doc_id, n_tokens and the ids as little-endian 32-bit numbers.
 
     Takes doc_id and text of ``docs`` and ignores other columns. One row out per
     row in, repeated and null ids included; a null or empty text has no tokens.
+    ``then`` takes such a table of a chunk's rows on to one of ``schema`` within
+    the worker that put the chunk together: a second step of its own would hold
+    a second worker beside it, and the ids on their way.
     """
     spark = docs.sparkSession
     short_batches(spark)
@@ -206,16 +217,16 @@ def encode(docs: DataFrame, ranks: dict[bytes, int], pattern: str, chunk_chars:
                 codes[i] = flat[a:b]
         ends = np.cumsum(sizes)
         out = [b"".join(map(codes.__getitem__, spots[e - n : e].tolist())) for e, n in zip(ends, sizes)]
-        return pa.table({
+        return then(pa.table({
             "doc_id": pa.array(ids, pa.int64()),
             "n_tokens": pa.array([len(x) // 4 for x in out], pa.int64()),
             "ids": pa.array(out, pa.binary()),
-        })
+        }))
 
     words = chunks.groupBy("chunk").applyInArrow(distinct_words, "chunk long, bucket int, words binary")
     words = words.repartition("bucket").sortWithinPartitions("bucket")
     found = words.mapInArrow(encoded, "chunk long, bucket int, lengths binary, codes binary")
-    return chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(assembled, ENCODED)
+    return chunks.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(assembled, schema)
 
 
 def _bytes_of(ids: bytes, tokens: list[bytes]) -> bytes:
@@ -240,17 +251,23 @@ def _by_id(ranks: dict[bytes, int]) -> list[bytes]:
     return tokens
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    """doc_id, n_tokens and the SHA-256 of the ids in decimal and of the decoded bytes."""
-
-    @F.pandas_udf("string")
-    def of_ids(ids):
-        return ids.map(lambda x: hashlib.sha256(" ".join(map(str, np.frombuffer(x, dtype="<i4").tolist())).encode()).hexdigest())
-
-    return encoded.select("doc_id", "n_tokens", of_ids("ids").alias("ids_sha256"), F.sha2("bytes", 256).alias("decoded_sha256"))
+def digests(encoded: pa.Table, tokens: list[bytes]) -> pa.Table:
+    """doc_id, n_tokens and the SHA-256 of the ids in decimal and of the bytes they decode to, text by text."""
+    of_ids, of_bytes = [], []
+    for ids in encoded.column("ids"):
+        ids = ids.as_py()
+        of_ids.append(hashlib.sha256(" ".join(map(str, np.frombuffer(ids, dtype="<i4").tolist())).encode()).hexdigest())
+        of_bytes.append(hashlib.sha256(_bytes_of(ids, tokens)).hexdigest())
+    return pa.table({
+        "doc_id": encoded.column("doc_id"),
+        "n_tokens": encoded.column("n_tokens"),
+        "ids_sha256": pa.array(of_ids, pa.string()),
+        "decoded_sha256": pa.array(of_bytes, pa.string()),
+    })
 
 
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """Encode every whole text, decode the ids, and return the digests of both."""
     ranks = load_ranks(vocabulary)
-    return digests(decode(encode(docs, ranks, pattern, chunk_chars), ranks))
+    tokens = docs.sparkSession.sparkContext.broadcast(_by_id(ranks))
+    return encode(docs, ranks, pattern, chunk_chars, lambda encoded: digests(encoded, tokens.value), DIGESTS)

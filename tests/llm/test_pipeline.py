@@ -13,6 +13,7 @@ import tiktoken
 
 import corpus_pipeline
 from ridelake.llm import bpe, contamination, lines, quality
+from tests.conftest import plan_of
 from tests.llm.test_text_operators import plain_fingerprint
 
 SF = "/root/testdata/sf0.001"
@@ -102,3 +103,13 @@ def test_quality_fit_keeps_no_second_copy_of_its_sample():
 @pytest.mark.parametrize("ids", [[], [0], [255, 256, 49_999, 2**32 - 1]])
 def test_token_ids_are_held_as_numbers_of_four_bytes(ids):
     assert np.frombuffer(bpe._code(ids), "<u4").tolist() == ids
+
+
+def test_ids_are_put_together_and_decoded_in_one_worker(spark):
+    """Two Python steps in a stage are two workers for each core, which the executor's memory has to hold at once."""
+    docs = spark.createDataFrame([(1, "alpha beta"), (2, None), (None, "\u00e9 \u4e2d")], "doc_id long, text string")
+    found = bpe.round_trip(docs, public_tokenizers.path(corpus_pipeline.VOCABULARY), public_tokenizers.PATTERN)
+    last = plan_of(found).split("== Physical Plan ==")[1].split("Exchange")[0]
+    assert "FlatMapCoGroupsInArrow" in last and "EvalPython" not in last
+    want = {r.doc_id: hashlib.sha256((r.text or "").encode()).hexdigest() for r in docs.collect()}
+    assert {r.doc_id: r.decoded_sha256 for r in found.collect()} == want
